@@ -90,8 +90,8 @@ def safe_str(c) -> Column:
 
 
 def iso_timestamp(c) -> Column:
-    """ISO-8601 text with offset (session time zone UTC gives ``+00:00``)."""
-    return F.date_format(_c(c), "yyyy-MM-dd'T'HH:mm:ssXXX")
+    """ISO-8601 text with offset, ``+00:00`` style (session time zone UTC)."""
+    return F.date_format(_c(c), "yyyy-MM-dd'T'HH:mm:ssxxx")
 
 
 def bool_default(c, default: bool = False) -> Column:

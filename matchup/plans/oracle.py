@@ -78,3 +78,317 @@ FROM m
 LEFT JOIN hc h ON h.season = m.season AND h.entity = m.home AND h.period = m.period - 1
 LEFT JOIN hc a ON a.season = m.season AND a.entity = m.away AND a.period = m.period - 1
 """
+
+# --------------------------------------------------------------------------
+# Sources and sinks
+# --------------------------------------------------------------------------
+SQL["season_scan"] = """
+SELECT o_orderkey, o_custkey, o_totalprice, CAST(year(o_orderdate) AS INTEGER) AS season,
+       CAST(month(o_orderdate) AS INTEGER) AS period, 'orders' AS kind
+FROM orders WHERE year(o_orderdate) = 1997 AND month(o_orderdate) BETWEEN 1 AND 6
+"""
+
+SQL["season_bounds"] = """
+WITH s AS (SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS season FROM orders)
+SELECT season, CAST(row_number() OVER (ORDER BY season) AS INTEGER) AS season_rank,
+       min(season) OVER () AS min_season, max(season) OVER () AS max_season,
+       count(*) OVER () AS n_seasons
+FROM s
+"""
+
+SQL["multi_season_union"] = """
+SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS season, o_totalprice, CAST(NULL AS VARCHAR) AS o_orderpriority
+FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 1997
+UNION ALL
+SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS season, o_totalprice, o_orderpriority
+FROM orders WHERE year(o_orderdate) = 1998
+"""
+
+SQL["raw_ingest"] = """
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
+       strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority
+FROM orders
+"""
+
+SQL["season_refresh"] = """
+SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS season, o_orderstatus
+FROM orders WHERE year(o_orderdate) <> 1997 OR o_orderstatus = 'F'
+"""
+
+SQL["empty_enrichment"] = """
+SELECT o.o_orderkey, CAST(year(o.o_orderdate) AS INTEGER) AS season, c.c_nationkey AS home,
+       CAST(NULL AS DOUBLE) AS home_talent
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+"""
+
+# --------------------------------------------------------------------------
+# Filters
+# --------------------------------------------------------------------------
+SQL["next_period"] = """
+SELECT CAST(year(o_orderdate) AS INTEGER) AS season,
+       CAST(coalesce(max(month(o_orderdate)) FILTER (WHERE o_orderstatus = 'F') + 1, 1) AS INTEGER) AS next_period,
+       count(*) FILTER (WHERE o_orderstatus = 'F') AS n_completed
+FROM orders GROUP BY 1
+"""
+
+SQL["upcoming_filter"] = f"""
+WITH {MEETING},
+m3 AS (SELECT *, CASE WHEN flag <> 'N' THEN completed END AS completed3 FROM m)
+SELECT order_key, line, season, period, completed3 FROM m3
+WHERE period = 6 AND completed3 IS DISTINCT FROM TRUE AND home_segment = 'BUILDING'
+"""
+
+DOCS_LABELS = """
+dl AS (
+  SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+)"""
+
+SQL["labelled_filter"] = f"""
+WITH {DOCS_LABELS}
+SELECT * FROM dl WHERE doc_id IS NOT NULL AND lang IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL
+"""
+
+SQL["class_exclusion"] = """
+SELECT p_partkey, p_type, p_name FROM part
+WHERE NOT (coalesce(p_type, '') ILIKE '%promo%' OR coalesce(p_type, '') ILIKE '%economy%' OR coalesce(p_type, '') ILIKE '%sma%')
+  AND NOT (coalesce(p_name, '') ILIKE '%promo%' OR coalesce(p_name, '') ILIKE '%economy%' OR coalesce(p_name, '') ILIKE '%sma%')
+"""
+
+SQL["leakage_drop"] = f"""
+WITH {MEETING}
+SELECT order_key, line, season, period, home, away, flag, home_segment, priority, quantity, discount, tax, price
+FROM m
+"""
+
+SQL["essential_drop"] = f"""
+WITH {DOCS_LABELS}
+SELECT * FROM dl WHERE doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL
+"""
+
+SQL["drop_audit"] = f"""
+WITH {DOCS_LABELS}
+SELECT count(*) AS rows_before,
+       count(*) FILTER (WHERE doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL) AS rows_after,
+       count(*) - count(*) FILTER (WHERE doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL) AS rows_dropped
+FROM dl
+"""
+
+SQL["column_dedupe"] = f"""
+WITH {DOCS_LABELS}
+SELECT * FROM dl
+"""
+
+# --------------------------------------------------------------------------
+# Reshaping and enrichment
+# --------------------------------------------------------------------------
+EVENTS_WEEKLY = """
+ew AS (
+  SELECT *, CAST(floor(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) / 7) + 1 AS INTEGER) AS week,
+         CAST(year(ts) AS INTEGER) AS season
+  FROM events
+)"""
+
+SQL["long_to_wide"] = f"""
+WITH {EVENTS_WEEKLY}
+SELECT user_id, week,
+       arg_min(value, ts) FILTER (WHERE event_type = 'view' AND value IS NOT NULL) AS view,
+       arg_min(value, ts) FILTER (WHERE event_type = 'signup' AND value IS NOT NULL) AS signup,
+       arg_min(value, ts) FILTER (WHERE event_type = 'purchase' AND value IS NOT NULL) AS purchase,
+       arg_min(value, ts) FILTER (WHERE event_type = 'error' AND value IS NOT NULL) AS error,
+       arg_min(value, ts) FILTER (WHERE event_type = 'click' AND value IS NOT NULL) AS click
+FROM ew
+WHERE user_id IS NOT NULL AND week IS NOT NULL
+  AND event_type IN ('view', 'signup', 'purchase', 'error', 'click')
+GROUP BY user_id, week
+"""
+
+SQL["cumulative_through_week"] = f"""
+WITH {EVENTS_WEEKLY},
+wk AS (SELECT user_id, season, week, sum(value) AS v, count(*) AS n FROM ew WHERE week <= 5 GROUP BY ALL),
+sp AS (SELECT user_id, season, unnest(generate_series(min(week), 5)) AS week FROM wk GROUP BY user_id, season)
+SELECT sp.user_id, sp.season, CAST(sp.week AS INTEGER) AS week,
+       round(sum(wk.v) OVER w, 2) AS total_value,
+       CAST(sum(wk.n) OVER w AS BIGINT) AS n_events
+FROM sp LEFT JOIN wk USING (user_id, season, week)
+WINDOW w AS (PARTITION BY sp.user_id, sp.season ORDER BY sp.week ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+"""
+
+SQL["lag_week_join"] = f"""
+WITH {MEETING}, {HIST_WIDE}
+SELECT m.order_key, m.line, round(h.urgent, 2) AS home_urgent, round(h.low, 2) AS home_low,
+       round(a.urgent, 2) AS away_urgent, round(a.low, 2) AS away_low,
+       h.entity IS NOT NULL AS home_has_week, a.entity IS NOT NULL AS away_has_week
+FROM m
+LEFT JOIN hw h ON h.season = m.season AND h.entity = m.home AND h.period = m.period - 1
+LEFT JOIN hw a ON a.season = m.season AND a.entity = m.away AND a.period = m.period - 1
+"""
+
+NATION_DIM = """
+nd AS (
+  SELECT CAST(year(o.o_orderdate) AS INTEGER) AS season, c.c_nationkey AS entity, avg(c.c_acctbal) AS talent
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+  GROUP BY ALL
+  HAVING count(*) FILTER (WHERE o.o_orderpriority = '1-URGENT') >= 8
+)"""
+
+SQL["dual_lookup"] = f"""
+WITH {MEETING}, {NATION_DIM}
+SELECT m.order_key, m.line, round(h.talent, 6) AS home_talent, round(a.talent, 6) AS away_talent,
+       round(h.talent - a.talent, 6) AS talent_differential
+FROM m
+LEFT JOIN nd h ON h.season = m.season AND h.entity = m.home
+LEFT JOIN nd a ON a.season = m.season AND a.entity = m.away
+"""
+
+SQL["dual_lookup_all"] = f"""
+WITH {MEETING},
+sd AS (
+  SELECT CAST(year(l.l_shipdate) AS INTEGER) AS season, s.s_nationkey AS entity,
+         count(DISTINCT s.s_suppkey) AS suppliers, max(s.s_acctbal) AS top_balance
+  FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey GROUP BY ALL
+)
+SELECT m.order_key, m.line, h.suppliers AS home_suppliers, h.top_balance AS home_top_balance,
+       a.suppliers AS away_suppliers, a.top_balance AS away_top_balance
+FROM m
+LEFT JOIN sd h ON h.season = m.season AND h.entity = m.home
+LEFT JOIN sd a ON a.season = m.season AND a.entity = m.away
+"""
+
+SQL["median_fill"] = f"""
+WITH {MEETING}, {NATION_DIM},
+med AS (SELECT season, median(talent) AS md FROM nd GROUP BY season)
+SELECT m.order_key, m.line,
+       round(coalesce(h.talent, med.md), 6) AS home_talent,
+       round(coalesce(a.talent, med.md), 6) AS away_talent
+FROM m
+LEFT JOIN nd h ON h.season = m.season AND h.entity = m.home
+LEFT JOIN nd a ON a.season = m.season AND a.entity = m.away
+LEFT JOIN med ON med.season = m.season
+"""
+
+PAIRS = """
+pr AS (
+  SELECT season, home, away, avg(discount * 10) AS p_home
+  FROM m GROUP BY season, home, away HAVING count(*) >= 3
+),
+pl AS (
+  SELECT m.order_key, m.line, m.season, pr.p_home, 1.0 - pr.p_home AS p_away,
+         pr.p_home - (1.0 - pr.p_home) AS p_differential
+  FROM m LEFT JOIN pr ON pr.season = m.season AND pr.home = m.home AND pr.away = m.away
+)"""
+
+SQL["pair_lookup"] = f"""
+WITH {MEETING}, {PAIRS}
+SELECT order_key, line, round(p_home, 6) AS p_home, round(p_away, 6) AS p_away, round(p_differential, 6) AS p_differential
+FROM pl
+"""
+
+SQL["coverage"] = f"""
+WITH {MEETING}, {PAIRS}
+SELECT season, count(*) AS n_rows, count(p_home) AS n_p_home, round(count(p_home) / count(*), 6) AS share_p_home
+FROM pl GROUP BY season
+"""
+
+SQL["first_element"] = """
+SELECT l_orderkey AS order_key, l_linenumber AS line,
+       CASE WHEN l_returnflag <> 'N' THEN
+         list_filter([{'provider': 'd', 'spread': l_discount}, {'provider': 't', 'spread': l_tax}],
+                     lambda x: x.spread >= 0.04)[1].spread
+       END AS spread_line
+FROM lineitem
+"""
+
+SQL["nested_flatten"] = """
+SELECT event_id, value AS o_value, CAST(json_extract_string(props, '$.k') AS INTEGER) AS o_props_k,
+       user_id AS o_who_uid, event_type = 'error' AS o_is_error
+FROM events
+"""
+
+SQL["nested_extract"] = """
+SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE), CAST(0 AS DOUBLE)) AS props_k,
+       CAST(0 AS DOUBLE) AS props_missing, CAST(0 AS DOUBLE) AS props_a_b
+FROM events
+"""
+
+# --------------------------------------------------------------------------
+# Scalar functions and fills
+# --------------------------------------------------------------------------
+SQL["target_derivation"] = f"""
+WITH {MEETING}
+SELECT order_key, line,
+       CASE WHEN home_points IS NOT NULL AND away_points IS NOT NULL THEN CAST(home_points > away_points AS INTEGER) END AS home_win,
+       CAST(home_points - away_points AS DOUBLE) AS point_differential
+FROM m
+"""
+
+SQL["safe_casts"] = """
+SELECT event_id,
+       CAST(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS BIGINT) AS k_int,
+       CAST(TRY_CAST(event_type AS DOUBLE) AS BIGINT) AS type_int,
+       CASE WHEN isnan(value) THEN NULL ELSE value END AS value_f,
+       CAST(user_id AS VARCHAR) AS user_text,
+       strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS ts_iso,
+       coalesce(CASE WHEN event_type = 'error' THEN TRUE WHEN event_type = 'view' THEN FALSE END, FALSE) AS is_error
+FROM events
+"""
+
+SQL["bool_to_int"] = f"""
+WITH {MEETING}
+SELECT order_key, line, CAST(completed AS INTEGER) AS completed,
+       CAST(CASE WHEN flag <> 'N' THEN completed END AS INTEGER) AS completed3
+FROM m
+"""
+
+SQL["coerce_numeric"] = """
+SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE), CAST(0 AS DOUBLE)) AS k_num,
+       coalesce(TRY_CAST(event_type AS DOUBLE), CAST(0 AS DOUBLE)) AS type_num,
+       TRY_CAST('1' || event_type AS DOUBLE) AS target
+FROM events WHERE TRY_CAST('1' || event_type AS DOUBLE) IS NOT NULL
+UNION ALL
+SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE), CAST(0 AS DOUBLE)) AS k_num, CAST(0 AS DOUBLE) AS type_num,
+       TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS target
+FROM events WHERE TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) IS NOT NULL
+"""
+
+SQL["null_defaults"] = f"""
+WITH {DOCS_LABELS}
+SELECT coalesce(doc_id, 0) AS doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+       coalesce(n_chars, 0) AS n_chars, coalesce(quality, 0) AS quality, coalesce(toxic, 0) AS toxic
+FROM dl
+"""
+
+SQL["zero_fill_listed"] = f"""
+WITH {MEETING}, {HIST_WIDE}, {HIST_CUM}
+SELECT m.order_key, m.line, coalesce(round(h.urgent, 2), CAST(0 AS DOUBLE)) AS home_urgent,
+       coalesce(round(a.urgent, 2), CAST(0 AS DOUBLE)) AS away_urgent, round(h.low, 2) AS home_low
+FROM m
+LEFT JOIN hc h ON h.season = m.season AND h.entity = m.home AND h.period = m.period - 1
+LEFT JOIN hc a ON a.season = m.season AND a.entity = m.away AND a.period = m.period - 1
+"""
+
+SQL["zero_fill_pattern"] = f"""
+WITH {DOCS_LABELS}
+SELECT doc_id, lang, source, n_chars, coalesce(quality, 0) AS quality, coalesce(toxic, 0) AS toxic FROM dl
+"""
+
+SQL["residual_fill"] = f"""
+WITH {DOCS_LABELS}
+SELECT coalesce(doc_id, 0) AS doc_id, lang,
+       coalesce(CASE WHEN quality IS NOT NULL THEN source END, 'unknown') AS source,
+       coalesce(n_chars, 0) AS n_chars, coalesce(quality, 0) AS quality, toxic
+FROM dl
+"""
+
+SQL["null_profile"] = f"""
+WITH {DOCS_LABELS},
+c AS (
+  SELECT 'doc_id' AS "column", count(*) FILTER (WHERE doc_id IS NULL) AS n_null FROM dl
+  UNION ALL SELECT 'lang', count(*) FILTER (WHERE lang IS NULL) FROM dl
+  UNION ALL SELECT 'source', count(*) FILTER (WHERE source IS NULL) FROM dl
+  UNION ALL SELECT 'n_chars', count(*) FILTER (WHERE n_chars IS NULL) FROM dl
+  UNION ALL SELECT 'quality', count(*) FILTER (WHERE quality IS NULL) FROM dl
+  UNION ALL SELECT 'toxic', count(*) FILTER (WHERE toxic IS NULL) FROM dl
+)
+SELECT "column", n_null, n_null > 0 AS needs_fill FROM c
+"""

@@ -61,3 +61,452 @@ def pit_dual_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[_r(c).alias(c) for c in rounded],
         "home_has_stats", "away_has_stats", "home_win", "point_differential",
     )
+
+
+# --------------------------------------------------------------------------
+# Sources and sinks
+# --------------------------------------------------------------------------
+from pyspark.sql import Window  # noqa: E402
+from pyspark.sql.types import (  # noqa: E402
+    DoubleType,
+    IntegerType,
+    LongType,
+    StringType,
+    StructField,
+    StructType,
+    TimestampType,
+)
+
+from matchup.functions import display, scalar  # noqa: E402
+from matchup.operators import clean, contract, metrics  # noqa: E402
+from matchup.session import scratch_path  # noqa: E402
+from matchup.sources import catalog, publish  # noqa: E402
+from matchup.sources.tables import table  # noqa: E402
+
+ORDERS_KIND = StructType(
+    [
+        StructField("o_orderkey", LongType()),
+        StructField("o_custkey", LongType()),
+        StructField("o_orderstatus", StringType()),
+        StructField("o_totalprice", DoubleType()),
+        StructField("o_orderdate", TimestampType()),
+        StructField("o_orderpriority", StringType()),
+        StructField("season", IntegerType()),
+    ]
+)
+RANKINGS_KIND = StructType(
+    [StructField("entity", IntegerType()), StructField("rank", IntegerType()), StructField("season", IntegerType())]
+)
+
+
+def _orders_kind(spark, sf_dir):
+    return table(spark, sf_dir, "orders").withColumn("season", F.year("o_orderdate"))
+
+
+def _ts_text(c):
+    return F.date_format(F.col(c) if isinstance(c, str) else c, "yyyy-MM-dd HH:mm:ss")
+
+
+@query
+def season_scan(spark, sf_dir):
+    """Season-partitioned store; pruned scan of one season, periods 1..6, tagged."""
+    root = scratch_path(spark, "catalog")
+    catalog.refresh(_orders_kind(spark, sf_dir), root, "orders")
+    kinds = catalog.load(spark, root, ["orders", "rankings"], 1997, {"orders": ORDERS_KIND, "rankings": RANKINGS_KIND})
+    orders = catalog.within_periods(kinds["orders"].withColumn("period", F.month("o_orderdate")), "period", 6)
+    assert kinds["rankings"].isEmpty()  # absent kind -> typed empty frame
+    return catalog.tag(orders, kind="orders").select(
+        "o_orderkey", "o_custkey", "o_totalprice", "season", "period", "kind"
+    )
+
+
+@query
+def season_bounds(spark, sf_dir):
+    """Distinct seasons in order, with the table's min and max season."""
+    seasons = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("season")).distinct()
+    # The distinct-season table is bounded by the calendar: a global window is fine.
+    whole = Window.partitionBy()
+    return seasons.select(
+        "season",
+        F.row_number().over(Window.orderBy("season")).alias("season_rank"),
+        F.min("season").over(whole).alias("min_season"),
+        F.max("season").over(whole).alias("max_season"),
+        F.count(F.lit(1)).over(whole).alias("n_seasons"),
+    )
+
+
+@query
+def multi_season_union(spark, sf_dir):
+    """Seasons 1996-1997 and 1998 with a drifted schema, unioned by name."""
+    o = _orders_kind(spark, sf_dir)
+    old = o.where(F.col("season").between(1996, 1997)).select("o_orderkey", "season", "o_totalprice")
+    new = o.where(F.col("season") == 1998).select("o_orderkey", "season", "o_totalprice", "o_orderpriority")
+    return catalog.union_widen([old, new])
+
+
+@query
+def raw_ingest(spark, sf_dir):
+    """Records landed as JSON lines, read back with an explicit schema."""
+    landing = scratch_path(spark, "landing")
+    table(spark, sf_dir, "orders").write.mode("overwrite").json(landing)
+    schema = StructType([f for f in ORDERS_KIND.fields if f.name != "season"])
+    got = catalog.ingest_records(spark, landing, schema)
+    return got.select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
+        _ts_text("o_orderdate").alias("o_orderdate"), "o_orderpriority",
+    )
+
+
+@query
+def season_refresh(spark, sf_dir):
+    """S3: replace season 1997 (now only status F rows); other seasons stay."""
+    root = scratch_path(spark, "refresh")
+    o = _orders_kind(spark, sf_dir)
+    catalog.refresh(o, root, "orders")
+    catalog.refresh(o.where((F.col("season") == 1997) & (F.col("o_orderstatus") == "F")), root, "orders")
+    back = catalog.scan(spark, root, "orders", None, ORDERS_KIND)
+    return back.select("o_orderkey", "season", "o_orderstatus")
+
+
+@query
+def empty_enrichment(spark, sf_dir):
+    """Left join to an empty typed dimension: NULL columns, stable schema."""
+    o = _orders_kind(spark, sf_dir)
+    c = table(spark, sf_dir, "customer")
+    games = o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", "season", F.col("c_nationkey").alias("home"))
+    dim = catalog.empty_like(spark, StructType([
+        StructField("season", IntegerType()), StructField("entity", IntegerType()), StructField("talent", DoubleType())
+    ]))
+    return enrich.join_sides(games, dim, "season", {"home": "home"}, "entity", ["talent"])
+
+
+# --------------------------------------------------------------------------
+# Projections, filters, predicates
+# --------------------------------------------------------------------------
+def _meetings3(spark, sf_dir):
+    """Meetings with a three-valued completion flag (NULL for return flag N)."""
+    m = st.meetings(spark, sf_dir)
+    return m.withColumn("completed3", F.when(F.col("flag") != "N", F.col("completed")))
+
+
+@query
+def next_period(spark, sf_dir):
+    """Per season, max completed period + 1, or 1 when none completed."""
+    o = table(spark, sf_dir, "orders").select(
+        F.year("o_orderdate").alias("season"),
+        F.month("o_orderdate").alias("period"),
+        (F.col("o_orderstatus") == "F").alias("completed"),
+    )
+    return o.groupBy("season").agg(
+        F.coalesce(F.max(F.when(F.col("completed"), F.col("period"))) + 1, F.lit(1)).alias("next_period"),
+        F.count_if(F.col("completed")).alias("n_completed"),
+    )
+
+
+@query
+def upcoming_filter(spark, sf_dir):
+    """Slate of period 6: not completed (NULL kept), home class BUILDING."""
+    m = _meetings3(spark, sf_dir)
+    s = clean.slate(m, "period", 6, "completed3", ["home_segment"], "BUILDING")
+    return s.select("order_key", "line", "season", "period", "completed3")
+
+
+def _docs_labels(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    lab = table(spark, sf_dir, "labels")
+    return d.join(lab, "doc_id", "left")
+
+
+@query
+def labelled_filter(spark, sf_dir):
+    """Keep rows whose four named columns are all non-null."""
+    return clean.require_non_null(_docs_labels(spark, sf_dir), ["doc_id", "lang", "quality", "toxic"])
+
+
+@query
+def class_exclusion(spark, sf_dir):
+    """P5: drop parts whose type or name contains a pattern, case-insensitive."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_name")
+    return clean.exclude_classes(p, ["p_type", "p_name"], ("promo", "economy", "sma"))
+
+
+@query
+def leakage_drop(spark, sf_dir):
+    """Drop leakage / identifier columns that are present (absent ones ignored)."""
+    m = st.meetings(spark, sf_dir).drop("start_ts")
+    return clean.drop_present(m, ["home_points", "away_points", "completed", "startDate", "not_a_column"])
+
+
+@query
+def essential_drop(spark, sf_dir):
+    """Drop rows with a NULL in a present essential column."""
+    return clean.drop_null_essentials(_docs_labels(spark, sf_dir), ["doc_id", "quality", "toxic", "homeTeam"])
+
+
+@query
+def drop_audit(spark, sf_dir):
+    """Rows before / after the essential drop, one pass."""
+    return clean.essential_drop_audit(_docs_labels(spark, sf_dir), ["doc_id", "quality", "toxic", "homeTeam"])
+
+
+@query
+def column_dedupe(spark, sf_dir):
+    """P10: a join that repeats a column name, plus a *_dup column; keep the first."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    lab = table(spark, sf_dir, "labels")
+    joined = d.join(lab, d.doc_id == lab.doc_id, "left").withColumn("lang_dup", F.upper(d.lang))
+    return reshape.dedupe_columns(joined)
+
+
+# --------------------------------------------------------------------------
+# Reshaping (A1, A2, W3) and enrichment
+# --------------------------------------------------------------------------
+EVENT_TYPES = ["view", "signup", "purchase", "error", "click"]
+
+
+def _events_weekly(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    week = (F.floor(F.datediff(F.col("ts"), F.lit("2024-01-01")) / 7) + 1).cast("int")
+    return e.withColumn("week", week).withColumn("season", F.year("ts"))
+
+
+@query
+def long_to_wide(spark, sf_dir):
+    """A1: per (user, week) the first non-null value of each event type by time."""
+    e = _events_weekly(spark, sf_dir)
+    wide = reshape.pivot_first(e, ["user_id", "week"], "event_type", "value", EVENT_TYPES, "ts")
+    return wide
+
+
+@query
+def cumulative_through_week(spark, sf_dir):
+    """Per user running totals through each week 1..5 (idle weeks included)."""
+    e = _events_weekly(spark, sf_dir).withColumn("n_events", F.lit(1))
+    cum = reshape.cumulate(e, "user_id", "season", "week", ["value", "n_events"], 5)
+    return cum.select("user_id", "season", "week", _r("value").alias("total_value"), F.col("n_events").cast("long").alias("n_events"))
+
+
+def _history_wide(spark, sf_dir):
+    return reshape.pivot_first(
+        st.history_long(spark, sf_dir), ["entity", "season", "period"], "stat_name", "stat_value", st.STAT_NAMES, "ord"
+    )
+
+
+@query
+def lag_week_join(spark, sf_dir):
+    """Each side's facts of exactly period - 1 (an idle period gives NULL)."""
+    m = st.meetings(spark, sf_dir).select("order_key", "line", "season", "period", "home", "away")
+    j = enrich.join_point_in_time(
+        m, _history_wide(spark, sf_dir), "season", "period", {"home": "home", "away": "away"}, "entity",
+        ["urgent", "low"], lag=1, flag_name="week",
+    )
+    return j.select(
+        "order_key", "line", _r("home_urgent").alias("home_urgent"), _r("home_low").alias("home_low"),
+        _r("away_urgent").alias("away_urgent"), _r("away_low").alias("away_low"), "home_has_week", "away_has_week",
+    )
+
+
+def _meeting_keys(spark, sf_dir):
+    return st.meetings(spark, sf_dir).select("order_key", "line", "season", "period", "home", "away")
+
+
+@query
+def dual_lookup(spark, sf_dir):
+    """One measure per side on (season, entity), and its differential."""
+    j = enrich.join_sides(_meeting_keys(spark, sf_dir), st.nation_season_dim(spark, sf_dir), "season",
+                          {"home": "home", "away": "away"}, "entity", ["talent"])
+    j = enrich.differential(j, "home_talent", "away_talent", "talent_differential")
+    return j.select("order_key", "line", *[_r(c, 6).alias(c) for c in ("home_talent", "away_talent", "talent_differential")])
+
+
+def _supplier_dim(spark, sf_dir):
+    """(season, entity) -> every non-key column: supplier count and balance by nation,
+    for the seasons in which the nation's suppliers shipped a line."""
+    l = table(spark, sf_dir, "lineitem")
+    s = table(spark, sf_dir, "supplier")
+    return (
+        l.join(s, l.l_suppkey == s.s_suppkey)
+        .groupBy(F.year("l_shipdate").alias("season"), F.col("s_nationkey").alias("entity"))
+        .agg(F.count_distinct("s_suppkey").alias("suppliers"), F.max("s_acctbal").alias("top_balance"))
+    )
+
+
+@query
+def dual_lookup_all(spark, sf_dir):
+    """Every non-key column of the dimension, prefixed per side."""
+    j = enrich.join_sides(_meeting_keys(spark, sf_dir), _supplier_dim(spark, sf_dir), "season",
+                          {"home": "home", "away": "away"}, "entity", None)
+    return j.select("order_key", "line", "home_suppliers", "home_top_balance", "away_suppliers", "away_top_balance")
+
+
+@query
+def median_fill(spark, sf_dir):
+    """Missing side measures take that season's median over the whole dimension."""
+    dim = st.nation_season_dim(spark, sf_dir)
+    j = enrich.join_sides(_meeting_keys(spark, sf_dir), dim, "season", {"home": "home", "away": "away"}, "entity", ["talent"])
+    filled = enrich.fill_group_median(j, dim, "season", "season", "talent", ["home_talent", "away_talent"])
+    return filled.select("order_key", "line", _r("home_talent", 6).alias("home_talent"), _r("away_talent", 6).alias("away_talent"))
+
+
+def _pairs(spark, sf_dir):
+    """(season, home, away) -> probability-like mean, only for pairs met >= 3 times."""
+    m = st.meetings(spark, sf_dir)
+    return (
+        m.groupBy("season", "home", "away")
+        .agg(F.avg(F.col("discount") * 10).alias("p_home"), F.count(F.lit(1)).alias("n"))
+        .where(F.col("n") >= 3)
+        .select("season", "home", "away", "p_home")
+    )
+
+
+def _pair_lookup(spark, sf_dir):
+    m = _meeting_keys(spark, sf_dir)
+    pairs = _pairs(spark, sf_dir).select(F.col("season").alias("ps"), F.col("home").alias("ph"), F.col("away").alias("pa"), "p_home")
+    j = enrich.join_pair(m, pairs, {"season": "ps", "home": "ph", "away": "pa"}, ["p_home"])
+    return j.withColumn("p_away", scalar.complement("p_home")).withColumn(
+        "p_differential", F.col("p_home") - F.col("p_away")
+    )
+
+
+@query
+def pair_lookup(spark, sf_dir):
+    """Lookup on (season, home, away); complement and its differential."""
+    j = _pair_lookup(spark, sf_dir)
+    return j.select("order_key", "line", *[_r(c, 6).alias(c) for c in ("p_home", "p_away", "p_differential")])
+
+
+@query
+def coverage(spark, sf_dir):
+    """Per season, count and share of meetings the pair lookup covered."""
+    cov = enrich.coverage(_pair_lookup(spark, sf_dir), ["p_home"], by=["season"])
+    return cov.select("season", "n_rows", "n_p_home", _r("share_p_home", 6).alias("share_p_home"))
+
+
+@query
+def first_element(spark, sf_dir):
+    """first element's field of a per-line array; empty or NULL array gives NULL."""
+    l = table(spark, sf_dir, "lineitem")
+    lines = F.filter(
+        F.array(
+            F.struct(F.lit("d").alias("provider"), F.col("l_discount").alias("spread")),
+            F.struct(F.lit("t").alias("provider"), F.col("l_tax").alias("spread")),
+        ),
+        lambda x: x["spread"] >= 0.04,
+    )
+    arr = F.when(F.col("l_returnflag") != "N", lines)
+    return l.select(
+        F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("line"),
+        scalar.first_field(arr, "spread").alias("spread_line"),
+    )
+
+
+def _event_record(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    rec = F.struct(
+        F.col("value").alias("value"),
+        F.from_json("props", "k int").alias("props"),
+        F.struct(F.col("event_type").alias("name"), F.col("user_id").alias("uid")).alias("who"),
+        F.array(F.col("value")).alias("l"),
+        (F.col("event_type") == "error").alias("is_error"),
+    )
+    return e.select("event_id", rec.alias("o"))
+
+
+@query
+def nested_flatten(spark, sf_dir):
+    """numeric/boolean leaves to o_{path}; strings and lists dropped."""
+    return reshape.flatten_struct(_event_record(spark, sf_dir), "o", "o")
+
+
+@query
+def nested_extract(spark, sf_dir):
+    """F16: fixed JSON paths with default 0 when the path is missing."""
+    e = table(spark, sf_dir, "events").select("event_id", "props")
+    return reshape.extract_paths(e, "props", [("k", "k"), ("missing", "missing"), ("a.b", "a_b")], default=0)
+
+
+# --------------------------------------------------------------------------
+# Scalar functions and fills
+# --------------------------------------------------------------------------
+@query
+def target_derivation(spark, sf_dir):
+    """home_win (tie = 0) and margin; NULL unless both scores known."""
+    m = st.meetings(spark, sf_dir)
+    return labels.add_targets(m, "home_points", "away_points").select("order_key", "line", "home_win", "point_differential")
+
+
+@query
+def safe_casts(spark, sf_dir):
+    """Optional int/float/str, ISO-8601 text, boolean default."""
+    e = table(spark, sf_dir, "events")
+    flag = F.when(F.col("event_type") == "error", True).when(F.col("event_type") == "view", False)
+    return e.select(
+        "event_id",
+        scalar.safe_int(F.get_json_object("props", "$.k")).alias("k_int"),
+        scalar.safe_int(F.col("event_type")).alias("type_int"),
+        scalar.safe_float("value").alias("value_f"),
+        scalar.safe_str("user_id").alias("user_text"),
+        scalar.iso_timestamp(F.date_trunc("second", F.col("ts"))).alias("ts_iso"),
+        scalar.bool_default(flag).alias("is_error"),
+    )
+
+
+@query
+def bool_to_int(spark, sf_dir):
+    """booleans to 0/1 (NULL stays NULL)."""
+    m = _meetings3(spark, sf_dir).select("order_key", "line", "completed", "completed3")
+    return scalar.bool_to_int(m)
+
+
+@query
+def coerce_numeric(spark, sf_dir):
+    """lenient numeric cast; unparsable -> 0 (feature) or row dropped (target)."""
+    e = table(spark, sf_dir, "events")
+    k_text = F.get_json_object("props", "$.k")
+    out = e.select(
+        "event_id",
+        scalar.coerce_numeric(k_text).alias("k_num"),
+        scalar.coerce_numeric(F.col("event_type")).alias("type_num"),
+        scalar.coerce_numeric(F.concat(F.lit("1"), F.col("event_type")), fill=None).alias("target"),
+    )
+    return out.union(
+        e.select("event_id", scalar.coerce_numeric(k_text).alias("k_num"), F.lit(0.0).alias("type_num"),
+                 scalar.coerce_numeric(k_text, fill=None).alias("target"))
+    ).where(F.col("target").isNotNull())
+
+
+@query
+def null_defaults(spark, sf_dir):
+    """NULL defaults by type: numeric 0, string ''."""
+    return scalar.null_defaults(_docs_labels(spark, sf_dir))
+
+
+@query
+def zero_fill_listed(spark, sf_dir):
+    """listed columns (those present) NULL -> 0 on the flagship output."""
+    pit = pit_dual_join(spark, sf_dir).select("order_key", "line", "home_urgent", "away_urgent", "home_low")
+    return clean.zero_fill_listed(pit, ["home_urgent", "away_urgent", "not_present"])
+
+
+@query
+def zero_fill_pattern(spark, sf_dir):
+    """numeric columns matched by name fragment NULL -> 0 (text untouched)."""
+    return clean.zero_fill_pattern(_docs_labels(spark, sf_dir), ("qual", "tox", "lang"))
+
+
+@query
+def residual_fill(spark, sf_dir):
+    """Numeric -> 0, text -> 'unknown'; categorical and keep-null untouched."""
+    d = _docs_labels(spark, sf_dir).withColumn("source", F.when(F.col("quality").isNotNull(), F.col("source")))
+    return clean.residual_fill(d, categorical=["lang"], keep_null=["toxic"], targets=[])
+
+
+@query
+def null_profile(spark, sf_dir):
+    """NULL count per column in one aggregate, unpivoted."""
+    d = _docs_labels(spark, sf_dir)
+    counts = d.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in d.columns])
+    stacked = counts.select(
+        F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("n_null")) for c in d.columns])).alias("kv")
+    ).select("kv.*")
+    return stacked.withColumn("needs_fill", F.col("n_null") > 0)
