@@ -392,3 +392,282 @@ c AS (
 )
 SELECT "column", n_null, n_null > 0 AS needs_fill FROM c
 """
+
+# --------------------------------------------------------------------------
+# Contract
+# --------------------------------------------------------------------------
+CUSTOMERS = """
+cn AS (
+  SELECT c.c_custkey, c.c_mktsegment, n.n_name, c.c_acctbal, c.c_nationkey
+  FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
+)"""
+
+SQL["category_vocab"] = f"""
+WITH {CUSTOMERS},
+v AS (
+  SELECT DISTINCT 'c_mktsegment' AS "column", c_mktsegment AS value FROM cn WHERE c_mktsegment IS NOT NULL
+  UNION
+  SELECT DISTINCT 'n_name', n_name FROM cn WHERE n_name IS NOT NULL
+)
+SELECT "column", value, CAST(row_number() OVER (PARTITION BY "column" ORDER BY value) - 1 AS INTEGER) AS value_index FROM v
+"""
+
+SQL["category_align"] = f"""
+WITH {CUSTOMERS}
+SELECT c_custkey,
+       CASE WHEN c_mktsegment IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE') THEN c_mktsegment END AS c_mktsegment,
+       CASE WHEN n_name IN ('NATION_1', 'NATION_2', 'NATION_3') THEN n_name END AS n_name
+FROM cn
+"""
+
+SQL["unseen_audit"] = f"""
+WITH {CUSTOMERS},
+p AS (
+  SELECT 'c_mktsegment' AS "column", c_mktsegment AS value FROM cn
+  UNION ALL SELECT 'n_name', n_name FROM cn
+),
+u AS (
+  SELECT * FROM p WHERE value IS NOT NULL
+    AND NOT (("column" = 'c_mktsegment' AND value IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE'))
+          OR ("column" = 'n_name' AND value IN ('NATION_1', 'NATION_2', 'NATION_3')))
+),
+pv AS (SELECT "column", value, count(*) AS n FROM u GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY value) AS rk FROM pv)
+SELECT "column", CAST(sum(n) AS BIGINT) AS n_unseen, count(*) AS n_distinct_unseen,
+       string_agg(value, ',' ORDER BY value) FILTER (WHERE rk <= 5) AS unseen_sample
+FROM rk GROUP BY "column"
+"""
+
+SQL["schema_align"] = f"""
+WITH {CUSTOMERS}
+SELECT c_custkey, CAST(c_acctbal AS DOUBLE) AS c_acctbal,
+       CASE WHEN c_mktsegment IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE') THEN c_mktsegment END AS c_mktsegment,
+       CAST(0 AS DOUBLE) AS missing_num, CAST(NULL AS VARCHAR) AS missing_cat,
+       CAST(c_nationkey AS DOUBLE) AS c_nationkey,
+       CASE WHEN n_name IN ('NATION_1', 'NATION_2', 'NATION_3') THEN n_name END AS n_name
+FROM cn
+"""
+
+SQL["schema_diff"] = f"""
+WITH {CUSTOMERS},
+meta("column", status, role) AS (VALUES
+  ('c_acctbal', 'present', 'numeric'), ('c_mktsegment', 'present', 'categorical'),
+  ('missing_num', 'missing', 'numeric'), ('missing_cat', 'missing', 'categorical'),
+  ('c_nationkey', 'present', 'numeric'), ('n_name', 'present', 'categorical')
+),
+cnt AS (
+  SELECT 'c_acctbal' AS "column", count(c_acctbal) AS n_non_null FROM cn
+  UNION ALL SELECT 'c_mktsegment', count(c_mktsegment) FROM cn
+  UNION ALL SELECT 'c_nationkey', count(c_nationkey) FROM cn
+  UNION ALL SELECT 'n_name', count(n_name) FROM cn
+)
+SELECT meta."column", status, role, n_non_null FROM meta LEFT JOIN cnt ON meta."column" = cnt."column"
+"""
+
+# --------------------------------------------------------------------------
+# Splits, metrics, calibration
+# --------------------------------------------------------------------------
+SQL["temporal_split"] = """
+SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS season,
+       CASE WHEN year(o_orderdate) <= 1998 THEN 'train' WHEN year(o_orderdate) = 1999 THEN 'calib'
+            WHEN year(o_orderdate) = 2000 THEN 'holdout' END AS split,
+       year(o_orderdate) <= 2000 AS split_prod
+FROM orders
+"""
+
+SCORED = """
+sd AS (
+  SELECT d.doc_id, d.lang, l.quality, CAST(d.n_chars AS DOUBLE) / (CAST(d.n_chars AS DOUBLE) + 2000.0) AS p
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+)"""
+
+SQL["binary_metrics"] = f"""
+WITH {SCORED}
+SELECT lang, count(*) AS n,
+       round(avg(CASE WHEN CAST(p >= 0.5 AS DOUBLE) = quality THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
+       round(avg((p - quality) * (p - quality)), 6) AS brier,
+       round(-avg(quality * ln(greatest(least(p, 1 - 1e-15), 1e-15))
+                 + (1 - quality) * ln(1 - greatest(least(p, 1 - 1e-15), 1e-15))), 6) AS logloss
+FROM sd GROUP BY lang
+"""
+
+SQL["auc"] = f"""
+WITH {SCORED},
+r AS (
+  SELECT lang, quality AS y,
+         rank() OVER (PARTITION BY lang ORDER BY p) + (count(*) OVER (PARTITION BY lang, p) - 1) / 2.0 AS ar
+  FROM sd
+)
+SELECT lang,
+       round((sum(ar) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0)
+             / (count(*) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y = 0)), 6) AS auc,
+       count(*) FILTER (WHERE y = 1) AS n_pos, count(*) FILTER (WHERE y = 0) AS n_neg
+FROM r GROUP BY lang
+"""
+
+SQL["regression_metrics"] = """
+WITH x AS (SELECT l_returnflag, l_quantity - 25 AS y, l_discount * 500 - 25 AS pred FROM lineitem)
+SELECT l_returnflag, count(*) AS n, round(avg(abs(pred - y)), 6) AS mae,
+       round(sqrt(avg((pred - y) * (pred - y))), 6) AS rmse,
+       round(avg(CASE WHEN sign(pred) = sign(y) THEN 1.0 ELSE 0.0 END), 6) AS sign_accuracy
+FROM x GROUP BY l_returnflag
+"""
+
+
+def _isotonic(where: str = "TRUE") -> str:
+    """Fitted isotonic value per distinct score: max over j<=i of min over k>=i of mean(j..k)."""
+    return f"""
+ig AS (SELECT p AS x, CAST(sum(quality) AS DOUBLE) AS sy, CAST(count(*) AS DOUBLE) AS w FROM sd WHERE {where} GROUP BY p),
+ic AS (SELECT x, sy, w, row_number() OVER (ORDER BY x) AS i,
+              sum(sy) OVER (ORDER BY x) AS csy, sum(w) OVER (ORDER BY x) AS cw FROM ig),
+ip AS (SELECT a.i AS j, b.i AS k, (b.csy - a.csy + a.sy) / (b.cw - a.cw + a.w) AS mean
+       FROM ic a JOIN ic b ON a.i <= b.i),
+imn AS (SELECT ic.i, ip.j, min(ip.mean) AS mn FROM ic JOIN ip ON ip.j <= ic.i AND ip.k >= ic.i GROUP BY ic.i, ip.j),
+knots AS (SELECT ic.x, max(imn.mn) AS y FROM ic JOIN imn ON imn.i = ic.i GROUP BY ic.x)"""
+
+
+def _interp(src: str, score: str) -> str:
+    """Piecewise-linear interpolation of ``score`` over ``knots``, ends clamped."""
+    return f"""
+SELECT {src}.*, CASE
+  WHEN lo.x IS NULL THEN hi.y
+  WHEN hi.x IS NULL THEN lo.y
+  ELSE lo.y + ({src}.{score} - lo.x) * (hi.y - lo.y) / (hi.x - lo.x) END AS p_cal
+FROM {src}
+ASOF LEFT JOIN knots lo ON {src}.{score} >= lo.x
+ASOF LEFT JOIN knots hi ON {src}.{score} < hi.x"""
+
+
+SQL["isotonic_fit"] = f"""
+WITH {SCORED}, {_isotonic()}
+SELECT x AS score, round(y, 6) AS fitted FROM knots
+"""
+
+SQL["calibrate_interp"] = f"""
+WITH {SCORED}, {_isotonic()},
+docs AS (SELECT doc_id, CAST(n_chars AS DOUBLE) / (CAST(n_chars AS DOUBLE) + 2000.0) AS p FROM documents),
+cal AS ({_interp('docs', 'p')})
+SELECT doc_id, p, round(greatest(least(p_cal, 1.0), 0.0), 6) AS p_cal FROM cal
+"""
+
+SQL["calibration_decision"] = f"""
+WITH {SCORED}, {_isotonic("lang = 'en'")},
+hold AS (SELECT * FROM sd WHERE lang <> 'en'),
+cal AS ({_interp('hold', 'p')}),
+b AS (
+  SELECT avg((p - quality) * (p - quality)) AS brier_raw,
+         avg((greatest(least(p_cal, 1.0), 0.0) - quality) * (greatest(least(p_cal, 1.0), 0.0) - quality)) AS brier_calibrated
+  FROM cal
+)
+SELECT round(brier_raw, 6) AS brier_raw, round(brier_calibrated, 6) AS brier_calibrated,
+       coalesce(brier_calibrated <= brier_raw, FALSE) AS ship_calibration,
+       CASE WHEN brier_calibrated <= brier_raw THEN 'isotonic' ELSE 'none' END AS method
+FROM b
+"""
+
+# --------------------------------------------------------------------------
+# Scoring display and publishing
+# --------------------------------------------------------------------------
+SLATE = """
+sl AS (
+  SELECT order_key, line, season, period, home, away, quantity,
+         quantity / 51.0 AS p,
+         CASE WHEN quantity / 51.0 >= 0.5 THEN 'N' || CAST(home AS VARCHAR) ELSE 'N' || CAST(away AS VARCHAR) END AS predicted_winner,
+         greatest(quantity / 51.0, 1.0 - quantity / 51.0) AS conf,
+         (quantity - 25.5) * 0.7 AS margin,
+         CASE WHEN flag <> 'N' THEN start_ts END AS kickoff_ts,
+         CASE WHEN flag <> 'R' THEN home_segment END AS home_label
+  FROM m
+)"""
+
+SQL["pick_winner"] = f"""
+WITH {MEETING}, {SLATE}
+SELECT order_key, line, round(p, 4) AS home_win_probability, predicted_winner,
+       round(conf, 4) AS confidence, round((quantity - 25.5) / 2, 1) AS predicted_margin
+FROM sl
+"""
+
+SQL["slate_sort"] = f"""
+WITH {MEETING}, {SLATE}
+SELECT season, period, order_key, line, strftime(kickoff_ts, '%Y-%m-%d %H:%M:%S') AS kickoff,
+       round(conf, 4) AS confidence,
+       CAST(row_number() OVER (PARTITION BY season, period
+                               ORDER BY kickoff_ts ASC NULLS FIRST, round(conf, 4) DESC, order_key, line) AS INTEGER) AS position
+FROM sl
+"""
+
+SQL["display_columns"] = f"""
+WITH {MEETING}, {SLATE},
+x AS (SELECT *, CAST(floor(p * 100 + 0.5) AS INTEGER) AS hp, floor(margin * 10 + 0.5) / 10 AS nm FROM sl)
+SELECT order_key, line, hp AS home_pct, 100 - hp AS away_pct, hp >= 100 - hp AS home_favored,
+       CASE WHEN nm > 0 THEN '+' || printf('%.1f', nm) ELSE printf('%.1f', nm) END AS away_spread,
+       coalesce(strftime(timezone('America/Chicago', timezone('UTC', kickoff_ts)), '%-I:%M %p'), 'TBD') AS kickoff,
+       CASE WHEN margin > 0 THEN 'plus' WHEN margin < 0 THEN 'minus' WHEN margin = 0 THEN 'even' END AS margin_class,
+       coalesce(home_label, '—') AS home_label
+FROM x
+"""
+
+SQL["season_of_date"] = """
+SELECT o_orderkey, CAST(CASE WHEN month(o_orderdate) >= 8 THEN year(o_orderdate) ELSE year(o_orderdate) - 1 END AS INTEGER) AS season
+FROM orders
+"""
+
+WEEK_INDEX = """
+wi AS (
+  SELECT CAST(year(o_orderdate) AS INTEGER) AS season, CAST(month(o_orderdate) AS INTEGER) AS week,
+         count(*) AS n_games, max(o_orderdate) AS last_ts
+  FROM orders GROUP BY 1, 2
+)"""
+
+SQL["week_nav"] = f"""
+WITH {WEEK_INDEX}
+SELECT season, week,
+       lag(season) OVER w AS prev_season, lag(week) OVER w AS prev_week,
+       lead(season) OVER w AS next_season, lead(week) OVER w AS next_week
+FROM wi WINDOW w AS (ORDER BY season, week)
+"""
+
+SQL["weeks_by_season"] = f"""
+WITH {WEEK_INDEX},
+s AS (
+  SELECT season, string_agg(CAST(week AS VARCHAR), ',' ORDER BY week) AS weeks,
+         count(DISTINCT week) AS n_weeks, CAST(sum(n_games) AS BIGINT) AS n_games
+  FROM wi GROUP BY season
+)
+SELECT *, CAST(row_number() OVER (ORDER BY season DESC) AS INTEGER) AS season_rank FROM s
+"""
+
+SQL["latest_run"] = f"""
+WITH {WEEK_INDEX}
+SELECT season, week, strftime(last_ts, '%Y-%m-%d %H:%M:%S') AS generated_at, n_games
+FROM wi ORDER BY last_ts DESC, season DESC, week DESC LIMIT 1
+"""
+
+GAMES = """
+gm AS (
+  SELECT o.o_orderkey AS id, CAST(year(o.o_orderdate) AS INTEGER) AS season,
+         CAST(month(o.o_orderdate) AS INTEGER) AS week,
+         strftime(o.o_orderdate, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS kickoff,
+         c.c_name AS home_team, n.n_name AS away_team,
+         round(o.o_totalprice / (o.o_totalprice + 150000.0), 4) AS home_win_probability,
+         CASE WHEN o.o_totalprice / (o.o_totalprice + 150000.0) >= 0.5 THEN c.c_name ELSE n.n_name END AS predicted_winner,
+         round(greatest(o.o_totalprice / (o.o_totalprice + 150000.0), 1.0 - o.o_totalprice / (o.o_totalprice + 150000.0)), 4) AS confidence
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
+)"""
+
+SQL["publish_roundtrip"] = f"""
+WITH {GAMES}
+SELECT * FROM gm
+"""
+
+SQL["publish_guard"] = f"""
+WITH {GAMES}
+SELECT season, week, CASE WHEN season <= 1997 THEN 'r1' ELSE 'r2' END AS run_id, count(*) AS n_games
+FROM gm GROUP BY ALL
+"""
+
+SQL["list_weeks"] = f"""
+WITH {GAMES},
+w AS (SELECT DISTINCT season, week FROM gm)
+SELECT season, week, CAST(row_number() OVER (ORDER BY season, week) AS INTEGER) AS position FROM w
+"""

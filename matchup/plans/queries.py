@@ -78,7 +78,8 @@ from pyspark.sql.types import (  # noqa: E402
 )
 
 from matchup.functions import display, scalar  # noqa: E402
-from matchup.operators import clean, contract, metrics  # noqa: E402
+from matchup.operators import calibrate, clean, contract, metrics  # noqa: E402
+import os  # noqa: E402
 from matchup.session import scratch_path  # noqa: E402
 from matchup.sources import catalog, publish  # noqa: E402
 from matchup.sources.tables import table  # noqa: E402
@@ -510,3 +511,282 @@ def null_profile(spark, sf_dir):
         F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("n_null")) for c in d.columns])).alias("kv")
     ).select("kv.*")
     return stacked.withColumn("needs_fill", F.col("n_null") > 0)
+
+
+# --------------------------------------------------------------------------
+# Contract: vocabulary, alignment, diff, audits
+# --------------------------------------------------------------------------
+def _customers(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    n = table(spark, sf_dir, "nation")
+    return c.join(n, c.c_nationkey == n.n_nationkey).select("c_custkey", "c_mktsegment", "n_name", "c_acctbal", "c_nationkey")
+
+
+SHORT_VOCAB = {"c_mktsegment": ["AUTOMOBILE", "BUILDING", "FURNITURE"], "n_name": ["NATION_1", "NATION_2", "NATION_3"]}
+
+
+def _short_contract():
+    return contract.FeatureContract(
+        feature_columns=["c_acctbal", "c_mktsegment", "missing_num", "missing_cat", "c_nationkey", "n_name"],
+        categorical_features=["c_mktsegment", "missing_cat", "n_name"],
+        categorical_values={**SHORT_VOCAB, "missing_cat": []},
+        essential_features=["c_acctbal"],
+    )
+
+
+@query
+def category_vocab(spark, sf_dir):
+    """Sorted vocabulary of each categorical column, with the value index."""
+    v = contract.vocabulary(_customers(spark, sf_dir), ["c_mktsegment", "n_name"])
+    return v.withColumn("value_index", F.row_number().over(Window.partitionBy("column").orderBy("value")) - 1)
+
+
+@query
+def category_align(spark, sf_dir):
+    """F8: values outside the (shortened) vocabulary become NULL."""
+    c = _customers(spark, sf_dir)
+    ctr = contract.FeatureContract(["c_mktsegment", "n_name"], ["c_mktsegment", "n_name"], SHORT_VOCAB)
+    return contract.align(c, ctr, keep=["c_custkey"])
+
+
+@query
+def unseen_audit(spark, sf_dir):
+    """Rows with unseen categories per column and the 5 smallest unseen values."""
+    return contract.audit_unseen(_customers(spark, sf_dir), _short_contract())
+
+
+@query
+def schema_align(spark, sf_dir):
+    """Contract order; missing numeric 0.0, missing categorical NULL."""
+    return contract.align(_customers(spark, sf_dir), _short_contract(), keep=["c_custkey"])
+
+
+@query
+def schema_diff(spark, sf_dir):
+    """Missing / extra / present columns against the contract, with non-null counts."""
+    return contract.schema_diff(_customers(spark, sf_dir), _short_contract(), ignore=["c_custkey"])
+
+
+# --------------------------------------------------------------------------
+# Splits and metrics
+# --------------------------------------------------------------------------
+@query
+def temporal_split(spark, sf_dir):
+    """Train <= 1998, calib 1999, holdout 2000, production <= 2000; empty split raises."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.year("o_orderdate").alias("season"))
+    s = labels.split_by_season(o, "season", 1998, 1999, 2000, prod_max=2000)
+    labels.require_splits(labels.split_counts(s))
+    return s
+
+
+def _scored_docs(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    lab = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    n = F.col("n_chars").cast("double")
+    return d.join(lab, "doc_id").withColumn("p", n / (n + F.lit(2000.0)))
+
+
+@query
+def binary_metrics(spark, sf_dir):
+    """Accuracy, Brier, log-loss per language."""
+    m = metrics.binary_metrics(_scored_docs(spark, sf_dir), "quality", "p", by=["lang"])
+    return m.select("lang", "n", *[_r(c, 6).alias(c) for c in ("accuracy", "brier", "logloss")])
+
+
+@query
+def auc(spark, sf_dir):
+    """Exact ROC AUC (ties count half) per language."""
+    a = metrics.auc(_scored_docs(spark, sf_dir), "quality", "p", by=["lang"])
+    return a.select("lang", _r("auc", 6).alias("auc"), "n_pos", "n_neg")
+
+
+@query
+def regression_metrics(spark, sf_dir):
+    """MAE, RMSE, sign accuracy per return flag."""
+    l = table(spark, sf_dir, "lineitem").select(
+        "l_returnflag",
+        (F.col("l_quantity") - 25).alias("y"),
+        (F.col("l_discount") * 500 - 25).alias("pred"),
+    )
+    m = metrics.regression_metrics(l, "y", "pred", by=["l_returnflag"])
+    return m.select("l_returnflag", "n", *[_r(c, 6).alias(c) for c in ("mae", "rmse", "sign_accuracy")])
+
+
+@query
+def isotonic_fit(spark, sf_dir):
+    """M4: isotonic fit of quality on the score; fitted value at every distinct score."""
+    docs = _scored_docs(spark, sf_dir)
+    xs, ys = calibrate.fit_isotonic(docs, "p", "quality")
+    distinct = docs.select(F.col("p").alias("score")).distinct()
+    return calibrate.interpolate(distinct, "score", xs, ys, "fitted").select("score", _r("fitted", 6).alias("fitted"))
+
+
+@query
+def calibrate_interp(spark, sf_dir):
+    """Knots fitted on the labelled documents applied to every document."""
+    xs, ys = calibrate.fit_isotonic(_scored_docs(spark, sf_dir), "p", "quality")
+    n = F.col("n_chars").cast("double")
+    docs = table(spark, sf_dir, "documents").select("doc_id", (n / (n + F.lit(2000.0))).alias("p"))
+    out = calibrate.apply_calibration(docs, "p", {"method": "isotonic", "X_thresholds": xs, "y_thresholds": ys}, "p_cal")
+    return out.select("doc_id", "p", _r("p_cal", 6).alias("p_cal"))
+
+
+@query
+def calibration_decision(spark, sf_dir):
+    """Fit on English documents; keep calibration only if holdout Brier does not worsen."""
+    docs = _scored_docs(spark, sf_dir)
+    xs, ys = calibrate.fit_isotonic(docs.where(F.col("lang") == "en"), "p", "quality")
+    hold = calibrate.interpolate(docs.where(F.col("lang") != "en"), "p", xs, ys, "p_cal")
+    raw = hold.select("quality", F.col("p").alias("prob"), F.lit("raw").alias("variant"))
+    cal = hold.select("quality", F.col("p_cal").alias("prob"), F.lit("isotonic").alias("variant"))
+    m = metrics.binary_metrics(raw.unionByName(cal), "quality", "prob", by=["variant"])
+    d = metrics.calibration_decision(m)
+    return d.select(_r("brier_raw", 6).alias("brier_raw"), _r("brier_calibrated", 6).alias("brier_calibrated"),
+                    "ship_calibration", "method")
+
+
+# --------------------------------------------------------------------------
+# Scoring display and publishing
+# --------------------------------------------------------------------------
+def _slate(spark, sf_dir):
+    m = st.meetings(spark, sf_dir)
+    p = F.col("quantity") / F.lit(51.0)
+    winner, conf = scalar.pick_winner(p, F.concat(F.lit("N"), F.col("home").cast("string")),
+                                      F.concat(F.lit("N"), F.col("away").cast("string")))
+    return m.select(
+        "order_key", "line", "season", "period", "home", "away",
+        p.alias("p"), winner.alias("predicted_winner"), conf.alias("conf"),
+        "quantity",
+        ((F.col("quantity") - 25.5) * 0.7).alias("margin"),
+        F.when(F.col("flag") != "N", F.col("start_ts")).alias("kickoff_ts"),
+        F.when(F.col("flag") != "R", F.col("home_segment")).alias("home_label"),
+    )
+
+
+@query
+def pick_winner(spark, sf_dir):
+    """Winner at p >= 0.5, confidence max(p, 1 - p), rounded 4 / margin 1."""
+    s = _slate(spark, sf_dir)
+    return s.select(
+        "order_key", "line",
+        scalar.round_half_up("p", 4).alias("home_win_probability"),
+        "predicted_winner",
+        scalar.round_half_up("conf", 4).alias("confidence"),
+        scalar.round_half_up((F.col("quantity") - 25.5) / 2, 1).alias("predicted_margin"),
+    )
+
+
+@query
+def slate_sort(spark, sf_dir):
+    """Per week: kickoff ascending (unknown first), rounded confidence descending, id."""
+    s = _slate(spark, sf_dir).withColumn("confidence", F.round("conf", 4))
+    order = Window.partitionBy("season", "period").orderBy(
+        F.col("kickoff_ts").asc_nulls_first(), F.col("confidence").desc(), "order_key", "line"
+    )
+    return s.select(
+        "season", "period", "order_key", "line", _ts_text("kickoff_ts").alias("kickoff"), "confidence",
+        F.row_number().over(order).alias("position"),
+    )
+
+
+@query
+def display_columns(spark, sf_dir):
+    """Percent pair, favourite, signed spread text, local kickoff, margin class."""
+    s = _slate(spark, sf_dir)
+    home, away, fav = display.percent_pair("p")
+    return s.select(
+        "order_key", "line", home.alias("home_pct"), away.alias("away_pct"), fav.alias("home_favored"),
+        display.spread_text("margin").alias("away_spread"),
+        display.kickoff_local("kickoff_ts").alias("kickoff"),
+        display.margin_class("margin").alias("margin_class"),
+        display.or_dash("home_label").alias("home_label"),
+    )
+
+
+@query
+def season_of_date(spark, sf_dir):
+    """month >= 8 belongs to its year's season, else the previous one."""
+    o = table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", scalar.season_of_date("o_orderdate").alias("season"))
+
+
+def _week_index(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return o.groupBy(F.year("o_orderdate").alias("season"), F.month("o_orderdate").alias("week")).agg(
+        F.count(F.lit(1)).alias("n_games"), F.max("o_orderdate").alias("last_ts")
+    )
+
+
+@query
+def week_nav(spark, sf_dir):
+    """Previous and next week across seasons."""
+    return publish.with_neighbours(_week_index(spark, sf_dir))
+
+
+@query
+def weeks_by_season(spark, sf_dir):
+    """Weeks per season (newest season first) and games per season."""
+    return publish.weeks_by_season(_week_index(spark, sf_dir), count_col="n_games")
+
+
+@query
+def latest_run(spark, sf_dir):
+    """The newest run by generated time."""
+    runs = _week_index(spark, sf_dir).select("season", "week", _ts_text("last_ts").alias("generated_at"), "n_games")
+    return publish.latest(runs)
+
+
+def _games(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    c = table(spark, sf_dir, "customer")
+    n = table(spark, sf_dir, "nation")
+    p = F.col("o_totalprice") / (F.col("o_totalprice") + F.lit(150000.0))
+    winner, conf = scalar.pick_winner(p, F.col("c_name"), F.col("n_name"))
+    return o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).select(
+        F.col("o_orderkey").alias("id"),
+        F.year("o_orderdate").alias("season"),
+        F.month("o_orderdate").alias("week"),
+        scalar.iso_timestamp("o_orderdate").alias("kickoff"),
+        F.col("c_name").alias("home_team"),
+        F.col("n_name").alias("away_team"),
+        F.round(p, 4).alias("home_win_probability"),
+        winner.alias("predicted_winner"),
+        F.round(conf, 4).alias("confidence"),
+    )
+
+
+GAME_COLS = ["id", "kickoff", "home_team", "away_team", "home_win_probability", "predicted_winner", "confidence"]
+
+
+@query
+def publish_roundtrip(spark, sf_dir):
+    """Publish every week's slate, read it back (partition discovery)."""
+    root = scratch_path(spark, "publish")
+    publish.publish(_games(spark, sf_dir), root, {"generated_at": "2026-12-01T00:00:00+00:00", "run_id": "r1"})
+    back = publish.read_games(spark, root)
+    return back.select(
+        F.col("id").cast("long").alias("id"), F.col("season").cast("int").alias("season"),
+        F.col("week").cast("int").alias("week"), *GAME_COLS[1:],
+    )
+
+
+@query
+def publish_guard(spark, sf_dir):
+    """Published weeks are not overwritten without force; empty slates write nothing."""
+    root = scratch_path(spark, "guard")
+    games = _games(spark, sf_dir)
+    publish.publish(games.where(F.col("season") <= 1997), root, {"run_id": "r1"})
+    publish.publish(games, root, {"run_id": "r2"})
+    written = publish.publish(games.where(F.lit(False)), root, {"run_id": "r3"})
+    assert written == 0
+    runs = spark.read.json(os.path.join(root, "runs"))
+    return runs.select(F.col("season").cast("int").alias("season"), F.col("week").cast("int").alias("week"),
+                       "run_id", F.col("n_games").cast("long").alias("n_games"))
+
+
+@query
+def list_weeks(spark, sf_dir):
+    """Published weeks from the folder layout, ordered, with their position."""
+    root = scratch_path(spark, "weeks")
+    publish.publish(_games(spark, sf_dir), root, {"run_id": "r1"})
+    return publish.list_weeks(spark, root)
