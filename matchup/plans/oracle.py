@@ -671,3 +671,60 @@ WITH {GAMES},
 w AS (SELECT DISTINCT season, week FROM gm)
 SELECT season, week, CAST(row_number() OVER (ORDER BY season, week) AS INTEGER) AS position FROM w
 """
+
+# --------------------------------------------------------------------------
+# End-to-end feature dataset and training matrix
+# --------------------------------------------------------------------------
+FEATURE_DATASET = """
+med AS (SELECT season, median(talent) AS md FROM nd GROUP BY season),
+pr AS (SELECT season, home, away, avg(discount * 10) AS p_home FROM m GROUP BY season, home, away HAVING count(*) >= 3),
+fd AS (
+  SELECT m.order_key, m.line, m.season, m.period, m.home, m.away, m.completed, m.home_points, m.away_points,
+         m.flag, m.home_segment,
+         h.urgent AS home_urgent, h.high AS home_high, h.medium AS home_medium,
+         h.unspecified AS home_unspecified, h.low AS home_low,
+         a.urgent AS away_urgent, a.high AS away_high, a.medium AS away_medium,
+         a.unspecified AS away_unspecified, a.low AS away_low,
+         h.entity IS NOT NULL AS home_has_stats, a.entity IS NOT NULL AS away_has_stats,
+         coalesce(th.talent, med.md) AS home_talent, coalesce(ta.talent, med.md) AS away_talent,
+         coalesce(th.talent, med.md) - coalesce(ta.talent, med.md) AS talent_differential,
+         pr.p_home, 1.0 - pr.p_home AS p_away, pr.p_home - (1.0 - pr.p_home) AS p_differential,
+         CASE WHEN m.home_points IS NOT NULL AND m.away_points IS NOT NULL
+              THEN CAST(m.home_points > m.away_points AS INTEGER) END AS home_win,
+         CAST(m.home_points - m.away_points AS DOUBLE) AS point_differential
+  FROM m
+  LEFT JOIN hc h ON h.season = m.season AND h.entity = m.home AND h.period = m.period - 1
+  LEFT JOIN hc a ON a.season = m.season AND a.entity = m.away AND a.period = m.period - 1
+  LEFT JOIN nd th ON th.season = m.season AND th.entity = m.home
+  LEFT JOIN nd ta ON ta.season = m.season AND ta.entity = m.away
+  LEFT JOIN med ON med.season = m.season
+  LEFT JOIN pr ON pr.season = m.season AND pr.home = m.home AND pr.away = m.away
+)"""
+
+_R2 = [f"{s}_{x}" for s in ("home", "away") for x in STATS]
+
+SQL["feature_dataset"] = f"""
+WITH {MEETING}, {HIST_WIDE}, {HIST_CUM}, {NATION_DIM}, {FEATURE_DATASET}
+SELECT order_key, line, season, period, home, away, completed, home_points, away_points, flag, home_segment,
+       {', '.join(f'round({c}, 2) AS {c}' for c in _R2)},
+       home_has_stats, away_has_stats,
+       round(home_talent, 6) AS home_talent, round(away_talent, 6) AS away_talent,
+       round(talent_differential, 6) AS talent_differential,
+       round(p_home, 6) AS p_home, round(p_away, 6) AS p_away, round(p_differential, 6) AS p_differential,
+       home_win, point_differential
+FROM fd
+"""
+
+SQL["training_matrix"] = f"""
+WITH {MEETING}, {HIST_WIDE}, {HIST_CUM}, {NATION_DIM}, {FEATURE_DATASET}
+SELECT order_key, line, season, period, home, away, home_segment,
+       {', '.join(f'round(coalesce({c}, 0), 2) AS {c}' for c in _R2)},
+       CAST(home_has_stats AS INTEGER) AS home_has_stats, CAST(away_has_stats AS INTEGER) AS away_has_stats,
+       round(coalesce(home_talent, 0), 6) AS home_talent, round(coalesce(away_talent, 0), 6) AS away_talent,
+       round(coalesce(talent_differential, 0), 6) AS talent_differential,
+       round(p_home, 6) AS p_home, round(p_away, 6) AS p_away, round(p_differential, 6) AS p_differential,
+       home_win, point_differential
+FROM fd
+WHERE home_points IS NOT NULL AND away_points IS NOT NULL AND NOT (coalesce(flag, '') ILIKE '%n%')
+  AND season IS NOT NULL AND period IS NOT NULL AND home IS NOT NULL AND away IS NOT NULL
+"""

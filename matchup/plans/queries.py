@@ -78,7 +78,7 @@ from pyspark.sql.types import (  # noqa: E402
 )
 
 from matchup.functions import display, scalar  # noqa: E402
-from matchup.operators import calibrate, clean, contract, metrics  # noqa: E402
+from matchup.operators import calibrate, clean, contract, learn, metrics  # noqa: E402
 import os  # noqa: E402
 from matchup.session import scratch_path  # noqa: E402
 from matchup.sources import catalog, publish  # noqa: E402
@@ -790,3 +790,121 @@ def list_weeks(spark, sf_dir):
     root = scratch_path(spark, "weeks")
     publish.publish(_games(spark, sf_dir), root, {"run_id": "r1"})
     return publish.list_weeks(spark, root)
+
+
+# --------------------------------------------------------------------------
+# End-to-end jobs (E1-E9) and learning (M1-M11): the model queries have no
+# SQL oracle (rows-only check); their bounds are unit-tested.
+# --------------------------------------------------------------------------
+from matchup.plans import jobs  # noqa: E402
+
+_FD_ROUND2 = jobs.STAT_COLS
+_FD_ROUND6 = ["home_talent", "away_talent", "talent_differential", "p_home", "p_away", "p_differential"]
+
+
+def _rounded(df, keep):
+    return df.select(
+        *[_r(c).alias(c) if c in _FD_ROUND2 else _r(c, 6).alias(c) if c in _FD_ROUND6 else F.col(c) for c in keep]
+    )
+
+
+@query
+def feature_dataset(spark, sf_dir):
+    """Meetings + history through period-1 + median-filled dims + pair lookup + targets."""
+    fd = jobs.feature_dataset(spark, sf_dir)
+    return _rounded(fd, [c for c in fd.columns if c != "start_ts"])
+
+
+@query
+def training_matrix(spark, sf_dir):
+    """Labelled rows, leakage dropped, class exclusion, cleaning; written by season."""
+    tm = jobs.training_matrix(spark, sf_dir, scratch_path(spark, "matrix"))
+    return _rounded(tm, tm.columns)
+
+
+def _trained(spark, sf_dir):
+    return jobs.train(spark, sf_dir)
+
+
+@query
+def gbt_winner(spark, sf_dir):
+    """M1 M2 M5: winner classifier, per-round calibration loss, best round by patience."""
+    t = _trained(spark, sf_dir)
+    rows = [(i + 1, float(v), i + 1 == t.winner.best_iteration) for i, v in enumerate(t.winner.losses)]
+    return spark.createDataFrame(rows, "round int, calib_loss double, is_best boolean")
+
+
+@query
+def gbt_margin(spark, sf_dir):
+    """M3: margin regressor (absolute loss), per-round calibration loss, best round."""
+    t = _trained(spark, sf_dir)
+    rows = [(i + 1, float(v), i + 1 == t.margin.best_iteration) for i, v in enumerate(t.margin.losses)]
+    return spark.createDataFrame(rows, "round int, calib_loss double, is_best boolean")
+
+
+@query
+def feature_importance(spark, sf_dir):
+    """Top 10 features of the production winner model, numbered."""
+    t = _trained(spark, sf_dir)
+    return learn.importances(spark, t.winner_prod, jobs.FEATURES, top=10)
+
+
+@query
+def holdout_report(spark, sf_dir):
+    """Holdout metrics by (model, variant)."""
+    return _trained(spark, sf_dir).report
+
+
+@query
+def search_leaderboard(spark, sf_dir):
+    """Seeded random search; top 5 trials by calibration log-loss."""
+    matrix = jobs.training_matrix(spark, sf_dir, scratch_path(spark, "search-matrix"))
+    data = labels.split_by_season(matrix, "season", jobs.TRAIN_MAX, jobs.CALIB, jobs.HOLDOUT).withColumn(
+        "home_win", F.col("home_win").cast("double")
+    ).persist()
+    train_df = data.where(F.col("split") == "train")
+    calib_df = data.where(F.col("split") == "calib")
+
+    def calib_logloss(model, df):
+        scored = learn.predict(model, df, "p")
+        return metrics.binary_metrics(scored, "home_win", "p").first()["logloss"]
+
+    trials = learn.draw_params(3, seed=42, max_depth_cap=5)
+    results = learn.random_search(train_df, calib_df, jobs.FEATURES, jobs.CATEGORICALS, "home_win", trials,
+                                  max_rounds=5, patience=2, parallelism=3, logloss_fn=calib_logloss)
+    table_ = spark.createDataFrame(results)
+    mean_s = F.avg("seconds").over(Window.partitionBy())
+    ranked = table_.withColumn("seconds_per_trial", mean_s).withColumn(
+        "rank", F.row_number().over(Window.orderBy("calib_logloss", "trial"))
+    )
+    out = ranked.where(F.col("rank") <= 5)
+    out.coalesce(1).write.mode("overwrite").json(scratch_path(spark, "search-report"))  # S15
+    return out.drop("seconds", "seconds_per_trial")
+
+
+@query
+def score_publish(spark, sf_dir):
+    """Score not-completed meetings, calibrate, publish per week, read back."""
+    t = _trained(spark, sf_dir)
+    scored = jobs.score(spark, sf_dir, t)
+    root = scratch_path(spark, "slates")
+    publish.publish(scored, root, {"generated_at": "2026-12-01T00:00:00+00:00",
+                                   "calibration_method": t.contract.calibration.get("method")})
+    return publish.read_games(spark, root)
+
+
+@query
+def model_report(spark, sf_dir):
+    """The saved contract read back and shown for readers."""
+    t = _trained(spark, sf_dir)
+    ctr = contract.load_contract(spark, t.contract_path)
+    h = ctr.honest_holdout_metrics
+    rows = [(ctr.calibration.get("method"), float(h["calibrated"][k]), float(h["uncalibrated"][k]), k)
+            for k in ("accuracy", "auc", "brier", "logloss")]
+    df = spark.createDataFrame(rows, "method string, calibrated double, uncalibrated double, metric string")
+    eff = display.effective_variant("method", "calibrated", "uncalibrated")
+    return df.select(
+        "metric", "method", eff.alias("value"),
+        F.when(F.col("metric") == "accuracy", display.pct_label(eff)).otherwise(display.fixed_label(eff, 3)).alias("label"),
+        display.all_finite(["calibrated", "uncalibrated"]).alias("valid"),
+    )
