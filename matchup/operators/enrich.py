@@ -15,7 +15,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchup.plans.physical import DEFAULT_BROADCAST_ROWS, bounded_broadcast
+from matchup.plans.physical import DEFAULT_BROADCAST_ROWS, bounded_broadcast, small_side
 
 
 def prefix_side(df: DataFrame, side: str, keys: Sequence[str], entity: str | None = None) -> DataFrame:
@@ -31,22 +31,29 @@ def prefix_side(df: DataFrame, side: str, keys: Sequence[str], entity: str | Non
     return df.select(*cols)
 
 
+def _prepare(right: DataFrame, keys: Sequence[str], payload: Sequence[str], max_rows: int) -> tuple[DataFrame, bool]:
+    """Project the right side once and probe its size once, for every role."""
+    cols = list(dict.fromkeys([*keys, *payload]))
+    return small_side(right.select(*cols), max_rows)
+
+
 def _side_join(
     events: DataFrame,
-    right: DataFrame,
+    right: tuple[DataFrame, bool],
     on: Sequence[tuple[object, str]],
     payload: Mapping[str, str],
     flag: str | None,
-    max_rows: int,
 ) -> DataFrame:
     """LEFT join ``right`` keyed by ``on`` = [(event expression, right column)]."""
     tag = "__r"
-    r = right.select(
+    frame, small = right
+    r = frame.select(
         *[F.col(rc).alias(f"{tag}{i}") for i, (_, rc) in enumerate(on)],
         *[F.col(src).alias(dst) for src, dst in payload.items()],
         *([F.lit(True).alias(flag)] if flag else []),
     )
-    r = bounded_broadcast(r, max_rows)
+    if small:
+        r = F.broadcast(r)
     cond = None
     for i, (ev, _) in enumerate(on):
         ev_col = F.col(ev) if isinstance(ev, str) else ev
@@ -82,15 +89,15 @@ def join_point_in_time(
     """
     hs = history_season or season
     hp = history_period or period
+    right = _prepare(history, [hs, entity, hp], measures, max_rows)
     out = events
     for side, side_col in sides.items():
         out = _side_join(
             out,
-            history,
+            right,
             on=[(season, hs), (side_col, entity), (F.col(period) - F.lit(lag), hp)],
             payload={m: f"{side}_{m}" for m in measures},
             flag=f"{side}_has_{flag_name}",
-            max_rows=max_rows,
         )
     return out
 
@@ -109,15 +116,15 @@ def join_sides(
     """Per-side lookup on (season, entity); ``measures=None`` takes all non-keys."""
     ds = dim_season or season
     cols = measures if measures is not None else [c for c in dim.columns if c not in (ds, entity)]
+    right = _prepare(dim, [ds, entity], cols, max_rows)
     out = events
     for side, side_col in sides.items():
         out = _side_join(
             out,
-            dim,
+            right,
             on=[(season, ds), (side_col, entity)],
             payload={m: f"{side}_{m}" for m in cols},
             flag=f"{side}_has_{flag_name}" if flag_name else None,
-            max_rows=max_rows,
         )
     return out
 
@@ -135,11 +142,10 @@ def join_pair(
     """
     return _side_join(
         events,
-        pairs,
+        _prepare(pairs, list(keys.values()), measures, max_rows),
         on=list(keys.items()),
         payload={m: m for m in measures},
         flag=None,
-        max_rows=max_rows,
     )
 
 

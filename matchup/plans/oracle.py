@@ -591,8 +591,8 @@ SQL["slate_sort"] = f"""
 WITH {MEETING}, {SLATE}
 SELECT season, period, order_key, line, strftime(kickoff_ts, '%Y-%m-%d %H:%M:%S') AS kickoff,
        round(conf, 4) AS confidence,
-       CAST(row_number() OVER (PARTITION BY season, period
-                               ORDER BY kickoff_ts ASC NULLS FIRST, round(conf, 4) DESC, order_key, line) AS INTEGER) AS position
+       row_number() OVER (PARTITION BY season, period
+                          ORDER BY kickoff_ts ASC NULLS FIRST, round(conf, 4) DESC, order_key, line) AS position
 FROM sl
 """
 

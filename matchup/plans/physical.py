@@ -11,7 +11,9 @@ computation when it is derived from a large table.
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Rows a broadcast side may hold. Dimension sides here are keyed by
@@ -19,18 +21,66 @@ from pyspark.sql import functions as F
 DEFAULT_BROADCAST_ROWS = 2_000_000
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, persist: bool = True) -> DataFrame:
-    """Broadcast ``df`` if it provably has at most ``max_rows`` rows."""
+def small_side(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, persist: bool = True) -> tuple[DataFrame, bool]:
+    """Probe ``df``; return (frame to join, whether it provably fits ``max_rows``).
+
+    A small side comes back persisted, so several joins (e.g. the home and
+    the away role of one dimension) share one computation of it.
+    """
     probed = df.persist(StorageLevel.MEMORY_AND_DISK) if persist else df
     n = probed.limit(max_rows + 1).count()
     if n <= max_rows:
-        return F.broadcast(probed)
+        return probed, True
     if persist:
         # Too big to broadcast: do not keep a large side cached either.
         probed.unpersist(blocking=False)
-    return df
+    return df, False
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, persist: bool = True) -> DataFrame:
+    """Broadcast ``df`` if it provably has at most ``max_rows`` rows."""
+    side, small = small_side(df, max_rows, persist)
+    return F.broadcast(side) if small else side
 
 
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage into the shared ``spark.checkpoint.dir`` (never local)."""
     return df.checkpoint(eager=True)
+
+
+def position_within(
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[Column],
+    out: str = "position",
+    partitions: int | None = None,
+) -> DataFrame:
+    """1-based position of each row inside its ``by`` group, by ``order``.
+
+    A plain ``row_number`` window would put a whole group in one task; a hot
+    group (a third of the rows) would then be one task. Instead:
+
+    1. range-partition on (by, order): the sampled bounds split a hot group
+       across many balanced partitions, in order;
+    2. checkpoint that layout to the shared folder, so a recomputation after
+       an executor loss cannot move rows between partitions;
+    3. number rows inside each (partition, group) piece (bounded by the
+       partition size), count the pieces (a table of at most
+       partitions x groups-per-partition rows) and add, per piece, the rows
+       of the same group in earlier partitions.
+    """
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by_cols = [F.col(b) for b in by]
+    laid_out = (
+        df.repartitionByRange(n, *by_cols, *order)
+        .withColumn("_pid", F.spark_partition_id())
+        .checkpoint(eager=True)
+    )
+    local = laid_out.withColumn("_local", F.row_number().over(Window.partitionBy("_pid", *by).orderBy(*order)))
+    pieces = laid_out.groupBy("_pid", *by).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = pieces.select("_pid", *by, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
+    offsets = bounded_broadcast(offsets, persist=False)
+    joined = local.join(offsets, ["_pid", *by])
+    return joined.withColumn(out, (F.col("_off") + F.col("_local")).cast("long")).drop("_pid", "_local", "_off")

@@ -80,6 +80,7 @@ from pyspark.sql.types import (  # noqa: E402
 from matchup.functions import display, scalar  # noqa: E402
 from matchup.operators import calibrate, clean, contract, learn, metrics  # noqa: E402
 import os  # noqa: E402
+from matchup.plans import physical  # noqa: E402
 from matchup.session import scratch_path  # noqa: E402
 from matchup.sources import catalog, publish  # noqa: E402
 from matchup.sources.tables import table  # noqa: E402
@@ -679,13 +680,13 @@ def pick_winner(spark, sf_dir):
 @query
 def slate_sort(spark, sf_dir):
     """Per week: kickoff ascending (unknown first), rounded confidence descending, id."""
-    s = _slate(spark, sf_dir).withColumn("confidence", F.round("conf", 4))
-    order = Window.partitionBy("season", "period").orderBy(
-        F.col("kickoff_ts").asc_nulls_first(), F.col("confidence").desc(), "order_key", "line"
+    s = _slate(spark, sf_dir).withColumn("confidence", F.round("conf", 4)).select(
+        "season", "period", "order_key", "line", "kickoff_ts", "confidence"
     )
-    return s.select(
-        "season", "period", "order_key", "line", _ts_text("kickoff_ts").alias("kickoff"), "confidence",
-        F.row_number().over(order).alias("position"),
+    order = [F.col("kickoff_ts").asc_nulls_first(), F.col("confidence").desc(), F.col("order_key"), F.col("line")]
+    ranked = physical.position_within(s, ["season", "period"], order)
+    return ranked.select(
+        "season", "period", "order_key", "line", _ts_text("kickoff_ts").alias("kickoff"), "confidence", "position",
     )
 
 
