@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from matchup.functions import scalar
 from matchup.operators import calibrate, clean, contract, enrich, labels, learn, metrics, reshape
+from matchup.plans import physical
 from matchup.plans import standins as st
 from matchup.session import scratch_path
 
@@ -80,7 +81,8 @@ def feature_dataset(spark: SparkSession, sf_dir: str, meetings: DataFrame | None
     )
     sides = {"home": "home", "away": "away"}
     j = enrich.join_point_in_time(m, history_cumulative(spark, sf_dir), "season", "period", sides, "entity", st.STAT_NAMES)
-    dim = st.nation_season_dim(spark, sf_dir)
+    # Probed and cached once: the lookup and the season medians both read it.
+    dim, _ = physical.small_side(st.nation_season_dim(spark, sf_dir))
     j = enrich.join_sides(j, dim, "season", sides, "entity", ["talent"])
     j = enrich.fill_group_median(j, dim, "season", "season", "talent", ["home_talent", "away_talent"])
     j = enrich.differential(j, "home_talent", "away_talent", "talent_differential")

@@ -728,3 +728,5 @@ FROM fd
 WHERE home_points IS NOT NULL AND away_points IS NOT NULL AND NOT (coalesce(flag, '') ILIKE '%n%')
   AND season IS NOT NULL AND period IS NOT NULL AND home IS NOT NULL AND away IS NOT NULL
 """
+
+SQL["stream_refresh"] = SQL["season_refresh"]

@@ -909,3 +909,25 @@ def model_report(spark, sf_dir):
         F.when(F.col("metric") == "accuracy", display.pct_label(eff)).otherwise(display.fixed_label(eff, 3)).alias("label"),
         display.all_finite(["calibrated", "uncalibrated"]).alias("valid"),
     )
+
+
+# --------------------------------------------------------------------------
+# Incremental refresh as a stream (S2 S3 with Structured Streaming)
+# --------------------------------------------------------------------------
+from matchup.streaming import refresh as stream_refresh_mod  # noqa: E402
+
+
+@query
+def stream_refresh(spark, sf_dir):
+    """Landed snapshots ingested by an availableNow stream; newest snapshot per season wins."""
+    p = stream_refresh_mod.paths(scratch_path(spark, "stream"))
+    o = _orders_kind(spark, sf_dir).select("o_orderkey", "o_orderstatus", "season")
+    stream_refresh_mod.land_snapshot(o, p["landing"], 1)
+    stream_refresh_mod.land_snapshot(o.where((F.col("season") == 1997) & (F.col("o_orderstatus") == "F")), p["landing"], 2)
+    schema = StructType([
+        StructField("o_orderkey", LongType()), StructField("o_orderstatus", StringType()),
+        StructField("season", IntegerType()), StructField("snapshot", LongType()),
+    ])
+    stream_refresh_mod.run_refresh_stream(spark, p["landing"], p["store"], "orders", schema, p["checkpoint"])
+    back = catalog.scan(spark, p["store"], "orders")
+    return back.select("o_orderkey", F.col("season").cast("int").alias("season"), "o_orderstatus")
