@@ -66,7 +66,8 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = st.meetings(spark, sf_dir)
     return (
         m.groupBy("season", "home", "away")
-        .agg(F.avg(F.col("discount") * 10).alias("p_home"), F.count(F.lit(1)).alias("n"))
+        .agg(F.count_if(F.col("discount") >= 0.05).alias("k"), F.count(F.lit(1)).alias("n"))
+        .withColumn("p_home", F.col("k") / F.col("n"))
         .where(F.col("n") >= 3)
         .select(F.col("season").alias("ps"), F.col("home").alias("ph"), F.col("away").alias("pa"), "p_home")
     )
@@ -139,6 +140,8 @@ def _train(spark, sf_dir, max_rounds, patience, depth) -> Trained:
     data = labels.split_by_season(matrix, "season", TRAIN_MAX, CALIB, HOLDOUT, prod_max=PROD_MAX)
     data = data.withColumn("home_win", F.col("home_win").cast("double")).persist(StorageLevel.MEMORY_AND_DISK)
     labels.require_splits(labels.split_counts(data))
+    # The model sees features and target only; rows without a target go.
+    data = data.where(F.col("home_win").isNotNull() & F.col("point_differential").isNotNull())
     train_df = data.where(F.col("split") == "train")
     calib_df = data.where(F.col("split") == "calib")
     hold_df = data.where(F.col("split") == "holdout")

@@ -226,7 +226,7 @@ LEFT JOIN hw a ON a.season = m.season AND a.entity = m.away AND a.period = m.per
 
 NATION_DIM = """
 nd AS (
-  SELECT CAST(year(o.o_orderdate) AS INTEGER) AS season, c.c_nationkey AS entity, avg(c.c_acctbal) AS talent
+  SELECT CAST(year(o.o_orderdate) AS INTEGER) AS season, c.c_nationkey AS entity, max(c.c_acctbal) AS talent
   FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
   GROUP BY ALL
   HAVING count(*) FILTER (WHERE o.o_orderpriority = '1-URGENT') >= 8
@@ -269,7 +269,7 @@ LEFT JOIN med ON med.season = m.season
 
 PAIRS = """
 pr AS (
-  SELECT season, home, away, avg(discount * 10) AS p_home
+  SELECT season, home, away, count(*) FILTER (WHERE discount >= 0.05) / count(*) AS p_home
   FROM m GROUP BY season, home, away HAVING count(*) >= 3
 ),
 pl AS (
@@ -677,7 +677,7 @@ SELECT season, week, CAST(row_number() OVER (ORDER BY season, week) AS INTEGER)
 # --------------------------------------------------------------------------
 FEATURE_DATASET = """
 med AS (SELECT season, median(talent) AS md FROM nd GROUP BY season),
-pr AS (SELECT season, home, away, avg(discount * 10) AS p_home FROM m GROUP BY season, home, away HAVING count(*) >= 3),
+pr AS (SELECT season, home, away, count(*) FILTER (WHERE discount >= 0.05) / count(*) AS p_home FROM m GROUP BY season, home, away HAVING count(*) >= 3),
 fd AS (
   SELECT m.order_key, m.line, m.season, m.period, m.home, m.away, m.completed, m.home_points, m.away_points,
          m.flag, m.home_segment,
@@ -730,3 +730,31 @@ WHERE home_points IS NOT NULL AND away_points IS NOT NULL AND NOT (coalesce(flag
 """
 
 SQL["stream_refresh"] = SQL["season_refresh"]
+
+SQL["pair_lookup_nested"] = f"""
+WITH {MEETING},
+pr AS (
+  SELECT season, home, away,
+         [{{'provider': 'avg', 'spread': min(discount)}}, {{'provider': 'max', 'spread': max(tax)}}] AS lines
+  FROM m GROUP BY season, home, away HAVING count(*) >= 3
+)
+SELECT m.order_key, m.line, round(pr.lines[1].spread, 6) AS spread_line, CAST(len(pr.lines) AS INTEGER) AS n_lines
+FROM m LEFT JOIN pr ON pr.season = m.season AND pr.home = m.home AND pr.away = m.away
+"""
+
+SQL["resolve_target"] = """
+WITH t AS (SELECT max(o_orderdate) AS today FROM orders),
+s AS (SELECT CAST(CASE WHEN month(today) >= 8 THEN year(today) ELSE year(today) - 1 END AS INTEGER) AS season FROM t),
+np AS (
+  SELECT CAST(year(o_orderdate) AS INTEGER) AS season,
+         CAST(coalesce(max(month(o_orderdate)) FILTER (WHERE o_orderstatus = 'F') + 1, 1) AS INTEGER) AS next_period
+  FROM orders GROUP BY 1
+)
+SELECT s.season, coalesce(np.next_period, 1) AS week FROM s LEFT JOIN np ON np.season = s.season
+"""
+
+SQL["published_week"] = f"""
+WITH {GAMES}
+SELECT id, kickoff, home_team, away_team, home_win_probability, predicted_winner, confidence
+FROM gm WHERE season = 1997 AND week = 6
+"""

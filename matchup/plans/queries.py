@@ -205,6 +205,16 @@ def next_period(spark, sf_dir):
     )
 
 
+@query
+def resolve_target(spark, sf_dir):
+    """Default target: the season of the latest date, and that season's next period."""
+    o = table(spark, sf_dir, "orders")
+    today = o.agg(F.max("o_orderdate").alias("today")).select(scalar.season_of_date("today").alias("season"))
+    per_season = next_period(spark, sf_dir).select(F.col("season").alias("s"), "next_period")
+    j = today.join(per_season, F.col("season") == F.col("s"), "left")
+    return j.select("season", F.coalesce("next_period", F.lit(1)).alias("week"))
+
+
 @query
 def upcoming_filter(spark, sf_dir):
     """Slate of period 6: not completed (NULL kept), home class BUILDING."""
@@ -355,7 +365,8 @@ def _pairs(spark, sf_dir):
     m = st.meetings(spark, sf_dir)
     return (
         m.groupBy("season", "home", "away")
-        .agg(F.avg(F.col("discount") * 10).alias("p_home"), F.count(F.lit(1)).alias("n"))
+        .agg(F.count_if(F.col("discount") >= 0.05).alias("k"), F.count(F.lit(1)).alias("n"))
+        .withColumn("p_home", F.col("k") / F.col("n"))
         .where(F.col("n") >= 3)
         .select("season", "home", "away", "p_home")
     )
@@ -372,11 +383,29 @@ def _pair_lookup(spark, sf_dir):
 
 @query
 def pair_lookup(spark, sf_dir):
-    """Lookup on (season, home, away); complement and its differential."""
+    """Scalar lookup on (season, home, away); complement and its differential."""
     j = _pair_lookup(spark, sf_dir)
     return j.select("order_key", "line", *[_r(c, 6).alias(c) for c in ("p_home", "p_away", "p_differential")])
 
 
+@query
+def pair_lookup_nested(spark, sf_dir):
+    """Pair lookup carrying a nested payload (array of provider lines); first line's spread."""
+    m = st.meetings(spark, sf_dir)
+    lines = (
+        m.groupBy(F.col("season").alias("ps"), F.col("home").alias("ph"), F.col("away").alias("pa"))
+        .agg(F.min("discount").alias("d_avg"), F.max("tax").alias("t_max"), F.count(F.lit(1)).alias("n"))
+        .where(F.col("n") >= 3)
+        .select("ps", "ph", "pa", F.array(
+            F.struct(F.lit("avg").alias("provider"), F.col("d_avg").alias("spread")),
+            F.struct(F.lit("max").alias("provider"), F.col("t_max").alias("spread")),
+        ).alias("lines"))
+    )
+    j = enrich.join_pair(_meeting_keys(spark, sf_dir), lines, {"season": "ps", "home": "ph", "away": "pa"}, ["lines"])
+    return j.select("order_key", "line", _r(scalar.first_field("lines", "spread"), 6).alias("spread_line"),
+                    F.size("lines").alias("n_lines"))
+
+
 @query
 def coverage(spark, sf_dir):
     """Per season, count and share of meetings the pair lookup covered."""
@@ -771,6 +800,15 @@ def publish_roundtrip(spark, sf_dir):
     )
 
 
+@query
+def published_week(spark, sf_dir):
+    """Read one published week (partition-pruned), here season 1997 week 6."""
+    root = scratch_path(spark, "publish-week")
+    publish.publish(_games(spark, sf_dir), root, {"run_id": "r1"})
+    week = publish.load_week(spark, root, 1997, 6)
+    return week.select(F.col("id").cast("long").alias("id"), *GAME_COLS[1:])
+
+
 @query
 def publish_guard(spark, sf_dir):
     """Published weeks are not overwritten without force; empty slates write nothing."""
@@ -879,6 +917,14 @@ def search_leaderboard(spark, sf_dir):
         "rank", F.row_number().over(Window.orderBy("calib_logloss", "trial"))
     )
     out = ranked.where(F.col("rank") <= 5)
+    # The best trial, refit on the train split with its frozen rounds,
+    # scored once on the untouched holdout season.
+    best = min(results, key=lambda r: (r["calib_logloss"], r["trial"]))
+    params = dict(trials[best["trial"]])
+    model = learn.refit(train_df, jobs.FEATURES, jobs.CATEGORICALS, "home_win", "winner", best["best_iteration"], params)
+    hold = learn.predict(model, data.where(F.col("split") == "holdout"), "p")
+    hl = metrics.binary_metrics(hold, "home_win", "p").first()["logloss"]
+    out = out.withColumn("holdout_logloss", F.when(F.col("rank") == 1, F.lit(float(hl))))
     out.coalesce(1).write.mode("overwrite").json(scratch_path(spark, "search-report"))  # S15
     return out.drop("seconds", "seconds_per_trial")
 

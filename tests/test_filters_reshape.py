@@ -171,3 +171,9 @@ def test_point_in_time_has_no_leakage(spark):
     for gid in (1, 2, 3):
         assert base[gid] == changed[gid]
     assert base[4] != changed[4]
+
+
+def test_prefix_side(spark):
+    df = spark.createDataFrame([(2026, "T", 1.0)], "year int, team string, ppa double")
+    out = enrich.prefix_side(df, "home", ["year"], entity="team")
+    assert out.columns == ["year", "homeTeam", "home_ppa"]
