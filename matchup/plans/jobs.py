@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import threading
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -104,7 +105,7 @@ def training_matrix(spark: SparkSession, sf_dir: str, path: str | None = None) -
     labelled = clean.require_non_null(fd, ["home_points", "away_points"])
     matrix = clean_features(clean.drop_present(labelled, ["home_points", "away_points"]))
     path = path or scratch_path(spark, "training-matrix")
-    matrix.write.mode("overwrite").partitionBy("season").parquet(path)
+    physical.write_layout(matrix, ["season"]).write.mode("overwrite").partitionBy("season").parquet(path)
     return spark.read.parquet(path)
 
 
@@ -150,8 +151,13 @@ def _train(spark, sf_dir, max_rounds, patience, depth) -> Trained:
     ctr = contract.fit_contract(train_df, FEATURES, CATEGORICALS, essentials=["talent_differential"])
     ctr.excluded_features = MARKET_COLS
 
-    winner = learn.fit_early_stopped(train_df, calib_df, FEATURES, CATEGORICALS, "home_win", "winner", params, max_rounds, patience)
-    margin = learn.fit_early_stopped(train_df, calib_df, FEATURES, CATEGORICALS, "point_differential", "margin", params, max_rounds, patience)
+    # The two models are independent: their fits run as concurrent Spark jobs.
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        fw = pool.submit(learn.fit_early_stopped, train_df, calib_df, FEATURES, CATEGORICALS, "home_win", "winner",
+                         params, max_rounds, patience)
+        fm = pool.submit(learn.fit_early_stopped, train_df, calib_df, FEATURES, CATEGORICALS, "point_differential",
+                         "margin", params, max_rounds, patience)
+        winner, margin = fw.result(), fm.result()
 
     # Calibration: isotonic on the calibration season, judged on the holdout.
     calib_scored = learn.predict(winner.model, calib_df, "p_raw")
@@ -189,8 +195,11 @@ def _train(spark, sf_dir, max_rounds, patience, depth) -> Trained:
     }
 
     # Production refit on more seasons with the frozen round counts (M5, M6).
-    winner_prod = learn.refit(prod_df, FEATURES, CATEGORICALS, "home_win", "winner", winner.best_iteration, params)
-    margin_prod = learn.refit(prod_df, FEATURES, CATEGORICALS, "point_differential", "margin", margin.best_iteration, params)
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        fw = pool.submit(learn.refit, prod_df, FEATURES, CATEGORICALS, "home_win", "winner", winner.best_iteration, params)
+        fm = pool.submit(learn.refit, prod_df, FEATURES, CATEGORICALS, "point_differential", "margin",
+                         margin.best_iteration, params)
+        winner_prod, margin_prod = fw.result(), fm.result()
     prod_ctr = contract.fit_contract(prod_df, FEATURES, CATEGORICALS)
     contract.same_categoricals(ctr, prod_ctr)
     ctr.categorical_values = prod_ctr.categorical_values

@@ -48,6 +48,18 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def write_layout(df: DataFrame, keys: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """Row layout for a write partitioned by ``keys``.
+
+    Range partitioning on the keys gives every task a contiguous key range, so
+    each task writes into few partition folders (files ~ tasks + partitions,
+    not tasks x partitions), while a hot key is still split across tasks by
+    the sampled bounds.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, *[F.col(k) for k in keys])
+
+
 def position_within(
     df: DataFrame,
     by: Sequence[str],

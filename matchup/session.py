@@ -24,6 +24,9 @@ _DEFAULTS = {
     # row-count probe of ``plans.physical.bounded_broadcast``.
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
+    # Coalesced shuffle partitions may go down to 256 KB (default 1 MB) so small
+    # inputs still use every core; large inputs are governed by the advisory size.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256KB",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
+from matchup.plans.physical import write_layout
+
 Seasons = int | Sequence[int] | tuple[int, int] | None
 
 
@@ -77,7 +79,7 @@ def load(
 def refresh(df: DataFrame, root: str, kind: str, season_col: str = "season") -> None:
     """S3: replace the seasons present in ``df``; other seasons stay as they are."""
     (
-        df.write.mode("overwrite")
+        write_layout(df, [season_col]).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(season_col)
         .parquet(os.path.join(root, kind))
