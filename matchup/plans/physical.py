@@ -48,16 +48,15 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def write_layout(df: DataFrame, keys: Sequence[str], partitions: int | None = None) -> DataFrame:
-    """Row layout for a write partitioned by ``keys``.
+def write_layout(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Row layout for a write partitioned by ``keys`` (the REBALANCE hint).
 
-    Range partitioning on the keys gives every task a contiguous key range, so
-    each task writes into few partition folders (files ~ tasks + partitions,
-    not tasks x partitions), while a hot key is still split across tasks by
-    the sampled bounds.
+    One hash shuffle on the keys, so each task writes into few partition
+    folders (files ~ folders, not tasks x folders); AQE then splits a skewed
+    key over several tasks and merges small ones, by the advisory partition
+    size. Unlike range partitioning it needs no sampling pass over the input.
     """
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(n, *[F.col(k) for k in keys])
+    return df.hint("rebalance", *keys)
 
 
 def position_within(
