@@ -141,8 +141,10 @@ def season_bounds(spark, sf_dir):
 def multi_season_union(spark, sf_dir):
     """Seasons 1996-1997 and 1998 with a drifted schema, unioned by name."""
     o = _orders_kind(spark, sf_dir)
-    old = o.where(F.col("season").between(1996, 1997)).select("o_orderkey", "season", "o_totalprice")
-    new = o.where(F.col("season") == 1998).select("o_orderkey", "season", "o_totalprice", "o_orderpriority")
+    old = o.where(catalog.date_range_predicate(o, "o_orderdate", 1996, 1997)).select("o_orderkey", "season", "o_totalprice")
+    new = o.where(catalog.date_range_predicate(o, "o_orderdate", 1998, 1998)).select(
+        "o_orderkey", "season", "o_totalprice", "o_orderpriority"
+    )
     return catalog.union_widen([old, new])
 
 

@@ -33,6 +33,20 @@ def season_predicate(column: str, seasons: Seasons):
     return c.isin(list(seasons))
 
 
+def date_range_predicate(df: DataFrame, column: str, first_season: int, last_season: int, first_month: int = 1):
+    """Seasons ``first..last`` as a range on the raw date/time column.
+
+    ``year(col) BETWEEN a AND b`` cannot reach the parquet scan; the equivalent
+    ``col >= start(a) AND col < start(b + 1)`` can (row-group statistics skip
+    data). A season starts on the first day of ``first_month``.
+    """
+    dtype = df.schema[column].dataType.typeName()
+    to = {"timestamp_ntz": F.to_timestamp_ntz, "timestamp": F.to_timestamp, "date": F.to_date}[dtype]
+    lo = to(F.lit(f"{first_season:04d}-{first_month:02d}-01 00:00:00" if dtype != "date" else f"{first_season:04d}-{first_month:02d}-01"))
+    hi = to(F.lit(f"{last_season + 1:04d}-{first_month:02d}-01 00:00:00" if dtype != "date" else f"{last_season + 1:04d}-{first_month:02d}-01"))
+    return (F.col(column) >= lo) & (F.col(column) < hi)
+
+
 def empty_like(spark: SparkSession, schema: StructType) -> DataFrame:
     """Typed empty DataFrame: joins against it yield NULL columns, never errors."""
     return spark.createDataFrame([], schema)

@@ -93,3 +93,16 @@ def test_latest_and_neighbours(spark):
     nav = {(r["season"], r["week"]): r for r in publish.with_neighbours(runs).collect()}
     assert (nav[(2026, 1)]["prev_season"], nav[(2026, 1)]["prev_week"]) == (2025, 14)
     assert nav[(2026, 2)]["next_week"] is None
+
+
+def test_date_range_predicate_matches_season_of_date(spark):
+    import datetime as dt
+
+    from matchup.functions import scalar
+
+    days = [dt.datetime(2025, 7, 31, 23, 59), dt.datetime(2025, 8, 1), dt.datetime(2026, 7, 31), dt.datetime(2026, 8, 1)]
+    df = spark.createDataFrame([(d,) for d in days], "ts timestamp")
+    got = df.where(catalog.date_range_predicate(df, "ts", 2025, 2025, first_month=8))
+    assert sorted(r["ts"] for r in got.collect()) == days[1:3]
+    both = df.withColumn("s", scalar.season_of_date("ts")).where(catalog.date_range_predicate(df, "ts", 2024, 2025, 8))
+    assert all(2024 <= r["s"] <= 2025 for r in both.collect())
