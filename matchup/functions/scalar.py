@@ -67,9 +67,24 @@ def pick_winner(p, home_name, away_name, threshold: float = 0.5) -> tuple[Column
     return winner, F.greatest(p, F.lit(1.0) - p)
 
 
-def round_half_up(c, digits: int) -> Column:
-    """HALF_UP rounding (V6), e.g. probabilities to 4 digits, margins to 1."""
-    return F.round(_c(c), digits)
+def round_half_away(c, digits: int) -> Column:
+    """round to ``digits`` decimals, half away from zero, on the binary value.
+
+    ``t = |x| * 10^digits``; the result is ``sign(x) * (floor(t) + [t - floor(t) >= 0.5]) / 10^digits``,
+    the rounding SQL engines apply to DOUBLE. It stays inside generated code
+    (``round()`` on a double goes through a BigDecimal per value, several
+    times slower). Beyond 2^52 a double is already integral and is returned.
+    """
+    x = _c(c)
+    m = 10.0 ** digits
+    t = F.abs(x) * F.lit(m)
+    fl = F.floor(t)
+    up = fl + F.when(t - fl >= 0.5, F.lit(1)).otherwise(F.lit(0))
+    return F.when(t >= F.lit(4503599627370496.0), x).otherwise(F.signum(x) * up / F.lit(m))
+
+
+# Probabilities to 4 digits, margins to 1.
+round_half_up = round_half_away
 
 
 def safe_int(c) -> Column:

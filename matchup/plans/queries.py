@@ -25,7 +25,7 @@ def query(fn):
 
 
 def _r(c, digits=2):
-    return F.round(F.col(c) if isinstance(c, str) else c, digits)
+    return scalar.round_half_away(F.col(c) if isinstance(c, str) else c, digits)
 
 
 # --------------------------------------------------------------------------
@@ -711,7 +711,7 @@ def pick_winner(spark, sf_dir):
 @query
 def slate_sort(spark, sf_dir):
     """Per week: kickoff ascending (unknown first), rounded confidence descending, id."""
-    s = _slate(spark, sf_dir).withColumn("confidence", F.round("conf", 4)).select(
+    s = _slate(spark, sf_dir).withColumn("confidence", _r("conf", 4)).select(
         "season", "period", "order_key", "line", "kickoff_ts", "confidence"
     )
     order = [F.col("kickoff_ts").asc_nulls_first(), F.col("confidence").desc(), F.col("order_key"), F.col("line")]
@@ -781,9 +781,9 @@ def _games(spark, sf_dir):
         scalar.iso_timestamp("o_orderdate").alias("kickoff"),
         F.col("c_name").alias("home_team"),
         F.col("n_name").alias("away_team"),
-        F.round(p, 4).alias("home_win_probability"),
+        _r(p, 4).alias("home_win_probability"),
         winner.alias("predicted_winner"),
-        F.round(conf, 4).alias("confidence"),
+        _r(conf, 4).alias("confidence"),
     )
 
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchup.functions.scalar import round_half_away
 from matchup.sources.tables import table
 
 # Order-priority classes and the stat name each becomes.
@@ -52,8 +53,8 @@ def meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("c_nationkey").alias("home"),
             F.col("s_nationkey").alias("away"),
             done.alias("completed"),
-            F.when(done, F.round("l_quantity").cast("int")).alias("home_points"),
-            F.when(done, F.round(F.col("l_discount") * 500).cast("int")).alias("away_points"),
+            F.when(done, round_half_away(F.col("l_quantity"), 0).cast("int")).alias("home_points"),
+            F.when(done, round_half_away(F.col("l_discount") * 500, 0).cast("int")).alias("away_points"),
             F.col("o_orderdate").alias("start_ts"),
             F.col("l_returnflag").alias("flag"),
             F.col("c_mktsegment").alias("home_segment"),
