@@ -224,8 +224,8 @@ def score(spark: SparkSession, sf_dir: str, trained: Trained) -> DataFrame:
     p = learn.predict(trained.margin_prod, p, "margin", kind="margin")
     winner, conf = scalar.pick_winner("p_home", F.concat(F.lit("N"), F.col("home").cast("string")),
                                       F.concat(F.lit("N"), F.col("away").cast("string")))
-    return p.select(
-        "order_key", "line", "season", F.col("period").cast("int").alias("week"),
+    slate = p.select(
+        "order_key", "line", "season", F.col("period").cast("int").alias("week"), "kickoff_ts",
         scalar.iso_timestamp("kickoff_ts").alias("kickoff"),
         F.concat(F.lit("N"), F.col("home").cast("string")).alias("home_team"),
         F.concat(F.lit("N"), F.col("away").cast("string")).alias("away_team"),
@@ -234,3 +234,7 @@ def score(spark: SparkSession, sf_dir: str, trained: Trained) -> DataFrame:
         scalar.round_half_up(conf, 4).alias("confidence"),
         scalar.round_half_up("margin", 1).alias("predicted_margin"),
     )
+    # Slate order inside each week: kickoff (unknown first), rounded
+    # confidence descending, then the id.
+    order = [F.col("kickoff_ts").asc_nulls_first(), F.col("confidence").desc(), F.col("order_key"), F.col("line")]
+    return physical.position_within(slate, ["season", "week"], order, out="slate_position").drop("kickoff_ts")
