@@ -30,6 +30,11 @@ _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Whole-stage generated methods of wide plans (many columns through
+    # several joins) exceed HotSpot's 8000-byte JIT limit and would stay
+    # interpreted; let the JIT compile them (driver and executors).
+    "spark.driver.extraJavaOptions": "-XX:-DontCompileHugeMethods",
+    "spark.executor.extraJavaOptions": "-XX:-DontCompileHugeMethods",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
