@@ -9,7 +9,8 @@ Prints one JSON line:
 {"metric": ..., "value": total seconds, "unit": "sec", "queries": {...}, "sf": ...}
 
 The model queries (training with early stopping + calibration + production
-refit; scoring + publishing the not-completed meetings; the random search)
+refit; the weekly run: one slate scored and published; scoring + publishing
+every not-completed meeting; the random search)
 are timed too and listed under "queries"; "value" is the total of the
 non-model headline queries, "value_with_ml" the total of all. BENCH_ML=0
 skips the model queries.
@@ -48,7 +49,7 @@ HEADLINE = [
     "unseen_audit",
     "publish_roundtrip",
 ]
-ML = ["gbt_winner", "score_publish", "search_leaderboard"]
+ML = ["gbt_winner", "predict_week", "score_publish", "search_leaderboard"]
 
 
 def main() -> None:

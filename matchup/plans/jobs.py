@@ -74,8 +74,14 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def feature_dataset(spark: SparkSession, sf_dir: str, meetings: DataFrame | None = None) -> DataFrame:
-    """One lazy plan from meetings to the wide feature rows."""
+def feature_dataset(
+    spark: SparkSession, sf_dir: str, meetings: DataFrame | None = None, market: bool = True
+) -> DataFrame:
+    """One lazy plan from meetings to the wide feature rows.
+
+    ``market=False`` skips the pair (market) lookup: the models exclude those
+    columns, so scoring does not pay for them.
+    """
     m = meetings if meetings is not None else st.meetings(spark, sf_dir)
     m = m.select(
         "order_key", "line", "season", "period", "home", "away", "completed",
@@ -88,8 +94,11 @@ def feature_dataset(spark: SparkSession, sf_dir: str, meetings: DataFrame | None
     j = enrich.join_sides(j, dim, "season", sides, "entity", ["talent"])
     j = enrich.fill_group_median(j, dim, "season", "season", "talent", ["home_talent", "away_talent"])
     j = enrich.differential(j, "home_talent", "away_talent", "talent_differential")
-    j = enrich.join_pair(j, pairs(spark, sf_dir), {"season": "ps", "home": "ph", "away": "pa"}, ["p_home"])
-    j = j.withColumn("p_away", scalar.complement("p_home")).withColumn("p_differential", F.col("p_home") - F.col("p_away"))
+    if market:
+        j = enrich.join_pair(j, pairs(spark, sf_dir), {"season": "ps", "home": "ph", "away": "pa"}, ["p_home"])
+        j = j.withColumn("p_away", scalar.complement("p_home")).withColumn(
+            "p_differential", F.col("p_home") - F.col("p_away")
+        )
     return labels.add_targets(j, "home_points", "away_points")
 
 
@@ -212,11 +221,22 @@ def _train(spark, sf_dir, max_rounds, patience, depth) -> Trained:
     return Trained(matrix, ctr, winner, margin, winner_prod, margin_prod, report, os.path.join(path, "contract"))
 
 
-def score(spark: SparkSession, sf_dir: str, trained: Trained) -> DataFrame:
-    """Not-completed meetings, keyed by id, scored and rounded."""
+def score(spark: SparkSession, sf_dir: str, trained: Trained, week: tuple[int, int] | None = None) -> DataFrame:
+    """Not-completed meetings, keyed by id, scored and rounded.
+
+    ``week=(season, period)`` scores one slate (the weekly run); otherwise
+    every not-completed meeting is scored.
+    """
     m = st.meetings(spark, sf_dir)
+    if week is not None:
+        # The slate's month as a range on the raw order date: it reaches the
+        # orders scan (row-group skipping) instead of filtering after the join.
+        first = F.make_timestamp_ntz(F.lit(week[0]), F.lit(week[1]), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+        m = m.where((F.col("start_ts") >= first) & (F.col("start_ts") < F.add_months(first, 1).cast("timestamp_ntz")))
     upcoming = clean.not_completed_rows(m, "completed")
-    feats = clean_features(feature_dataset(spark, sf_dir, upcoming).withColumn("kickoff_ts", F.col("start_ts")))
+    feats = clean_features(
+        feature_dataset(spark, sf_dir, upcoming, market=False).withColumn("kickoff_ts", F.col("start_ts"))
+    )
     ctr = trained.contract
     aligned = contract.align(feats, ctr, keep=["order_key", "line", "season", "home", "away", "kickoff_ts"])
     p = learn.predict(trained.winner_prod, aligned, "p_raw")

@@ -942,6 +942,16 @@ def score_publish(spark, sf_dir):
     return publish.read_games(spark, root)
 
 
+@query
+def predict_week(spark, sf_dir):
+    """The weekly run: one slate (season 2000, week 6) scored, ordered, published."""
+    t = _trained(spark, sf_dir)
+    scored = jobs.score(spark, sf_dir, t, week=(2000, 6))
+    root = scratch_path(spark, "week-run")
+    publish.publish(scored, root, {"generated_at": "2026-12-01T00:00:00+00:00"}, force=True)
+    return publish.load_week(spark, root, 2000, 6)
+
+
 @query
 def model_report(spark, sf_dir):
     """The saved contract read back and shown for readers."""
