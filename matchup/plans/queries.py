@@ -869,7 +869,7 @@ def _trained(spark, sf_dir):
 
 @query
 def gbt_winner(spark, sf_dir):
-    """M1 M2 M5: winner classifier, per-round calibration loss, best round by patience."""
+    """Winner classifier, per-round calibration loss, best round by patience."""
     t = _trained(spark, sf_dir)
     rows = [(i + 1, float(v), i + 1 == t.winner.best_iteration) for i, v in enumerate(t.winner.losses)]
     return spark.createDataFrame(rows, "round int, calib_loss double, is_best boolean")
@@ -933,7 +933,7 @@ def search_leaderboard(spark, sf_dir):
 
 @query
 def score_publish(spark, sf_dir):
-    """Score not-completed meetings, calibrate, publish per week, read back."""
+    """Score not-completed meetings (keyed, not positional), calibrate, publish, read back."""
     t = _trained(spark, sf_dir)
     scored = jobs.score(spark, sf_dir, t)
     root = scratch_path(spark, "slates")
