@@ -52,13 +52,25 @@ HEADLINE = [
 ML = ["gbt_winner", "predict_week", "score_publish", "search_leaderboard"]
 
 
+def _driver_memory() -> str:
+    """$BENCH_DRIVER_MEMORY, else ~60 % of physical memory (at most 8g)."""
+    if os.environ.get("BENCH_DRIVER_MEMORY"):
+        return os.environ["BENCH_DRIVER_MEMORY"]
+    try:
+        with open("/proc/meminfo") as f:
+            kb = int(next(line for line in f if line.startswith("MemTotal")).split()[1])
+        return f"{max(1, min(8, int(kb * 0.6 / 1024 / 1024)))}g"
+    except (OSError, StopIteration, ValueError):
+        return "4g"
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     names = list(HEADLINE)
     ml = ML if os.environ.get("BENCH_ML", "1") == "1" else []
     spark = build_session(
-        f"local[{cpus}]", app="matchup-bench", shuffle_partitions=max(8, 2 * cpus), driver_memory="8g"
+        f"local[{cpus}]", app="matchup-bench", shuffle_partitions=max(8, 2 * cpus), driver_memory=_driver_memory()
     )
     warm_dir = os.environ.get("BENCH_WARMUP_DIR", "/root/testdata/sf0.001")
     if os.path.isdir(warm_dir) and os.path.abspath(warm_dir) != os.path.abspath(sf_dir):
