@@ -83,10 +83,8 @@ def position_within(
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     by_cols = [F.col(b) for b in by]
-    laid_out = (
-        df.repartitionByRange(n, *by_cols, *order)
-        .withColumn("_pid", F.spark_partition_id())
-        .checkpoint(eager=True)
+    laid_out = reliable_checkpoint(
+        df.repartitionByRange(n, *by_cols, *order).withColumn("_pid", F.spark_partition_id())
     )
     local = laid_out.withColumn("_local", F.row_number().over(Window.partitionBy("_pid", *by).orderBy(*order)))
     pieces = laid_out.groupBy("_pid", *by).agg(F.count(F.lit(1)).alias("_n"))
