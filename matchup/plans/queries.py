@@ -928,7 +928,7 @@ def search_leaderboard(spark, sf_dir):
     hl = metrics.binary_metrics(hold, "home_win", "p").first()["logloss"]
     out = out.withColumn("holdout_logloss", F.when(F.col("rank") == 1, F.lit(float(hl))))
     out.coalesce(1).write.mode("overwrite").json(scratch_path(spark, "search-report"))  # S15
-    return out.drop("seconds", "seconds_per_trial")
+    return out.drop("seconds")
 
 
 @query

@@ -106,3 +106,15 @@ def test_date_range_predicate_matches_season_of_date(spark):
     assert sorted(r["ts"] for r in got.collect()) == days[1:3]
     both = df.withColumn("s", scalar.season_of_date("ts")).where(catalog.date_range_predicate(df, "ts", 2024, 2025, 8))
     assert all(2024 <= r["s"] <= 2025 for r in both.collect())
+
+
+def test_list_weeks_ignores_non_numeric_folders(spark):
+    root = scratch_path(spark, "t-weeks")
+    publish.publish(_orders(spark), root, {"run_id": "r1"})
+    local = root[len("file:"):] if root.startswith("file:") else root
+    stray = os.path.join(local, "runs", "season=2026", "week=latest")
+    os.makedirs(stray)
+    with open(os.path.join(stray, "part-0.json"), "w") as f:
+        f.write('{"n_games": 1, "run_id": "x"}\n')
+    weeks = sorted((r["season"], r["week"]) for r in publish.list_weeks(spark, root).collect())
+    assert weeks == [(2024, 1), (2024, 2), (2025, 1), (2026, 1)]
