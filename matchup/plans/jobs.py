@@ -221,6 +221,27 @@ def _train(spark, sf_dir, max_rounds, patience, depth) -> Trained:
     return Trained(matrix, ctr, winner, margin, winner_prod, margin_prod, report, os.path.join(path, "contract"))
 
 
+def model_meta(ctr: contract.FeatureContract) -> dict:
+    """Header fields of a published run (F32): the effective holdout metrics are
+    the calibrated ones when isotonic calibration shipped, else the raw ones."""
+    method = ctr.calibration.get("method", "none")
+    h = ctr.honest_holdout_metrics
+    variant = "calibrated" if method == "isotonic" else "uncalibrated"
+    eff = h.get(variant, {})
+    margin = h.get("margin", {})
+    return {
+        "calibration_method": method,
+        "holdout_variant": variant,
+        "holdout_accuracy": eff.get("accuracy"),
+        "holdout_auc": eff.get("auc"),
+        "holdout_brier": eff.get("brier"),
+        "spread_holdout_mae": margin.get("mae"),
+        "spread_holdout_rmse": margin.get("rmse"),
+        "spread_holdout_sign_accuracy": margin.get("sign_accuracy"),
+        "market_independent": True,
+    }
+
+
 def score(spark: SparkSession, sf_dir: str, trained: Trained, week: tuple[int, int] | None = None) -> DataFrame:
     """Not-completed meetings, keyed by id, scored and rounded.
 

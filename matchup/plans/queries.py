@@ -937,8 +937,7 @@ def score_publish(spark, sf_dir):
     t = _trained(spark, sf_dir)
     scored = jobs.score(spark, sf_dir, t)
     root = scratch_path(spark, "slates")
-    publish.publish(scored, root, {"generated_at": "2026-12-01T00:00:00+00:00",
-                                   "calibration_method": t.contract.calibration.get("method")})
+    publish.publish(scored, root, {"generated_at": "2026-12-01T00:00:00+00:00", **jobs.model_meta(t.contract)})
     return publish.read_games(spark, root)
 
 
@@ -948,7 +947,7 @@ def predict_week(spark, sf_dir):
     t = _trained(spark, sf_dir)
     scored = jobs.score(spark, sf_dir, t, week=(2000, 6))
     root = scratch_path(spark, "week-run")
-    publish.publish(scored, root, {"generated_at": "2026-12-01T00:00:00+00:00"}, force=True)
+    publish.publish(scored, root, {"generated_at": "2026-12-01T00:00:00+00:00", **jobs.model_meta(t.contract)}, force=True)
     return publish.load_week(spark, root, 2000, 6)
 
 
