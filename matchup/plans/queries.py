@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchup.operators import enrich, labels, reshape
+from matchup.plans import jobs
 from matchup.plans import standins as st
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,15 +33,8 @@ def _r(c, digits=2):
 # Flagship: long stats -> wide -> cumulative -> point-in-time dual join
 # --------------------------------------------------------------------------
 def history_cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = reshape.pivot_first(
-        st.history_long(spark, sf_dir),
-        keys=["entity", "season", "period"],
-        name="stat_name",
-        value="stat_value",
-        vocab=st.STAT_NAMES,
-        order="ord",
-    )
-    return reshape.cumulate(wide, "entity", "season", "period", st.STAT_NAMES, st.MAX_PERIOD)
+    """Long stats -> wide (A1) -> cumulative through each period (A2)."""
+    return jobs.history_cumulative(spark, sf_dir)
 
 
 @query
@@ -837,8 +831,6 @@ def list_weeks(spark, sf_dir):
 # End-to-end jobs (E1-E9) and learning (M1-M11): the model queries have no
 # SQL oracle (rows-only check); their bounds are unit-tested.
 # --------------------------------------------------------------------------
-from matchup.plans import jobs  # noqa: E402
-
 _FD_ROUND2 = jobs.STAT_COLS
 _FD_ROUND6 = ["home_talent", "away_talent", "talent_differential", "p_home", "p_away", "p_differential"]
 

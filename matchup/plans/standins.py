@@ -67,11 +67,14 @@ def meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def history_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long facts (entity, season, period, stat_name, stat_value, ord)."""
+def nation_period_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One pass over orders x customers at the finest grain both the history and
+    the season dimension need: (entity, season, period, stat_name) with the
+    revenue, first order key, order count and top customer balance. Its size is
+    bounded by nations x seasons x 12 x 5, so one probed, cached copy can feed
+    both derived tables."""
     o = table(spark, sf_dir, "orders")
     c = table(spark, sf_dir, "customer")
-    stat = F.col("o_orderpriority")
     mapping = F.create_map(*[x for k, v in PRIORITY_STATS.items() for x in (F.lit(k), F.lit(v))])
     return (
         o.join(c, o.o_custkey == c.c_custkey)
@@ -79,25 +82,34 @@ def history_long(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("c_nationkey").alias("entity"),
             F.year("o_orderdate").alias("season"),
             F.month("o_orderdate").alias("period"),
-            mapping[stat].alias("stat_name"),
+            mapping[F.col("o_orderpriority")].alias("stat_name"),
+        )
+        .agg(
+            F.sum("o_totalprice").alias("stat_value"),
+            F.min("o_orderkey").alias("ord"),
+            F.count(F.lit(1)).alias("n_orders"),
+            F.max("c_acctbal").alias("top_balance"),
         )
-        .agg(F.sum("o_totalprice").alias("stat_value"), F.min("o_orderkey").alias("ord"))
     )
 
 
-def nation_season_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
+def history_long(spark: SparkSession, sf_dir: str, facts: DataFrame | None = None) -> DataFrame:
+    """Long facts (entity, season, period, stat_name, stat_value, ord)."""
+    f = facts if facts is not None else nation_period_facts(spark, sf_dir)
+    return f.select("entity", "season", "period", "stat_name", "stat_value", "ord")
+
+
+def nation_season_dim(spark: SparkSession, sf_dir: str, facts: DataFrame | None = None) -> DataFrame:
     """Per (nation, season) measure with gaps: the top balance of customers
     of that nation with an order in that season; only (nation, season) pairs
     with at least 8 urgent orders are present, so some lack it. (Exact
     measures keep the oracle comparison independent of summation order.)"""
-    o = table(spark, sf_dir, "orders")
-    c = table(spark, sf_dir, "customer")
+    f = facts if facts is not None else nation_period_facts(spark, sf_dir)
     return (
-        o.join(c, o.o_custkey == c.c_custkey)
-        .groupBy(F.year("o_orderdate").alias("season"), F.col("c_nationkey").alias("entity"))
+        f.groupBy("season", "entity")
         .agg(
-            F.max("c_acctbal").alias("talent"),
-            F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("n_urgent"),
+            F.max("top_balance").alias("talent"),
+            F.sum(F.when(F.col("stat_name") == "urgent", F.col("n_orders")).otherwise(0)).alias("n_urgent"),
         )
         .where(F.col("n_urgent") >= F.lit(8))
         .select("season", "entity", "talent")
