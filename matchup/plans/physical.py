@@ -71,10 +71,14 @@ def position_within(
     A plain ``row_number`` window would put a whole group in one task; a hot
     group (a third of the rows) would then be one task. Instead:
 
-    1. range-partition on (by, order): the sampled bounds split a hot group
+    1. checkpoint the input to the shared folder: it is computed once (range
+       partitioning samples its input in a separate pass, which would
+       otherwise recompute the whole upstream plan), and the sampling of a
+       fixed input is deterministic (seeded per partition), so a
+       recomputation after an executor loss draws the same bounds and puts
+       every row in the same partition;
+    2. range-partition on (by, order): the sampled bounds split a hot group
        across many balanced partitions, in order;
-    2. checkpoint that layout to the shared folder, so a recomputation after
-       an executor loss cannot move rows between partitions;
     3. number rows inside each (partition, group) piece (bounded by the
        partition size), count the pieces (a table of at most
        partitions x groups-per-partition rows) and add, per piece, the rows
@@ -83,8 +87,10 @@ def position_within(
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     by_cols = [F.col(b) for b in by]
-    laid_out = reliable_checkpoint(
-        df.repartitionByRange(n, *by_cols, *order).withColumn("_pid", F.spark_partition_id())
+    laid_out = (
+        reliable_checkpoint(df)
+        .repartitionByRange(n, *by_cols, *order)
+        .withColumn("_pid", F.spark_partition_id())
     )
     local = laid_out.withColumn("_local", F.row_number().over(Window.partitionBy("_pid", *by).orderBy(*order)))
     pieces = laid_out.groupBy("_pid", *by).agg(F.count(F.lit(1)).alias("_n"))
