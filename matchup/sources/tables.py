@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -12,6 +13,9 @@ TABLES = (
 ).split()
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
     """Lazy scan of ``{sf_dir}/{name}.parquet``; Catalyst prunes the columns.
 
@@ -23,7 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) ->
     """
     if name not in TABLES:
         raise KeyError(f"unknown table {name!r}")
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    schema = _SCHEMAS.get(path)
+    if schema is None:
+        # Inferring a parquet schema runs a job; do it once per path.
+        schema = spark.read.parquet(path).schema
+        _SCHEMAS[path] = schema
+    df = spark.read.schema(schema).parquet(path)
     if spread:
         cores = spark.sparkContext.defaultParallelism
         if df.rdd.getNumPartitions() < cores:
