@@ -124,6 +124,19 @@ def training_matrix(spark: SparkSession, sf_dir: str, path: str | None = None) -
     return spark.read.parquet(path)
 
 
+_MATRICES: dict = {}
+
+
+def shared_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training matrix written once per session and data folder, then
+    re-read by the training job and by the search (as both read one matrix)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    with _LOCK:
+        if key not in _MATRICES:
+            _MATRICES[key] = training_matrix(spark, sf_dir)
+        return _MATRICES[key]
+
+
 @dataclass
 class Trained:
     matrix: DataFrame
@@ -137,7 +150,7 @@ class Trained:
 
 
 _CACHE: dict = {}
-_LOCK = threading.Lock()
+_LOCK = threading.RLock()
 
 
 def train(spark: SparkSession, sf_dir: str, max_rounds: int = 8, patience: int = 3, depth: int = 4) -> Trained:
@@ -152,7 +165,7 @@ def train(spark: SparkSession, sf_dir: str, max_rounds: int = 8, patience: int =
 
 
 def _train(spark, sf_dir, max_rounds, patience, depth) -> Trained:
-    matrix = training_matrix(spark, sf_dir)
+    matrix = shared_matrix(spark, sf_dir)
     data = labels.split_by_season(matrix, "season", TRAIN_MAX, CALIB, HOLDOUT, prod_max=PROD_MAX)
     data = data.withColumn("home_win", F.col("home_win").cast("double")).persist(StorageLevel.MEMORY_AND_DISK)
     labels.require_splits(labels.split_counts(data))

@@ -891,7 +891,7 @@ def holdout_report(spark, sf_dir):
 @query
 def search_leaderboard(spark, sf_dir):
     """Seeded random search; top 5 trials by calibration log-loss."""
-    matrix = jobs.training_matrix(spark, sf_dir, scratch_path(spark, "search-matrix"))
+    matrix = jobs.shared_matrix(spark, sf_dir)
     data = labels.split_by_season(matrix, "season", jobs.TRAIN_MAX, jobs.CALIB, jobs.HOLDOUT).withColumn(
         "home_win", F.col("home_win").cast("double")
     ).persist()
