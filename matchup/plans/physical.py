@@ -71,15 +71,16 @@ def position_within(
     A plain ``row_number`` window would put a whole group in one task; a hot
     group (a third of the rows) would then be one task. Instead:
 
-    1. checkpoint the input to the shared folder: it is computed once (range
-       partitioning samples its input in a separate pass, which would
-       otherwise recompute the whole upstream plan), and the sampling of a
-       fixed input is deterministic (seeded per partition), so a
-       recomputation after an executor loss draws the same bounds and puts
-       every row in the same partition;
+    1. checkpoint the input to the shared folder, so the upstream plan is
+       computed once (range partitioning samples its input in a pass of its
+       own);
     2. range-partition on (by, order): the sampled bounds split a hot group
        across many balanced partitions, in order;
-    3. number rows inside each (partition, group) piece (bounded by the
+    3. checkpoint that layout with its partition id. The sampling is seeded
+       per execution, so two executions may draw different bounds: the piece
+       counts and the row numbers must come from one fixed layout, also
+       after an executor loss;
+    4. number rows inside each (partition, group) piece (bounded by the
        partition size), count the pieces (a table of at most
        partitions x groups-per-partition rows) and add, per piece, the rows
        of the same group in earlier partitions.
@@ -87,7 +88,7 @@ def position_within(
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     by_cols = [F.col(b) for b in by]
-    laid_out = (
+    laid_out = reliable_checkpoint(
         reliable_checkpoint(df)
         .repartitionByRange(n, *by_cols, *order)
         .withColumn("_pid", F.spark_partition_id())

@@ -39,3 +39,17 @@ def test_bounded_broadcast_falls_back_beyond_bound(spark):
     assert small is False
     side, small = physical.small_side(big, max_rows=100)
     assert small is True
+
+
+def test_position_within_is_complete_when_sampling_is_partial(spark):
+    # Many rows per input partition: the range bounds come from a partial,
+    # execution-seeded sample, so the layout must be fixed before counting.
+    df = spark.range(0, 40000, numPartitions=6).select(
+        (F.col("id") % 5).alias("g"), ((F.col("id") * 7919) % 1000).alias("score"), F.col("id")
+    )
+    for _ in range(2):
+        got = physical.position_within(df, ["g"], [F.col("score"), F.col("id")], partitions=8)
+        stats = got.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("position").alias("lo"),
+                                     F.max("position").alias("hi"), F.countDistinct("position").alias("d")).collect()
+        assert sum(r["n"] for r in stats) == 40000
+        assert all(r["lo"] == 1 and r["hi"] == r["n"] == r["d"] for r in stats)
