@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from matchup.sources.tables import TABLES
@@ -57,3 +58,14 @@ def test_every_query_is_registered_with_docs():
     assert len(qs) >= 60
     missing = [n for n, f in qs.items() if not (f.__doc__ or "").strip()]
     assert not missing
+
+
+def test_scoring_covers_every_open_meeting(spark, duck):
+    """score_publish (rows-only for the driver) against a brute-force count."""
+    want = duck.execute(
+        "SELECT count(*) FROM lineitem WHERE l_linestatus <> 'F' AND l_returnflag <> 'N'"
+    ).fetchone()[0]
+    got = entry.queries()["score_publish"](spark, SF)
+    assert got.count() == want
+    pos = got.groupBy("season", "week").agg(F.max("slate_position").alias("hi"), F.count("*").alias("n")).collect()
+    assert all(r["hi"] == r["n"] for r in pos)
