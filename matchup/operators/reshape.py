@@ -34,15 +34,18 @@ def pivot_first(
     value: str,
     vocab: Sequence[str] | Mapping[str, str],
     order: str,
+    tiebreak: Sequence[str] = (),
 ) -> DataFrame:
     """A1: first non-null ``value`` by ``order`` per key x ``name``.
 
     Rows with a NULL key are dropped (as a pandas pivot index does). The
     aggregation is partial (map-side) so a hot key is combined before the
-    shuffle. ``vocab`` may map a value to an output column name.
+    shuffle. ``vocab`` may map a value to an output column name. ``tiebreak``
+    columns extend the order so that "first" is unique when ``order`` ties.
     """
     names = dict(vocab) if isinstance(vocab, Mapping) else {v: v for v in vocab}
-    v, n, o = F.col(value), F.col(name), F.col(order)
+    v, n = F.col(value), F.col(name)
+    o = F.struct(F.col(order), *[F.col(t) for t in tiebreak]) if tiebreak else F.col(order)
     aggs = [
         # The ordering is NULL unless this row is of value ``k`` with a value:
         # min_by skips NULL orderings, so NULL values never win.

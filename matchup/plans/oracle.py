@@ -192,11 +192,11 @@ ew AS (
 SQL["long_to_wide"] = f"""
 WITH {EVENTS_WEEKLY}
 SELECT user_id, week,
-       arg_min(value, ts) FILTER (WHERE event_type = 'view' AND value IS NOT NULL) AS view,
-       arg_min(value, ts) FILTER (WHERE event_type = 'signup' AND value IS NOT NULL) AS signup,
-       arg_min(value, ts) FILTER (WHERE event_type = 'purchase' AND value IS NOT NULL) AS purchase,
-       arg_min(value, ts) FILTER (WHERE event_type = 'error' AND value IS NOT NULL) AS error,
-       arg_min(value, ts) FILTER (WHERE event_type = 'click' AND value IS NOT NULL) AS click
+       arg_min(value, (ts, event_id)) FILTER (WHERE event_type = 'view' AND value IS NOT NULL) AS view,
+       arg_min(value, (ts, event_id)) FILTER (WHERE event_type = 'signup' AND value IS NOT NULL) AS signup,
+       arg_min(value, (ts, event_id)) FILTER (WHERE event_type = 'purchase' AND value IS NOT NULL) AS purchase,
+       arg_min(value, (ts, event_id)) FILTER (WHERE event_type = 'error' AND value IS NOT NULL) AS error,
+       arg_min(value, (ts, event_id)) FILTER (WHERE event_type = 'click' AND value IS NOT NULL) AS click
 FROM ew
 WHERE user_id IS NOT NULL AND week IS NOT NULL
   AND event_type IN ('view', 'signup', 'purchase', 'error', 'click')

@@ -282,7 +282,7 @@ def _events_weekly(spark, sf_dir):
 def long_to_wide(spark, sf_dir):
     """A1: per (user, week) the first non-null value of each event type by time."""
     e = _events_weekly(spark, sf_dir)
-    wide = reshape.pivot_first(e, ["user_id", "week"], "event_type", "value", EVENT_TYPES, "ts")
+    wide = reshape.pivot_first(e, ["user_id", "week"], "event_type", "value", EVENT_TYPES, "ts", tiebreak=["event_id"])
     return wide
 
 
