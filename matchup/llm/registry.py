@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from matchup.llm import quality_rules, secret_models, url_rules
+from matchup.llm import license_join, quality_rules, secret_models, url_rules
 
 QUERIES = {
     "op3_secret_models": secret_models.op3_secret_models,
     "op4_url_rules": url_rules.op4_url_rules,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op10_license_join": license_join.op10_license_join,
 }
 
 SQL = {"op4_url_rules": url_rules.OP4_SQL}
