@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from matchup.llm import license_join, packing, quality_rules, secret_models, url_rules
+from matchup.llm import license_join, line_dedup, packing, quality_rules, secret_models, url_rules
 
 QUERIES = {
     "op3_secret_models": secret_models.op3_secret_models,
     "op4_url_rules": url_rules.op4_url_rules,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_packing": packing.op9_packing,
     "op10_license_join": license_join.op10_license_join,
 }
