@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchup.llm.common import staged
@@ -45,37 +45,47 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def shared(members: DataFrame) -> DataFrame:
-    """The rows of ``members`` (group, node) whose group has other nodes too, staged."""
-    n = F.count("*").over(Window.partitionBy("group"))
-    return staged(members.withColumn("n", n).where("n > 1").drop("n"), "groups")
+    """The rows of ``members`` (group, node, ...; a node once a group) whose group has other nodes too, staged."""
+    many = staged(members.groupBy("group").count().where("count > 1").select("group"), "many")
+    return staged(members.join(small(many), "group", "left_semi"), "groups")
 
 
-def linked(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = HUB_ROUNDS) -> DataFrame | None:
+def linked(
+    groups: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    feasible: Callable[[str, str], Column] | None = None,
+    rounds: int = HUB_ROUNDS,
+) -> DataFrame | None:
     """(node, component) over all verified links between nodes that share a group; None without links.
 
-    ``groups``: (group, node), staged, distinct. ``verify`` keeps the true
-    links of a frame of pairs (a, b). Which links exist decides the result, so
-    pairs inside one component need no look: at first every member meets one
-    hub a group (another one each round), which joins a large group of copies
-    in as many pairs as it has members; what then still lies in several
-    components is compared in full, across components only.
+    ``groups``: (group, node, ...), staged, a node once a group. ``verify``
+    keeps the true links of a frame of pairs (a, b); ``feasible`` is a cheap
+    necessary condition on two members (aliases). Which links exist decides
+    the result, so pairs inside one component need no look: at first every
+    member meets one hub a group (another one each round), which joins a large
+    group of copies in as many pairs as it has members; what then still lies
+    in several components is compared in full, across components only.
     """
     links, comp = None, None
     for k in range(rounds + 1):
         own = groups.withColumn("c", F.col("node")) if comp is None else (
-            groups.join(comp, "node", "left").select("group", "node", F.coalesce("component", "node").alias("c"))
+            groups.join(small(comp), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
         )
+        if k:
+            mixed = own.groupBy("group").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("group")
+            own = staged(own.join(mixed, "group", "left_semi"), "mixed")
+            if own.isEmpty():
+                break
         if k < rounds:
             order = F.xxhash64(F.col("node"), F.lit(k))
-            hub = own.groupBy("group").agg(F.min(F.struct(order.alias("o"), "node", "c")).alias("h"))
-            pairs = own.join(hub, "group").where("c <> h.c").select("node", F.col("h.node").alias("other"))
+            hub = own.groupBy("group").agg(F.min_by(F.struct(*own.drop("group").columns), order).alias("y"))
+            x, y, differ = own.alias("x"), hub.select("group", "y.*").alias("y"), F.col("x.c") != F.col("y.c")
         else:
-            mixed = own.groupBy("group").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("group")
-            left = staged(own.join(mixed, "group", "left_semi"), "mixed")
-            x, y = left.alias("x"), left.alias("y")
-            pairs = x.join(y, (F.col("x.group") == F.col("y.group")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c"))).select(
-                F.col("x.node").alias("node"), F.col("y.node").alias("other"))
-        pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+            x, y, differ = own.alias("x"), own.alias("y"), (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c"))
+        if feasible is not None:
+            differ = differ & feasible("x", "y")
+        pairs = x.join(y, (F.col("x.group") == F.col("y.group")) & differ)
+        pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         found = staged(verify(staged(pairs, "pairs")).select("a", "b"), "links")
         if found.isEmpty():
             continue

@@ -134,7 +134,7 @@ def dropped(keyed: DataFrame) -> DataFrame:
     nodes = staged(
         occ.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands")), "nodes"
     )
-    groups = shared(nodes.select(F.explode("bands").alias("group"), "node").distinct())
+    groups = shared(nodes.select(F.explode("bands").alias("group"), "node"))
     wanted = nodes.join(groups.select("node").distinct(), "node", "left_semi").select("node", "first.key", "first.line")
     by_doc = staged(wanted.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("line", "node"))).alias("w")), "wanted")  # a document's own lines
     texts = (
