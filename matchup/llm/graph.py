@@ -45,9 +45,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def shared(members: DataFrame) -> DataFrame:
-    """The rows of ``members`` (group, node, ...; a node once a group) whose group has other nodes too, staged."""
-    many = staged(members.groupBy("group").count().where("count > 1").select("group"), "many")
-    return staged(members.join(small(many), "group", "left_semi"), "groups")
+    """The distinct rows of ``members`` (group, node, ...) whose group has other nodes too, staged.
+
+    ``members`` may repeat rows; it is read twice.
+    """
+    ends = members.groupBy("group").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+    many = staged(ends.where("lo <> hi").select("group"), "many")
+    return staged(members.join(small(many), "group", "left_semi").dropDuplicates(["group", "node"]), "groups")
 
 
 def linked(
@@ -55,6 +59,7 @@ def linked(
     verify: Callable[[DataFrame], DataFrame],
     feasible: Callable[[str, str], Column] | None = None,
     rounds: int = HUB_ROUNDS,
+    central: str | None = None,
 ) -> DataFrame | None:
     """(node, component) over all verified links between nodes that share a group; None without links.
 
@@ -63,7 +68,8 @@ def linked(
     necessary condition on two members (aliases). Which links exist decides
     the result, so pairs inside one component need no look: at first every
     member meets one hub a group (another one each round), which joins a large
-    group of copies in as many pairs as it has members; what then still lies
+    group of copies in as many pairs as it has members (the hub is the member
+    with the least ``central`` value, if that column is named); what then still lies
     in several components is compared in full, across components only.
     """
     links, comp = None, None
@@ -78,6 +84,8 @@ def linked(
                 break
         if k < rounds:
             order = F.xxhash64(F.col("node"), F.lit(k))
+            if central and not k % 2:
+                order = F.struct(F.col(central), order)
             hub = own.groupBy("group").agg(F.min_by(F.struct(*own.drop("group").columns), order).alias("y"))
             x, y, differ = own.alias("x"), hub.select("group", "y.*").alias("y"), F.col("x.c") != F.col("y.c")
         else:

@@ -6,8 +6,11 @@ shingles stand in one global order, rarest first: those that are frequent (see
 equal sets are one node.
 
 Candidates: two sets of Jaccard similarity t share a shingle among the first
-n - ceil(t n) + 1 of each (prefix filter); sizes and the places of the shared
-shingle must leave room for the overlap (length and positional filters).
+n - ceil(t n) + 1 of each (prefix filter); at the first one they share, sizes
+and places must leave room for the overlap (length and positional filters),
+and the parities of the shingles that fall into each of 512 cells must not
+differ in more cells than shingles may (``shingles.parities``).
+None of these filters loses a link.
 Overlaps: the global order is cut into ``FRAGMENTS`` pieces, the overlap of a
 candidate pair is counted in each piece on its own and summed per pair.
 Components come from ``graph.linked``, which spares pairs that are already in
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 
 from matchup.llm.common import read, staged
 from matchup.llm.graph import linked, shared, small
-from matchup.llm.shingles import mixed, shingle_sets
+from matchup.llm.shingles import CELL_COLUMNS, mixed, parities, shingle_sets, similar_enough
 
 WORDS, PERCENT, FRAGMENTS = 4, 85, 8
 #: A shingle in this share of the documents of a task's input is counted as frequent.
@@ -85,7 +88,8 @@ def ordered(grams: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarr
 
 
 def node_of(grams: np.ndarray) -> int:
-    return int(mixed(mixed(grams ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64) + np.uint64(len(grams))).view(np.int64)) if len(grams) else 0
+    total = mixed(grams ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(keepdims=True) + np.uint64(len(grams))
+    return int(mixed(total).view(np.int64)[0]) if len(grams) else 0
 
 
 def sketched(keyed: DataFrame, words: int, percent: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -94,20 +98,22 @@ def sketched(keyed: DataFrame, words: int, percent: int, heavy: tuple[np.ndarray
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, prefixes = [], [], []
+            nodes, sizes, prefixes, cells = [], [], [], []
             for grams in shingle_sets(batch.column("text"), words):
                 n = len(grams)
                 nodes.append(node_of(grams))
                 sizes.append(n)
+                cells.append(parities(grams))
                 prefixes.append(ordered(grams, keys, counts)[: n - math.ceil(percent * n / 100) + 1 if n else 0])
             ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             flat = np.concatenate(prefixes) if prefixes else np.empty(0, np.uint64)
+            cells = np.array(cells, np.int64).reshape(-1, len(CELL_COLUMNS))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), batch.column("doc_id").cast(pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(ends, flat.view(np.int64))],
-                ["key", "doc_id", "node", "n", "prefix"],
+                [batch.column("key"), batch.column("doc_id").cast(pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(ends, flat.view(np.int64)), *map(pa.array, cells.T)],
+                ["key", "doc_id", "node", "n", "prefix", *CELL_COLUMNS],
             )
 
-    return keyed.mapInArrow(scan, "key long, doc_id long, node long, n int, prefix array<long>")
+    return keyed.mapInArrow(scan, "key long, doc_id long, node long, n int, prefix array<long>" + "".join(f", {c} long" for c in CELL_COLUMNS))
 
 
 def fragments(texts: DataFrame, words: int) -> DataFrame:
@@ -143,12 +149,11 @@ def overlapping(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
 
 
 def feasible(percent: int):
-    """Length and positional filter for two members (n, place) of one prefix shingle."""
+    """The filters for two members (n, place, parities) of a prefix shingle, taken as the first that they share."""
 
     def test(x: str, y: str):
         n, m, i, j = (F.col(f"{s}.{c}") for c in ("n", "place") for s in (x, y))
-        room = F.least(i, j) + F.least(n - i, m - j)
-        return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * room >= percent * (n + m))
+        return similar_enough(x, y, percent) & ((100 + percent) * F.least(n - i, m - j) >= percent * (n + m))
 
     return test
 
@@ -157,12 +162,12 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     """(key, doc_id, n_shingles, component_id) per row of ``docs`` (doc_id, text); key = xxhash64(doc_id, text)."""
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = staged(sketched(keyed, words, percent, frequent(docs, words)), "sketches")
-    nodes = rows.where("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    groups = shared(nodes.select("node", "n", F.posexplode("prefix").alias("place", "group")))
+    nodes = rows.where("n > 0").groupBy("node").agg(F.min("key").alias("key"), *(F.first(c).alias(c) for c in ("n", "prefix", *CELL_COLUMNS)))
+    groups = shared(nodes.select("node", "n", *CELL_COLUMNS, F.posexplode("prefix").alias("place", "group")))
     wanted = staged(groups.select("node").distinct().join(nodes.select("node", "key"), "node"), "wanted")
     texts = keyed.select("key", "text").join(small(wanted), "key").dropDuplicates(["node"]).select("node", "text")
     parts = staged(fragments(texts, words), "fragments")
-    comp = linked(groups, lambda pairs: overlapping(pairs, parts, percent), feasible(percent))
+    comp = linked(groups, lambda pairs: overlapping(pairs, parts, percent), feasible(percent), central="place")
     out = rows.select("key", "doc_id", "node", "n")
     out = out.withColumn("c", F.col("node")) if comp is None else out.join(comp, "node", "left").withColumn("c", F.coalesce("component", "node"))
     ids = out.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"))

@@ -4,9 +4,10 @@ Lines are the ``\\n``-split parts of a text that hold a word. Equal lines are
 one node (64-bit hash: n lines make n*n / 2**65 false matches expected). A
 node's signature is the minimum, under ``BANDS * ROWS`` hash functions, of its
 character shingles (``SHINGLE`` code points; a shorter line is one shingle);
-nodes that agree on a whole band are candidates, the exact Jaccard similarity
-of the shingle sets decides (``SIMILARITY`` or more), and distributed
-union-find makes components. Of all lines of a component one stays: the first
+nodes that agree on a whole band are candidates unless the sizes or parity
+sketches of their shingle sets exclude the similarity, the exact Jaccard
+similarity decides (``PERCENT`` or more), and distributed union-find makes
+components. Of all lines of a component one stays: the first
 by doc_id, then by line number.
 
 At the threshold a pair is found with probability 1 - (1 - 0.8**4)**10 =
@@ -24,7 +25,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -32,8 +32,9 @@ from pyspark.sql import functions as F
 
 from matchup.llm.common import read, staged
 from matchup.llm.graph import linked, shared, small
+from matchup.llm.shingles import CELL_COLUMNS, mixed, parities, similar_enough
 
-SHINGLE, BANDS, ROWS, SIMILARITY = 8, 10, 4, 0.8
+SHINGLE, BANDS, ROWS, PERCENT = 8, 10, 4, 80
 #: Code points hashed at a time: bounds a task's memory however long the texts are.
 CHUNK = 1 << 20
 _SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -106,35 +107,43 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(scan, "key long, doc_id long, line int, node long, bands array<long>")
 
 
-def similar(pairs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose lines' shingle sets have the Jaccard similarity; ``lines``: (node, text)."""
+def line_sets(texts: DataFrame) -> DataFrame:
+    """(node, n, grams, parities) of the lines of ``texts`` (node, text): distinct 64-bit hashes of their shingles."""
 
-    @F.pandas_udf("boolean")
-    def near(a: pd.Series, b: pd.Series) -> pd.Series:
-        def shingles(x: str) -> set:
-            return {x[i : i + SHINGLE] for i in range(max(1, len(x) - SHINGLE + 1))}
-
-        def one(x: str, y: str) -> bool:
-            s, t = shingles(x), shingles(y)
-            both = len(s & t)
-            return both >= similarity * (len(s) + len(t) - both) - 1e-9
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = []
+            for x in batch.column("text").to_pylist():
+                codes = np.frombuffer((x + "\0" * (SHINGLE - len(x))).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+                h = mixed(codes + np.uint64(1))
+                for k in (1, 2, 4):  # SHINGLE = 8: each step doubles the length hashed
+                    h = mixed(h[:-k] * np.uint64(0x9E3779B97F4A7C15 + 2 * k) + h[k:])
+                sets.append(np.unique(h))
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+            cells = np.array([parities(g) for g in sets], np.int64).reshape(-1, len(CELL_COLUMNS))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), pa.array(np.diff(ends)), pa.ListArray.from_arrays(ends, flat.view(np.int64)), *map(pa.array, cells.T)],
+                ["node", "n", "grams", *CELL_COLUMNS],
+            )
 
-        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
+    return texts.mapInArrow(scan, "node long, n int, grams array<long>" + "".join(f", {c} long" for c in CELL_COLUMNS))
 
-    a = lines.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    b = lines.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(a, "a").join(b, "b").where(near("ta", "tb"))
 
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose lines' shingle sets have the Jaccard similarity."""
+    a = sets.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
+    b = sets.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
+    both = pairs.join(a, "a").join(b, "b").withColumn("o", F.size(F.array_intersect("ga", "gb")))
+    return both.where(100 * F.col("o") >= PERCENT * (F.size("ga") + F.size("gb") - F.col("o")))
 
 
 def dropped(keyed: DataFrame) -> DataFrame:
     """(key, drop: line numbers that go) for the documents of ``keyed`` (key, doc_id, text) that lose lines."""
     occ = staged(occurrences(keyed), "lines")
     place = F.struct("doc_id", "key", "line")
-    nodes = staged(
-        occ.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands")), "nodes"
-    )
-    groups = shared(nodes.select(F.explode("bands").alias("group"), "node"))
+    nodes = staged(occ.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n")), "nodes")
+    groups = shared(occ.select(F.explode("bands").alias("group"), "node"))
     wanted = nodes.join(groups.select("node").distinct(), "node", "left_semi").select("node", "first.key", "first.line")
     by_doc = staged(wanted.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("line", "node"))).alias("w")), "wanted")  # a document's own lines
     texts = (
@@ -143,8 +152,9 @@ def dropped(keyed: DataFrame) -> DataFrame:
         .select(F.inline(F.arrays_zip("w", "t")))
         .select("w.node", F.col("t").alias("text"))
     )
-    texts = staged(texts, "texts")
-    comp = linked(groups, lambda pairs: similar(pairs, texts))
+    sets = staged(line_sets(texts), "sets")
+    groups = staged(groups.join(small(sets.drop("grams")), "node"), "members")
+    comp = linked(groups, lambda pairs: similar(pairs, sets), lambda x, y: similar_enough(x, y, PERCENT))
     affected = nodes.select("node", "first", "n")
     if comp is None:
         affected = affected.where("n > 1").select("node", F.col("first").alias("keep"))

@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 #: Bytes hashed at a time (a longer text is taken whole): bounds a task's memory.
 CHUNK = 1 << 21
@@ -92,6 +94,28 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
             if n >= k:
                 yield np.unique(every[a : b - k + 1])
             elif n:
-                yield mixed(np.array([(words[a:b] * _ODD[k : k + n]).sum() + np.uint64(n)], np.uint64))
+                yield mixed((words[a:b] * _ODD[k : k + n]).sum(keepdims=True) + np.uint64(n))
             else:
                 yield np.empty(0, np.uint64)
+
+
+#: Cells whose parities sketch a set, and their columns (64 to one).
+CELLS = 512
+CELL_COLUMNS = [f"b{i}" for i in range(CELLS // 64)]
+
+
+def parities(grams: np.ndarray) -> np.ndarray:
+    """int64 [CELLS / 64]: of each cell, whether an odd number of the distinct hashes falls into it.
+
+    The sketches of two sets differ in at most as many cells as there are
+    members of only one of them.
+    """
+    odd = np.bincount((grams >> np.uint64(65 - CELLS.bit_length())).astype(np.int64), minlength=CELLS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def similar_enough(x: str, y: str, percent: int) -> Column:
+    """Whether sizes (n) and sketches of two rows (aliases) leave a Jaccard similarity of ``percent`` possible."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    apart = sum((F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in CELL_COLUMNS), F.lit(0))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * apart <= (100 - percent) * (n + m))
