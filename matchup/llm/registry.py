@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from matchup.llm import jaccard_join, license_join, line_dedup, packing, quality_rules, secret_models, url_rules
+from matchup.llm import jaccard_join, license_join, line_dedup, mixing, packing, quality_rules, secret_models, url_rules
 
 QUERIES = {
     "op3_secret_models": secret_models.op3_secret_models,
     "op4_url_rules": url_rules.op4_url_rules,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_jaccard_join": jaccard_join.op6_jaccard_join,
+    "op7_mixing": mixing.op7_mixing,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_packing": packing.op9_packing,
     "op10_license_join": license_join.op10_license_join,
