@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from matchup.llm import jaccard_join, license_join, line_dedup, mixing, packing, quality_rules, secret_models, url_rules, vector_dedup
+from matchup.llm import jaccard_join, license_join, line_dedup, mixing, packing, quality_knn, quality_rules, secret_models, url_rules, vector_dedup
 
 QUERIES = {
     "op3_secret_models": secret_models.op3_secret_models,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_jaccard_join": jaccard_join.op6_jaccard_join,
     "op7_mixing": mixing.op7_mixing,
+    "op1_quality_knn": quality_knn.op1_quality_knn,
     "op2_vector_dedup": vector_dedup.op2_vector_dedup,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_packing": packing.op9_packing,
