@@ -5,8 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from matchup.llm.common import read, staged
+from matchup.llm.jaccard_join import jaccard_stage
+from matchup.llm.line_dedup import line_stage
+from matchup.llm.mixing import mixing_stage
+from matchup.llm.packing import packing_stage
+from matchup.llm.quality_rules import quality_stage
 
-STAGES: list = []
+#: (name, function of (spark, docs, sf_dir)): each works on all that the one before kept.
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("line_dedup", line_stage),
+    ("jaccard_join", jaccard_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
 
 #: The stages learn models and solve optimisation problems, which SQL cannot express.
 ORACLE_SQL = None
