@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from matchup.llm.common import staged
 
 #: Rounds in which each group compares its members with one of them only.
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 #: Rows of (long, long) that may be broadcast: 16 MB, checked by a count first.
 BROADCAST_ROWS = 1_000_000
 
@@ -54,6 +54,19 @@ def shared(members: DataFrame) -> DataFrame:
     return staged(members.join(small(many), "group", "left_semi").dropDuplicates(["group", "node"]), "groups")
 
 
+def live(groups: DataFrame, feasible: Callable[[str, str], Column]) -> DataFrame:
+    """The rows of ``groups`` that have a feasible partner in their group, staged: no pair is made."""
+    x, y = groups.alias("x"), groups.alias("y")
+    same = (F.col("x.group") == F.col("y.group")) & (F.col("x.node") != F.col("y.node"))
+    return staged(x.join(y, same & feasible("x", "y"), "left_semi"), "live")
+
+
+def involved(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of ``sets`` (node, ...) that the pairs (a, b) need: the others are not shuffled."""
+    ids = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+    return sets.join(small(staged(ids, "involved")), "node", "left_semi")
+
+
 def linked(
     groups: DataFrame,
     verify: Callable[[DataFrame], DataFrame],

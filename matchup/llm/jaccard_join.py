@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchup.llm.common import read, staged
-from matchup.llm.graph import linked, shared, small
+from matchup.llm.graph import involved, linked, live, shared, small
 from matchup.llm.shingles import CELL_COLUMNS, mixed, parities, shingle_sets, similar_enough
 
 WORDS, PERCENT, FRAGMENTS = 4, 85, 8
@@ -164,10 +164,13 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     rows = staged(sketched(keyed, words, percent, frequent(docs, words)), "sketches")
     nodes = rows.where("n > 0").groupBy("node").agg(F.min("key").alias("key"), *(F.first(c).alias(c) for c in ("n", "prefix", *CELL_COLUMNS)))
     groups = shared(nodes.select("node", "n", *CELL_COLUMNS, F.posexplode("prefix").alias("place", "group")))
+    groups = live(groups, feasible(percent))
     wanted = staged(groups.select("node").distinct().join(nodes.select("node", "key"), "node"), "wanted")
-    texts = keyed.select("key", "text").join(small(wanted), "key").dropDuplicates(["node"]).select("node", "text")
-    parts = staged(fragments(texts, words), "fragments")
-    comp = linked(groups, lambda pairs: overlapping(pairs, parts, percent), feasible(percent), central="place")
+    texts = keyed.select("key", "text").join(small(wanted), "key")
+    if not rows.select("key").join(small(wanted), "key").groupBy("key").count().where("count > 1").isEmpty():
+        texts = texts.dropDuplicates(["node"])  # repeated rows
+    parts = staged(fragments(texts.select("node", "text"), words), "fragments")
+    comp = linked(groups, lambda pairs: overlapping(pairs, involved(parts, pairs), percent), feasible(percent), central="place")
     out = rows.select("key", "doc_id", "node", "n")
     out = out.withColumn("c", F.col("node")) if comp is None else out.join(comp, "node", "left").withColumn("c", F.coalesce("component", "node"))
     ids = out.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"))

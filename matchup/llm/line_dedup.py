@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchup.llm.common import read, staged
-from matchup.llm.graph import linked, shared, small
+from matchup.llm.graph import involved, linked, live, shared, small
 from matchup.llm.shingles import CELL_COLUMNS, mixed, parities, similar_enough
 
 SHINGLE, BANDS, ROWS, PERCENT = 8, 10, 4, 80
@@ -146,15 +146,19 @@ def dropped(keyed: DataFrame) -> DataFrame:
     groups = shared(occ.select(F.explode("bands").alias("group"), "node"))
     wanted = nodes.join(groups.select("node").distinct(), "node", "left_semi").select("node", "first.key", "first.line")
     by_doc = staged(wanted.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("line", "node"))).alias("w")), "wanted")  # a document's own lines
+    texts = keyed.select("key", "text").join(small(by_doc), "key")
+    if not wanted.select("key", "line").join(occ.select("key", "line"), ["key", "line"]).groupBy("key", "line").count().where("count > 1").isEmpty():
+        texts = texts.dropDuplicates(["key"])  # repeated rows
     texts = (
-        keyed.select("key", "text").join(small(by_doc), "key").dropDuplicates(["key"])
-        .select("w", F.filter(F.split("text", "\n"), lambda x, i: F.exists("w", lambda s: s["line"] == i)).alias("t"))
+        texts.select("w", F.filter(F.split("text", "\n"), lambda x, i: F.exists("w", lambda s: s["line"] == i)).alias("t"))
         .select(F.inline(F.arrays_zip("w", "t")))
         .select("w.node", F.col("t").alias("text"))
     )
-    sets = staged(line_sets(texts), "sets")
-    groups = staged(groups.join(small(sets.drop("grams")), "node"), "members")
-    comp = linked(groups, lambda pairs: similar(pairs, sets), lambda x, y: similar_enough(x, y, PERCENT))
+    texts = staged(texts, "texts")
+    sketches = staged(line_sets(texts).drop("grams"), "line-sketches")
+    groups = live(groups.join(small(sketches), "node"), lambda x, y: similar_enough(x, y, PERCENT))
+    sets = staged(line_sets(texts.join(small(staged(groups.select("node").distinct(), "nodes")), "node", "left_semi")), "sets")
+    comp = linked(groups, lambda pairs: similar(pairs, involved(sets, pairs)), lambda x, y: similar_enough(x, y, PERCENT))
     affected = nodes.select("node", "first", "n")
     if comp is None:
         affected = affected.where("n > 1").select("node", F.col("first").alias("keep"))
