@@ -52,16 +52,32 @@ def frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of the frequent shingles of all documents, and their counts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, rows, floor = np.empty(0, np.uint64), np.empty(0, np.int64), 0, 1
-        for batch in batches:
-            sets = list(shingle_sets(batch.column("text"), words))
-            rows += len(sets)
-            k, inverse = np.unique(np.concatenate([keys, *sets]), return_inverse=True)
-            counts = np.bincount(inverse, weights=np.concatenate([counts, np.ones(len(inverse) - len(counts))]), minlength=len(k)).astype(np.int64)
-            keys = k
-            while len(keys) > 8 * FREQUENT:  # the rarest so far go
+        keys, counts, rows = np.empty(0, np.uint64), np.empty(0, np.int64), 0
+
+        def merged(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+            k, n = np.unique(np.concatenate(sets), return_counts=True)
+            both = np.concatenate([keys, k])
+            order = np.argsort(both, kind="stable")
+            both, n = both[order], np.concatenate([counts, n])[order]
+            first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+            k, n = both[first], np.add.reduceat(n, first)
+            floor = 1
+            while len(k) > 2 * FREQUENT:  # the rarest so far go
                 floor += 1
-                keys, counts = keys[counts >= floor], counts[counts >= floor]
+                k, n = k[n >= floor], n[n >= floor]
+            return k, n
+
+        for batch in batches:
+            held, size = [], 0
+            for grams in shingle_sets(batch.column("text"), words):
+                rows += 1
+                held.append(grams)
+                size += len(grams)
+                if size > FREQUENT:
+                    keys, counts = merged(held)
+                    held, size = [], 0
+            if size:
+                keys, counts = merged(held)
         keep = counts >= max(2, SHARE * rows)
         yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(counts[keep])], ["gram", "n"])
 

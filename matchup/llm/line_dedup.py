@@ -25,6 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -107,8 +108,8 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(scan, "key long, doc_id long, line int, node long, bands array<long>")
 
 
-def line_sets(texts: DataFrame) -> DataFrame:
-    """(node, n, grams, parities) of the lines of ``texts`` (node, text): distinct 64-bit hashes of their shingles."""
+def line_sketches(texts: DataFrame) -> DataFrame:
+    """(node, n, parities) of the lines of ``texts`` (node, text), from distinct 64-bit hashes of their shingles."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,23 +120,32 @@ def line_sets(texts: DataFrame) -> DataFrame:
                 for k in (1, 2, 4):  # SHINGLE = 8: each step doubles the length hashed
                     h = mixed(h[:-k] * np.uint64(0x9E3779B97F4A7C15 + 2 * k) + h[k:])
                 sets.append(np.unique(h))
-            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+            sizes = pa.array([len(g) for g in sets], pa.int32())
             cells = np.array([parities(g) for g in sets], np.int64).reshape(-1, len(CELL_COLUMNS))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), pa.array(np.diff(ends)), pa.ListArray.from_arrays(ends, flat.view(np.int64)), *map(pa.array, cells.T)],
-                ["node", "n", "grams", *CELL_COLUMNS],
+                [batch.column("node"), sizes, *map(pa.array, cells.T)], ["node", "n", *CELL_COLUMNS]
             )
 
-    return texts.mapInArrow(scan, "node long, n int, grams array<long>" + "".join(f", {c} long" for c in CELL_COLUMNS))
+    return texts.mapInArrow(scan, "node long, n int" + "".join(f", {c} long" for c in CELL_COLUMNS))
 
 
-def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose lines' shingle sets have the Jaccard similarity."""
-    a = sets.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
-    b = sets.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
-    both = pairs.join(a, "a").join(b, "b").withColumn("o", F.size(F.array_intersect("ga", "gb")))
-    return both.where(100 * F.col("o") >= PERCENT * (F.size("ga") + F.size("gb") - F.col("o")))
+def similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose lines' shingle sets have the Jaccard similarity; ``lines``: (node, text)."""
+
+    @F.pandas_udf("boolean")
+    def near(a: pd.Series, b: pd.Series) -> pd.Series:
+        def shingles(x: str) -> set:
+            return {x[i : i + SHINGLE] for i in range(max(1, len(x) - SHINGLE + 1))}
+
+        def one(s: set, t: set) -> bool:
+            both = len(s & t)
+            return 100 * both >= PERCENT * (len(s) + len(t) - both)
+
+        return pd.Series([one(shingles(x), shingles(y)) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    a = lines.select(F.col("node").alias("a"), F.col("text").alias("ta"))
+    b = lines.select(F.col("node").alias("b"), F.col("text").alias("tb"))
+    return pairs.join(a, "a").join(b, "b").where(near("ta", "tb"))
 
 
 def dropped(keyed: DataFrame) -> DataFrame:
@@ -155,10 +165,9 @@ def dropped(keyed: DataFrame) -> DataFrame:
         .select("w.node", F.col("t").alias("text"))
     )
     texts = staged(texts, "texts")
-    sketches = staged(line_sets(texts).drop("grams"), "line-sketches")
+    sketches = staged(line_sketches(texts), "line-sketches")
     groups = live(groups.join(small(sketches), "node"), lambda x, y: similar_enough(x, y, PERCENT))
-    sets = staged(line_sets(texts.join(small(staged(groups.select("node").distinct(), "nodes")), "node", "left_semi")), "sets")
-    comp = linked(groups, lambda pairs: similar(pairs, involved(sets, pairs)), lambda x, y: similar_enough(x, y, PERCENT))
+    comp = linked(groups, lambda pairs: similar(pairs, involved(texts, pairs)), lambda x, y: similar_enough(x, y, PERCENT))
     affected = nodes.select("node", "first", "n")
     if comp is None:
         affected = affected.where("n > 1").select("node", F.col("first").alias("keep"))
