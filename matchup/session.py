@@ -72,7 +72,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        # Unset: a local run or a test. A cluster always names a shared folder.
+        # Unset: a local run or a test. A cluster has to name a shared folder.
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="matchup-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

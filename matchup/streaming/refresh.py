@@ -7,7 +7,8 @@ file-source stream with an ``availableNow`` trigger picks up only files it
 has not processed (its checkpoint in the shared folder gives exactly-once
 across restarts and executor loss); each micro-batch keeps, per season, the
 rows of its newest snapshot and replaces those seasons by dynamic partition
-overwrite. Seasons not in the batch are untouched.
+overwrite. The snapshot a season holds is kept beside the store, so an older
+one that lands later does not win. Seasons not in the batch are untouched.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -43,9 +45,20 @@ def run_refresh_stream(
     batches = []
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
+        # One row per season (and the same in the store's table): calendar-bounded.
+        newest = dict(batch.groupBy(season_col).agg(F.max(snapshot_col)).collect())
+        held_path = os.path.join(root, f"_snapshots_{kind}")
+        try:
+            held = {r["season"]: r["snapshot"] for r in spark.read.parquet(held_path).groupBy("season").agg(F.max("snapshot").alias("snapshot")).collect()}
+        except AnalysisException:
+            held = {}
+        fresh = {s: n for s, n in newest.items() if n is not None and (held.get(s) is None or n >= held[s])}
+        if not fresh:
             return
-        catalog.refresh(latest_snapshot(batch, season_col, snapshot_col), root, kind, season_col)
+        rows = batch.where(F.col(season_col).isin(list(fresh)))
+        catalog.refresh(latest_snapshot(rows, season_col, snapshot_col), root, kind, season_col)
+        types = f"season {batch.schema[season_col].dataType.simpleString()}, snapshot {batch.schema[snapshot_col].dataType.simpleString()}"
+        spark.createDataFrame(list(fresh.items()), types).coalesce(1).write.mode("append").parquet(held_path)
         batches.append(batch_id)
 
     query = (

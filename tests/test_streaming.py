@@ -32,3 +32,11 @@ def test_latest_snapshot_within_one_batch(spark):
     )
     got = sorted(r["id"] for r in refresh.latest_snapshot(batch).collect())
     assert got == [2, 3]
+
+
+def test_older_snapshot_landed_later_does_not_win(spark):
+    p = refresh.paths(scratch_path(spark, "t-stream-order"))
+    for snapshot, row in ((2, (1, "new", 2024)), (1, (2, "old", 2024))):
+        refresh.land_snapshot(spark.createDataFrame([row], "id long, v string, season int"), p["landing"], snapshot)
+        refresh.run_refresh_stream(spark, p["landing"], p["store"], "games", SCHEMA, p["checkpoint"])
+    assert [r["v"] for r in catalog.scan(spark, p["store"], "games").collect()] == ["new"]
