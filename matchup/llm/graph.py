@@ -20,6 +20,13 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def scattered(edges: DataFrame) -> bool:
+    """Whether ``edges`` (u, v) are not yet stars: a node has two upper ends, or one and lower ends as well."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionAll(edges.select("v", F.lit(0), F.lit(1))).groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return bool(ends.agg(F.max(F.col("up") + F.when(F.col("up") > 0, F.col("down")).otherwise(0)).alias("most")).first()["most"] not in (None, 0, 1))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of ``edges`` (a, b); component is the smallest node reachable.
 
@@ -28,20 +35,15 @@ def components(edges: DataFrame) -> DataFrame:
     combined before the shuffle and split by skew handling. Loops vanish.
     """
     e = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
-    while True:
+    while scattered(e):
         both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small_star = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(low.select("u", F.col("m").alias("v")))
         e = staged(small_star.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
     roots = e.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
-    return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionAll(roots)
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)
 
 
 def shared(members: DataFrame) -> DataFrame:
@@ -85,7 +87,7 @@ def linked(
     with the least ``central`` value, if that column is named); what then still lies
     in several components is compared in full, across components only.
     """
-    links, comp = None, None
+    comp = None
     for k in range(rounds + 1):
         own = groups.withColumn("c", F.col("node")) if comp is None else (
             groups.join(small(comp), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
@@ -110,6 +112,6 @@ def linked(
         found = staged(verify(staged(pairs, "pairs")).select("a", "b"), "links")
         if found.isEmpty():
             continue
-        links = found if links is None else links.unionAll(found)
+        links = found if comp is None else found.unionAll(comp.select("node", "component"))  # the stars so far stand for their links
         comp = staged(components(links), "components")
     return comp
