@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from matchup.llm.common import staged
 
-#: Rounds in which each group compares its members with one of them only.
-HUB_ROUNDS = 2
+#: Rounds in which each group compares its members with so many of them only.
+HUBS = (1, 16)
 #: Rows of (long, long) that may be broadcast: 16 MB, checked by a count first.
 BROADCAST_ROWS = 1_000_000
 
@@ -73,7 +73,7 @@ def linked(
     groups: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
     feasible: Callable[[str, str], Column] | None = None,
-    rounds: int = HUB_ROUNDS,
+    hubs: tuple[int, ...] = HUBS,
     central: str | None = None,
 ) -> DataFrame | None:
     """(node, component) over all verified links between nodes that share a group; None without links.
@@ -82,13 +82,14 @@ def linked(
     keeps the true links of a frame of pairs (a, b); ``feasible`` is a cheap
     necessary condition on two members (aliases). Which links exist decides
     the result, so pairs inside one component need no look: at first every
-    member meets one hub a group (another one each round), which joins a large
-    group of copies in as many pairs as it has members (the hub is the member
-    with the least ``central`` value, if that column is named); what then still lies
-    in several components is compared in full, across components only.
+    member meets one hub a group, which joins a large group of copies in as many
+    pairs as it has members (the hub is the member with the least ``central``
+    value, if that column is named); then a few hubs meet the members of other
+    components, which a single hub of a group of near copies misses; what then
+    still lies in several components is compared in full, across components only.
     """
     comp = None
-    for k in range(rounds + 1):
+    for k in range(len(hubs) + 1):
         own = groups.withColumn("c", F.col("node")) if comp is None else (
             groups.join(small(comp), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
         )
@@ -97,11 +98,12 @@ def linked(
             own = staged(own.join(mixed, "group", "left_semi"), "mixed")
             if own.isEmpty():
                 break
-        if k < rounds:
+        if k < len(hubs):
             order = F.xxhash64(F.col("node"), F.lit(k))
             if central and not k % 2:
                 order = F.struct(F.col(central), order)
-            hub = own.groupBy("group").agg(F.min_by(F.struct(*own.drop("group").columns), order).alias("y"))
+            slot = F.pmod(F.xxhash64(F.col("node"), F.lit(-1 - k)), F.lit(hubs[k])).alias("slot")
+            hub = own.groupBy("group", slot).agg(F.min_by(F.struct(*own.drop("group").columns), order).alias("y"))
             x, y, differ = own.alias("x"), hub.select("group", "y.*").alias("y"), F.col("x.c") != F.col("y.c")
         else:
             x, y, differ = own.alias("x"), own.alias("y"), (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c"))
