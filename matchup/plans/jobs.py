@@ -153,18 +153,23 @@ _CACHE: dict = {}
 _LOCK = threading.RLock()
 
 
-def train(spark: SparkSession, sf_dir: str, max_rounds: int = 8, patience: int = 3, depth: int = 4) -> Trained:
-    """Both models, calibration decision, production refit, report (memoised per session)."""
-    key = (spark.sparkContext.applicationId, sf_dir, max_rounds, patience, depth)
+def train(
+    spark: SparkSession, sf_dir: str, max_rounds: int = learn.MAX_ROUNDS, patience: int = learn.PATIENCE
+) -> Trained:
+    """Both models, calibration decision, production refit, report (memoised per session).
+
+    Booster settings are the library's (``learn.WINNER_PARAMS``, ``MARGIN_PARAMS``).
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, max_rounds, patience)
     with _LOCK:
         if key in _CACHE:
             return _CACHE[key]
-        result = _train(spark, sf_dir, max_rounds, patience, depth)
+        result = _train(spark, sf_dir, max_rounds, patience)
         _CACHE[key] = result
         return result
 
 
-def _train(spark, sf_dir, max_rounds, patience, depth) -> Trained:
+def _train(spark, sf_dir, max_rounds, patience) -> Trained:
     matrix = shared_matrix(spark, sf_dir)
     data = labels.split_by_season(matrix, "season", TRAIN_MAX, CALIB, HOLDOUT, prod_max=PROD_MAX)
     data = data.withColumn("home_win", F.col("home_win").cast("double")).persist(StorageLevel.MEMORY_AND_DISK)
@@ -175,16 +180,15 @@ def _train(spark, sf_dir, max_rounds, patience, depth) -> Trained:
     calib_df = data.where(F.col("split") == "calib")
     hold_df = data.where(F.col("split") == "holdout")
     prod_df = data.where(F.col("split_prod"))
-    params = {"maxDepth": depth}
     ctr = contract.fit_contract(train_df, FEATURES, CATEGORICALS, essentials=["talent_differential"])
     ctr.excluded_features = MARKET_COLS
 
     # The two models are independent: their fits run as concurrent Spark jobs.
     with ThreadPoolExecutor(max_workers=2) as pool:
         fw = pool.submit(learn.fit_early_stopped, train_df, calib_df, FEATURES, CATEGORICALS, "home_win", "winner",
-                         params, max_rounds, patience)
+                         None, max_rounds, patience)
         fm = pool.submit(learn.fit_early_stopped, train_df, calib_df, FEATURES, CATEGORICALS, "point_differential",
-                         "margin", params, max_rounds, patience)
+                         "margin", None, max_rounds, patience)
         winner, margin = fw.result(), fm.result()
 
     # Calibration: isotonic on the calibration season, judged on the holdout.
@@ -224,9 +228,9 @@ def _train(spark, sf_dir, max_rounds, patience, depth) -> Trained:
 
     # Production refit on more seasons with the frozen round counts (M5, M6).
     with ThreadPoolExecutor(max_workers=2) as pool:
-        fw = pool.submit(learn.refit, prod_df, FEATURES, CATEGORICALS, "home_win", "winner", winner.best_iteration, params)
+        fw = pool.submit(learn.refit, prod_df, FEATURES, CATEGORICALS, "home_win", "winner", winner.best_iteration)
         fm = pool.submit(learn.refit, prod_df, FEATURES, CATEGORICALS, "point_differential", "margin",
-                         margin.best_iteration, params)
+                         margin.best_iteration)
         winner_prod, margin_prod = fw.result(), fm.result()
     prod_ctr = contract.fit_contract(prod_df, FEATURES, CATEGORICALS)
     contract.same_categoricals(ctr, prod_ctr)

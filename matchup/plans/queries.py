@@ -902,9 +902,9 @@ def search_leaderboard(spark, sf_dir):
         scored = learn.predict(model, df, "p")
         return metrics.binary_metrics(scored, "home_win", "p").first()["logloss"]
 
-    trials = learn.draw_params(3, seed=42, max_depth_cap=5)
+    trials = learn.draw_params(learn.TRIALS, seed=42)
     results = learn.random_search(train_df, calib_df, jobs.FEATURES, jobs.CATEGORICALS, "home_win", trials,
-                                  max_rounds=5, patience=2, parallelism=3, logloss_fn=calib_logloss)
+                                  parallelism=3, logloss_fn=calib_logloss)
     table_ = spark.createDataFrame(results)
     mean_s = F.avg("seconds").over(Window.partitionBy())
     ranked = table_.withColumn("seconds_per_trial", mean_s).withColumn(
