@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
 from matchup.llm.common import read, staged
@@ -15,7 +17,7 @@ from matchup.llm.quality_rules import quality_stage
 STAGES = [
     ("quality_rules", quality_stage),
     ("line_dedup", line_stage),
-    ("jaccard_join", jaccard_stage),
+    ("jaccard_join", partial(jaccard_stage, words=5, percent=80)),
     ("mixing", mixing_stage),
     ("packing", packing_stage),
 ]

@@ -1,6 +1,7 @@
 """N-gram Jaccard join by vertical partitioning.
 
-A document is its set of word shingles (64-bit hashes of ``WORDS`` words). All
+A document is its set of word shingles (64-bit hashes of ``WORDS`` words; the
+pipeline takes five and a similarity of 80 % where the query takes 85 %). All
 shingles stand in one global order, rarest first: those that are frequent (see
 ``frequent``) by their count, before them all others by hash. Documents with
 equal sets are one node.
@@ -174,8 +175,8 @@ def feasible(percent: int):
     return test
 
 
-def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(key, doc_id, n_shingles, component_id) per row of ``docs`` (doc_id, text); key = xxhash64(doc_id, text)."""
+def components(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(key, doc_id, n, c) per row of ``docs`` (doc_id, text): its number of shingles and component; key = xxhash64(doc_id, text)."""
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = staged(sketched(keyed, words, percent, frequent(docs, words)), "sketches")
     nodes = rows.where("n > 0").groupBy("node").agg(F.min("key").alias("key"), *(F.first(c).alias(c) for c in ("n", "prefix", *CELL_COLUMNS)))
@@ -189,6 +190,12 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     comp = linked(groups, lambda pairs: overlapping(pairs, involved(parts, pairs), percent), feasible(percent), central="place")
     out = rows.select("key", "doc_id", "node", "n")
     out = out.withColumn("c", F.col("node")) if comp is None else out.join(comp, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    return out.select("key", "doc_id", "n", "c")
+
+
+def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(key, doc_id, n_shingles, component_id) per row of ``docs`` (doc_id, text); key = xxhash64(doc_id, text)."""
+    out = components(docs, words, percent)
     ids = out.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"))
     return out.join(ids, "c", "left").select(
         "key", "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")
@@ -199,13 +206,17 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
 
-def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of linked documents the one with the smallest doc_id stays.
+def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Pipeline stage: of each group of linked documents the one with the smallest (doc_id, key) stays.
 
-    Documents without words stay; of repeated rows (equal doc_id and text) one.
+    A null doc_id comes after all others. Documents without words stay; of
+    repeated rows (equal doc_id and text) one.
     """
-    found = staged(joined(docs.select("doc_id", "text")), "near")
-    gone = staged(found.where("n_shingles > 0 AND doc_id <> component_id").select(F.col("key").alias("__key")).distinct(), "gone")
+    found = staged(components(docs.select("doc_id", "text"), words, percent), "near")
+    linked_rows = found.where("n > 0")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
+    kept = linked_rows.groupBy("c").agg(first.alias("first")).select("first.key")
+    gone = staged(linked_rows.select("key").distinct().join(kept, "key", "left_anti").withColumnRenamed("key", "__key"), "gone")
     out = docs.withColumn("__key", F.xxhash64("doc_id", "text")).join(small(gone), "__key", "left_anti")
     if not found.groupBy("key").count().where("count > 1").isEmpty():
         out = out.dropDuplicates(["__key"])
