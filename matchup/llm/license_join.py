@@ -2,7 +2,14 @@
 
 Base labels come from fixed phrases of consecutive words. The method finds
 every text block whose token set holds at least ``THRESHOLD`` of a license
-template's token set. Blocks are the lines of a text (``\\n``).
+template's token set. Blocks are the word windows of a text, across line
+breaks: for a template of n words, any n / threshold (rounded up) consecutive
+words. With ``windows=False`` they are the lines (``\\n``) instead.
+
+Windows are looked for in pieces of twice the longest window that start at
+every multiple of it, so each window lies in a piece; a piece passes the
+filters below as a whole, and only then are its windows counted, those that
+start at a token of the template (no other window holds more).
 
 Tokens outside the templates' vocabulary cannot add to an overlap, so a block
 is its token set within that vocabulary. Tokens are ordered by the number of
@@ -57,19 +64,39 @@ def norm_words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NOT_WORD), "")
 
 
-def template_sets(spark: SparkSession, templates: list[tuple[str, str]]) -> list[tuple[str, list[str]]]:
-    """(label, distinct words) of each template; templates without a word are left out."""
+def template_sets(spark: SparkSession, templates: list[tuple[str, str]]) -> list[tuple[str, list[str], int]]:
+    """(label, distinct words, number of words) of each template; templates without a word are left out."""
     if not templates:
         return []
-    rows = values(spark, "label string, text string", templates).select("label", F.array_sort(F.array_distinct(norm_words(F.col("text")))).alias("w"))
-    out = [(r["label"], list(r["w"])) for r in rows.collect() if r["w"]]
-    if len({w for _, ws in out for w in ws}) > MAX_VOCABULARY:
+    rows = values(spark, "label string, text string", templates).withColumn("w", norm_words(F.col("text")))
+    rows = rows.select("label", F.array_sort(F.array_distinct("w")).alias("w"), F.size("w").alias("n"))
+    out = [(r["label"], list(r["w"]), r["n"]) for r in rows.collect() if r["w"]]
+    if len({w for _, ws, _ in out for w in ws}) > MAX_VOCABULARY:
         raise ValueError(f"templates of more than {MAX_VOCABULARY} tokens")
     return out
 
 
-def scanned(docs: DataFrame, vocabulary: list[str], text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per row: key, n_words, n_base, first_word, last_word, base (labels), blocks (token sets within the vocabulary)."""
+def window(n_words: int, threshold: float) -> int:
+    """Words of a block that is held against a template of ``n_words`` words."""
+    return math.ceil(n_words / threshold - 1e-9)
+
+
+def pieces(vocabulary: list[str], reach: int, least: int) -> Column:
+    """The pieces of ``__w`` with ``least`` distinct tokens or more: (at, w) of each token of the vocabulary."""
+
+    def piece(k):
+        own = F.transform(F.slice("__w", k * reach + 1, 2 * reach), lambda x, i: F.when(x.isin(vocabulary), F.struct(i.alias("at"), x.alias("w"))))
+        return F.filter(own, lambda x: x.isNotNull())
+
+    starts = F.sequence(F.lit(0), F.floor(F.greatest(F.size("__w") - 1, F.lit(0)) / reach).cast("int"))
+    return F.filter(F.transform(starts, piece), lambda b: F.size(F.array_distinct(b["w"])) >= least)
+
+
+def scanned(docs: DataFrame, vocabulary: list[str], text: str = "text", key: str = "doc_id", reach: int = 0, least: int = 1) -> DataFrame:
+    """Per row: key, n_words, n_base, first_word, last_word, base (labels), blocks.
+
+    Blocks are the lines' token sets within the vocabulary, or with ``reach`` the ``pieces``.
+    """
     a = docs.select(F.col(key), ascii_lower(F.coalesce(F.col(text), F.lit(""))).alias("__t"))
     a = a.withColumn("__w", F.array_remove(F.split("__t", NOT_WORD), ""))
     joined = F.concat(F.lit(" "), F.array_join("__w", " "), F.lit(" "))
@@ -87,7 +114,11 @@ def scanned(docs: DataFrame, vocabulary: list[str], text: str = "text", key: str
         return F.when(F.col("__j").contains(f" {phrase} "), at).otherwise(F.array().cast("array<int>"))
 
     tokens = F.array(*map(F.lit, vocabulary)) if vocabulary else F.array().cast("array<string>")
-    line_sets = F.transform(F.split("__t", "\n"), lambda line: F.array_intersect(F.split(line, NOT_WORD), tokens))
+    if reach:
+        blocks = pieces(vocabulary, reach, least)
+    else:
+        line_sets = F.transform(F.split("__t", "\n"), lambda line: F.array_intersect(F.split(line, NOT_WORD), tokens))
+        blocks = F.filter(line_sets, lambda b: F.size(b) > 0)
     a = a.withColumn("__j", joined).withColumn("__p", F.array(*map(places, PHRASES)))
     labels = F.filter(
         F.array(*(F.when(F.size(F.get("__p", F.lit(i))) > 0, label) for i, label in enumerate(PHRASES.values()))), lambda x: x.isNotNull()
@@ -100,38 +131,42 @@ def scanned(docs: DataFrame, vocabulary: list[str], text: str = "text", key: str
         F.array_min(starts).cast("long").alias("first_word"),
         F.array_max(starts).cast("long").alias("last_word"),
         F.array_sort(F.array_distinct(labels)).alias("base"),
-        F.filter(line_sets, lambda b: F.size(b) > 0).alias("blocks"),
+        blocks.alias("blocks"),
     )
 
 
-def matched(blocks: DataFrame, templates: list[tuple[str, list[str]]], threshold: float = THRESHOLD) -> DataFrame:
+def matched(blocks: DataFrame, templates: list[tuple[str, list[str], int]], threshold: float = THRESHOLD) -> DataFrame:
     """(key, label, score) of each block and template whose containment reaches the threshold.
 
-    ``blocks``: key and tokens (distinct, within the templates' vocabulary).
+    ``blocks``: key and tokens (distinct, within the templates' vocabulary);
+    with spots, (at, w) of each token, the windows of a block are held against
+    the template in place of the whole block.
     """
     spark = blocks.sparkSession
-    vocabulary = sorted({w for _, ws in templates for w in ws})
+    vocabulary = sorted({w for _, ws, _ in templates for w in ws})
     counts = blocks.select(F.explode("tokens").alias("w")).groupBy("w").count()
     seen = {r["w"]: r["count"] for r in counts.collect()}  # at most one row a vocabulary token
     order = sorted(vocabulary, key=lambda w: (seen.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
     sets, prefix = [], []
-    for t, (label, ws) in enumerate(templates):
+    for t, (label, ws, n) in enumerate(templates):
         ranks = sorted(rank[w] for w in ws)
         need = math.ceil(threshold * len(ranks) - 1e-9)
-        sets.append((t, label, ranks, need))
+        sets.append((t, label, ranks, need, sorted(ws), window(n, threshold)))
         prefix += [(r, t, i) for i, r in enumerate(ranks[: len(ranks) - need + 1])]
     index = values(spark, "rank int, template int, place int", prefix).join(
-        values(spark, "template int, label string, ranks array<int>, need int", sets), "template"
+        values(spark, "template int, label string, ranks array<int>, need int, own_words array<string>, reach int", sets), "template"
     )
+    spots = ["spots"] if "spots" in blocks.columns else []
     ranked = blocks.select(
         "key",
+        *spots,
         F.array_sort(F.transform("tokens", lambda w: F.array_position(F.array(*map(F.lit, order)), w).cast("int") - 1)).alias("own"),
     ).where(F.size("own") >= min(s[3] for s in sets))
     first = sorted({r for r, _, _ in prefix})
     hits = (
         ranked.where(F.arrays_overlap("own", F.array(*map(F.lit, first))))
-        .select("key", "own", F.posexplode("own").alias("spot", "rank"))
+        .select("key", *spots, "own", F.posexplode("own").alias("spot", "rank"))
         .join(index, "rank")
         .where(
             (F.size("own") >= F.col("need"))
@@ -139,19 +174,34 @@ def matched(blocks: DataFrame, templates: list[tuple[str, list[str]]], threshold
         )
     )
     overlap = F.size(F.array_intersect("own", "ranks"))
+    if spots:
+        hits = hits.where(overlap >= F.col("need")).withColumn("spots", F.filter("spots", lambda x: F.array_contains("own_words", x["w"])))
+
+        def held(s):
+            inside = F.filter("spots", lambda x: (x["at"] >= s["at"]) & (x["at"] < s["at"] + F.col("reach")))
+            return F.size(F.array_distinct(inside["w"]))
+
+        hits = hits.withColumn("held", F.array_max(F.transform("spots", held)))
+        overlap = F.col("held")
     return hits.where(overlap >= F.col("need")).select("key", "label", (overlap / F.size("ranks")).alias("score")).groupBy("key", "label").agg(
         F.max("score").alias("score")
     )
 
 
-def licensed(docs: DataFrame, templates: list[tuple[str, str]], threshold: float = THRESHOLD, text: str = "text", key: str = "doc_id") -> DataFrame:
+def licensed(
+    docs: DataFrame, templates: list[tuple[str, str]], threshold: float = THRESHOLD, text: str = "text", key: str = "doc_id", windows: bool = False
+) -> DataFrame:
     """One row per document: key, counts of the base phrases, base_labels, labels, score."""
     spark = docs.sparkSession
     sets = template_sets(spark, templates)
-    rows = staged(scanned(docs, sorted({w for _, ws in sets for w in ws}), text, key), "licenses")
+    reach = max((window(n, threshold) for _, _, n in sets), default=0) if windows else 0
+    least = min((math.ceil(threshold * len(ws) - 1e-9) for _, ws, _ in sets), default=1)
+    rows = staged(scanned(docs, sorted({w for _, ws, _ in sets for w in ws}), text, key, reach, least), "licenses")
     out = rows.withColumn("base_labels", F.array_join("base", ","))
     if sets:
         blocks = rows.select(F.col(key).alias("key"), F.explode("blocks").alias("tokens"))
+        if reach:
+            blocks = blocks.select("key", F.col("tokens").alias("spots"), F.array_distinct("tokens.w").alias("tokens"))
         found = matched(blocks, sets, threshold).groupBy(F.col("key").alias("__key")).agg(
             F.collect_set("label").alias("__labels"), F.max("score").alias("__score")  # a set of template labels at most
         )
@@ -168,4 +218,4 @@ def licensed(docs: DataFrame, templates: list[tuple[str, str]], threshold: float
 
 
 def op10_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licensed(read(spark, sf_dir, "documents").select("doc_id", "text"), TEMPLATES)
+    return licensed(read(spark, sf_dir, "documents").select("doc_id", "text"), TEMPLATES, windows=True)
