@@ -9,7 +9,7 @@
 * ``train`` (E8): early-stopped winner and margin models, isotonic
   calibration kept only when it helps the holdout Brier, production refit
   with the frozen round count, holdout report, contract.
-* ``score_and_publish`` (E4/E5): the not-completed meetings scored,
+* ``score_and_publish`` (E4/E5): the open slate (``open_slate``) scored,
   calibrated, rounded and published per (season, week).
 """
 
@@ -265,11 +265,19 @@ def model_meta(ctr: contract.FeatureContract) -> dict:
     }
 
 
+def open_slate(meetings: DataFrame) -> DataFrame:
+    """The meetings to score: not completed, and not of an excluded class (as in training)."""
+    return clean.exclude_classes(
+        clean.not_completed_rows(meetings, "completed"), POLICY.class_columns, POLICY.class_patterns
+    )
+
+
 def score(spark: SparkSession, sf_dir: str, trained: Trained, week: tuple[int, int] | None = None) -> DataFrame:
-    """Not-completed meetings, keyed by id, scored and rounded.
+    """The open slate, keyed by id, scored and rounded.
 
     ``week=(season, period)`` scores one slate (the weekly run); otherwise
-    every not-completed meeting is scored.
+    every meeting of ``open_slate`` is scored. Open meetings of an excluded class
+    (flag N) are not part of it: the models are trained without that class.
     """
     m = st.meetings(spark, sf_dir)
     if week is not None:
@@ -277,7 +285,7 @@ def score(spark: SparkSession, sf_dir: str, trained: Trained, week: tuple[int, i
         # orders scan (row-group skipping) instead of filtering after the join.
         first = F.make_timestamp_ntz(F.lit(week[0]), F.lit(week[1]), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
         m = m.where((F.col("start_ts") >= first) & (F.col("start_ts") < F.add_months(first, 1).cast("timestamp_ntz")))
-    upcoming = clean.not_completed_rows(m, "completed")
+    upcoming = open_slate(m)
     feats = clean_features(
         feature_dataset(spark, sf_dir, upcoming, market=False).withColumn("kickoff_ts", F.col("start_ts"))
     )
