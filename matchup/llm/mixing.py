@@ -2,16 +2,18 @@
 
 A labelled table names the domain of some documents. A naive Bayes classifier
 over hashed words, trained on them, gives every document a posterior over the
-domains. Document rates r >= 0 minimise
+domains. Of all document rates r >= 0 whose expected tokens match the targets,
 
-    1/2 sum_k ((sum_d tokens_d p_dk r_d - weight_k T) / T)^2
-      + ANCHOR/2 sum_d tokens_d/T (r_d - 1)^2,      T = all tokens,
+    sum_d tokens_d p_dk r_d = weight_k T for each domain k,      T = all tokens,
 
-so the expected tokens of each domain match the targets while rates stay near
-one. Accelerated projected gradient descent runs on the cluster: a step is one
-map over the documents and one aggregation to as many totals as there are
-domains; steps are taken in the metric of the tokens, so long texts don't slow
-it down. A rate becomes whole copies by a fixed hash: floor(rate + u).
+those nearest to one are taken: they minimise sum_d tokens_d (r_d - 1)^2, so
+r_d = max(0, 1 + sum_k y_k p_dk) with one multiplier y_k a domain. Newton steps
+with halving find them: a step is one map over the documents and one
+aggregation to numbers in the square of the domains' count, until each share
+is within ``TOLERANCE`` of its target, relatively. An anchor, anchor / 2 times
+the squares of the multipliers, keeps them finite where no rates reach the
+targets; it falls until it no longer tells, and missed targets are warned of.
+A rate becomes whole copies by a fixed hash: floor(rate + u).
 
 Tokens are the words ``[^\\x20\\x09-\\x0D]+``. Defined results: null or empty
 text has no tokens, the prior as posterior, and a rate like others; with no
@@ -24,7 +26,9 @@ are replaced.
 from __future__ import annotations
 
 import math
+import warnings
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,8 +41,11 @@ BUCKETS = 16_384
 SMOOTH = (0.5, 3.0)
 #: Labelled documents the classifier is trained on, about and at most 1.2 times (by a hash of doc_id).
 MAX_LABELLED = 20_000
+#: Weight of staying near one in ``fitted`` by default, and how it falls to the one ``mixed`` ends with.
 ANCHOR = 0.005
-STEPS = 60
+FALLING, LAST = (0.005, 1e-5), 1e-8
+#: Newton steps at most (a few do), and the relative gap to a target that ends them.
+STEPS, TOLERANCE = 100, 1e-6
 #: Share of all tokens that each domain shall have.
 TARGETS = {"clean": 0.90, "low": 0.02, "toxic": 0.08}
 
@@ -100,26 +107,46 @@ def posteriors(counted_docs: DataFrame, domains: list[str], model: tuple[list[fl
 
 
 def fitted(table: DataFrame, targets: dict[str, float], steps: int = STEPS, anchor: float = ANCHOR) -> DataFrame:
-    """``table`` (tokens, p_<domain>..., staged) with rate."""
-    p = [F.col(f"p_{d}") for d in targets]
+    """``table`` (tokens, p_<domain>..., staged) with rate; the share of a domain misses its target by anchor times its multiplier."""
+    p = [F.col(f"p_{d}").cast("double") for d in targets]
     weight = F.col("tokens").cast("double")
+    k, goal = len(p), np.array(list(targets.values()), float)
     total = table.agg(F.sum("tokens")).first()[0]
-    state = table.withColumns({"rate": F.lit(1.0), "__y": F.lit(1.0)})
     if not total:
-        return state.drop("__y")
-    shift = 1.0
-    for t in range(steps):
-        sums = state.agg(*(F.sum(weight * x * F.col("__y")) for x in p)).first()
-        gap = [(s - w * total) / total for s, w in zip(sums, targets.values(), strict=True)]
-        slope = sum((x * g for x, g in zip(p, gap, strict=True)), F.lit(0.0)) + anchor * (F.col("__y") - 1)
-        new = F.greatest(F.lit(0.0), F.col("__y") - slope / (1 + anchor))
-        after = (1 + math.sqrt(1 + 4 * shift * shift)) / 2
-        state = state.withColumn("__new", new)
-        state = state.withColumn("__y", F.col("__new") + (shift - 1) / after * (F.col("__new") - F.col("rate"))).withColumn("rate", F.col("__new")).drop("__new")
-        shift = after
-        if t % 5 == 4:  # keeps the plan short
-            state = staged(state, "rates")
-    return state.drop("__y")
+        return table.withColumn("rate", F.lit(1.0))
+
+    def rate(at: np.ndarray) -> Column:
+        return F.greatest(F.lit(0.0), sum((x * float(a) for x, a in zip(p, at, strict=True)), F.lit(1.0)))
+
+    def measured(at: np.ndarray, a: float) -> tuple[float, np.ndarray, np.ndarray]:
+        """Value, slope and curvature of the dual at the multipliers: one pass."""
+        r = rate(at)
+        on = F.when(r > 0, weight).otherwise(0.0)
+        pairs = [F.sum(on * p[i] * p[j]) for i in range(k) for j in range(i, k)]
+        row = np.array(table.agg(F.sum(weight * r * r), *(F.sum(weight * r * x) for x in p), *pairs).first(), float) / total
+        curve = np.zeros((k, k))
+        curve[np.triu_indices(k)] = row[1 + k :]
+        return row[0] / 2 - goal @ at + a * (at @ at) / 2, row[1 : 1 + k] - goal + a * at, curve + np.triu(curve, 1).T + a * np.eye(k)
+
+    at, left = np.zeros(k), steps
+    for a in [*(x for x in FALLING if x > anchor), anchor]:
+        value, slope, curve = measured(at, a)
+        while left > 0 and (np.abs(slope) > TOLERANCE * np.maximum(goal, TOLERANCE)).any():
+            left -= 1
+            step, length = -np.linalg.solve(curve, slope), 1.0
+            tried = measured(at + step, a)
+            while tried[0] > value + 1e-4 * length * (slope @ step) + 1e-12 * abs(value) and length > 1e-3:
+                length /= 4
+                tried = measured(at + length * step, a)
+            still = value - tried[0] <= 1e-15 * abs(value)  # as far as doubles tell
+            at, (value, slope, curve) = at + length * step, tried
+            if still:
+                break
+    shares = slope + goal - anchor * at
+    missed = {d: float(x) for d, x, w in zip(targets, shares, goal, strict=True) if abs(x - w) > 1e-3 * w}
+    if missed and anchor < ANCHOR:
+        warnings.warn(f"mixing: no rates reach all targets {targets}; shares that miss theirs: {missed}", stacklevel=2)
+    return table.withColumn("rate", rate(at))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float]) -> DataFrame:
@@ -129,7 +156,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float]) -> Data
     rows = counted(docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text"))
     table = staged(posteriors(rows.drop("text"), domains, model), "posteriors")
     u = F.pmod(F.xxhash64("key", F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
-    return fitted(table, targets).withColumn("copies", F.floor(F.col("rate") + u).cast("int"))
+    return fitted(table, targets, anchor=LAST).withColumn("copies", F.floor(F.col("rate") + u).cast("int"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
