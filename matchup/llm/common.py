@@ -31,6 +31,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """``staged`` with a folder for each value of ``key``, read back as a string, '' as null."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/llm-{name}-{uuid.uuid4().hex[:12]}"
+    df.write.partitionBy(key).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z in lower case, every other character as it is."""
     return F.translate(c, UPPER, LOWER)

@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from matchup.llm import jaccard_join, license_join, line_dedup, mixing, packing, quality_knn, quality_rules, secret_models, url_rules, vector_dedup
+from matchup.llm import (
+    decontamination,
+    jaccard_join,
+    license_join,
+    line_dedup,
+    mixing,
+    packing,
+    quality_knn,
+    quality_rules,
+    secret_models,
+    source_audit,
+    spelling,
+    url_rules,
+    vector_dedup,
+)
 
 QUERIES = {
     "op3_secret_models": secret_models.op3_secret_models,
@@ -15,6 +29,9 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_packing": packing.op9_packing,
     "op10_license_join": license_join.op10_license_join,
+    "op11_decontamination": decontamination.op11_decontamination,
+    "op12_spelling": spelling.op12_spelling,
+    "op13_source_audit": source_audit.op13_source_audit,
 }
 
-SQL = {"op4_url_rules": url_rules.OP4_SQL}
+SQL = {"op4_url_rules": url_rules.OP4_SQL, "op11_decontamination": decontamination.OP11_SQL, "op13_source_audit": source_audit.OP13_SQL}
