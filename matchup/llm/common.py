@@ -44,6 +44,11 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def folded(c: Column) -> Column:
+    """``ascii_lower``, by the much faster ``lower`` for values of ASCII characters alone."""
+    return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(ascii_lower(c))
+
+
 def words(text: Column) -> Column:
     """Array of the words ``[^\\x20\\x09-\\x0D]+``; null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

@@ -36,18 +36,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from matchup.llm.common import ascii_lower, read, staged
+from matchup.llm.common import folded, read, staged
 from matchup.llm.graph import small
 
 #: Everything up to 7F but 0-9 and a-z separates words (fixed by the contract).
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words before lower-casing.
-ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The same before lower-casing.
+NOT_ANY_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW, SHINGLE = 10, 5
 
 
 def words(text: Column) -> Column:
-    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NOT_WORD), "")
+    return F.array_remove(F.split(folded(F.coalesce(text, F.lit(""))), NOT_WORD), "")
 
 
 def grams(hashes: Column, k: int) -> Column:
@@ -114,7 +114,7 @@ def contaminated(
     """One row a document: key, n_words, n_hit, n_items, items_sha256, contaminated."""
     windows = staged(windows_of(items, window, shingle, item_text, item), "benchmark-windows")
     sizes = [r["k"] for r in windows.select("k").distinct().orderBy("k").collect()]  # at most ``shingle`` values
-    n_words = F.size(F.regexp_extract_all(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit(ANY_WORD), F.lit(0))).cast("long")
+    n_words = F.size(F.array_remove(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), NOT_ANY_WORD), "")).cast("long")
     rows = docs.select(F.col(f"`{key}`"), *row_key(key, text), n_words.alias("n_words"))
     if sizes:
         wanted = staged(windows.select(F.explode("grams").alias("gram")).distinct(), "benchmark-shingles")

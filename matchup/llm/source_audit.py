@@ -36,20 +36,20 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from matchup.llm.common import ascii_lower, read, staged, staged_by
+from matchup.llm.common import folded, read, staged, staged_by
 
 #: Everything up to 7F but A-Z and a-z separates terms (fixed by the contract).
 NOT_TERM = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 MIN_DF, PRIOR, SCALE, TOP = 30, 5, 1_000_000_000, 50
 #: No bound on the vocabulary but the type's.
 ALL_TERMS = 2**31 - 1
-#: Cells of a dense block (8 MB of longs) and sources of a side of it.
-CELLS, TILE = 1 << 20, 1024
+#: Cells of a dense block (1 MB of longs) and sources of a side of it.
+CELLS, TILE = 1 << 17, 1024
 
 
 def tokens(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """(lang, source, terms) of every row, nulls as ''."""
-    own = F.split(ascii_lower(F.coalesce(F.col(f"`{text}`"), F.lit(""))), NOT_TERM)
+    own = F.split(folded(F.coalesce(F.col(f"`{text}`"), F.lit(""))), NOT_TERM)
     empty = F.lit("")
     return docs.select(
         F.coalesce(F.col(f"`{lang}`"), empty).alias("lang"),
