@@ -84,3 +84,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name below the shared checkpoint folder."""
     root = ensure_checkpoint_dir(spark)
     return os.path.join(root, "matchup-scratch", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a scratch folder that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
