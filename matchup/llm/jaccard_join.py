@@ -203,6 +203,7 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle set size and component of every document, links at 85 % of four-word shingles."""
     return joined(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
 

@@ -218,4 +218,5 @@ def licensed(
 
 
 def op10_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base phrases, labels and score of every document's license notices."""
     return licensed(read(spark, sf_dir, "documents").select("doc_id", "text"), TEMPLATES, windows=True)

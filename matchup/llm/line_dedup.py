@@ -195,6 +195,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that repeat a kept line nearly."""
     return deduplicated(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 

@@ -160,6 +160,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float]) -> Data
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates and copies of every document for the target domain weights."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return mixed(docs, domains_of(read(spark, sf_dir, "labels")), TARGETS).drop("key")
 

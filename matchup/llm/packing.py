@@ -273,6 +273,7 @@ def packed(docs: DataFrame, files: tuple[str, str | None, str] | None = None, ca
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every document piece in a sequence of at most 2048 tokens."""
     return packed(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 

@@ -181,5 +181,6 @@ def scored(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
 
 
 def op1_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by its nearest labelled neighbours."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return staged(scored(docs, fit(docs, read(spark, sf_dir, "labels"))), "scores")

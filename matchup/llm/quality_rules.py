@@ -170,6 +170,7 @@ def judged(counted_docs: DataFrame, model: tuple[float, list[tuple[float, float]
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base failure and the verdict of the weak-supervision model for every document."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     counts = staged(counted(docs).drop("text"), "quality")
     return judged(counts, learned(counts)).select(

@@ -170,6 +170,7 @@ def joined(spans_col: str) -> Column:
 
 
 def op3_secret_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: base patterns and the spans the character models add."""
     scanned = staged(with_base(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "secrets")
     out = found(scanned, fit(labelled(scanned)))
 

@@ -104,6 +104,7 @@ def judged(pages: DataFrame, rules: DataFrame, url: str = "url", default: str =
 
 
 def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's url."""
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
     rules = values(spark, "verdict string, host string, path string", RULES)
     return judged(pages, rules).select("page_id", "host", "path", "rule", "verdict")
