@@ -20,7 +20,7 @@ import threading
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +28,8 @@ from matchup.functions import scalar
 from matchup.operators import calibrate, clean, contract, enrich, labels, learn, metrics, reshape
 from matchup.plans import physical
 from matchup.plans import standins as st
-from matchup.session import scratch_path
+from matchup.session import drop_folder, folder_exists, scratch_path
+from matchup.sources import models
 
 # Stand-in season constants: train <= 1998, early stop / calibration 1999,
 # honest holdout 2000, production refit <= 2000.
@@ -70,7 +71,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         m.groupBy("season", "home", "away")
         .agg(F.count_if(F.col("discount") >= 0.05).alias("k"), F.count(F.lit(1)).alias("n"))
         .withColumn("p_home", F.col("k") / F.col("n"))
-        .where(F.col("n") >= 3)
+        .where(st.kept_pair("season", "home", "away"))
         .select(F.col("season").alias("ps"), F.col("home").alias("ph"), F.col("away").alias("pa"), "p_home")
     )
 
@@ -139,40 +140,78 @@ def shared_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @dataclass
 class Trained:
-    matrix: DataFrame
+    """A stored version: what a scoring run and the reports need."""
+
     contract: contract.FeatureContract
-    winner: learn.FitResult
-    margin: learn.FitResult
-    winner_prod: object
-    margin_prod: object
+    margin_contract: contract.FeatureContract | None
+    winner: dict
+    margin: dict
+    winner_prod: PipelineModel
+    margin_prod: PipelineModel | None
     report: DataFrame
+    path: str
     contract_path: str
 
 
-_CACHE: dict = {}
+REPORT_SCHEMA = (
+    "model string, variant string, n long, accuracy double, auc double, brier double, logloss double, "
+    "mae double, rmse double, sign_accuracy double"
+)
+TRAINING_TABLES = ("orders", "lineitem", "customer", "supplier")
+#: Raised when the features, targets or the stored layout change: older versions are not read.
+STORE_FORMAT = 1
+_LOADED: dict = {}
 _LOCK = threading.RLock()
 
 
+def training_key(spark: SparkSession, sf_dir: str, **settings) -> str:
+    """Signature of the tables and of everything that decides what is trained on them."""
+    own = {"format": STORE_FORMAT, "features": FEATURES, "winner": learn.WINNER_PARAMS, "margin": learn.MARGIN_PARAMS,
+           "seed": learn.SEED, "seasons": [TRAIN_MAX, CALIB, HOLDOUT, PROD_MAX], **settings}
+    return models.signature(spark, [f"{sf_dir}/{t}.parquet" for t in TRAINING_TABLES], own)
+
+
 def train(
-    spark: SparkSession, sf_dir: str, max_rounds: int = learn.MAX_ROUNDS, patience: int = learn.PATIENCE
+    spark: SparkSession, sf_dir: str, max_rounds: int = learn.MAX_ROUNDS, patience: int = learn.PATIENCE, root: str | None = None
 ) -> Trained:
-    """Both models, calibration decision, production refit, report (memoised per session).
+    """The newest stored version for these tables and settings; trained and stored first if there is none.
 
     Booster settings are the library's (``learn.WINNER_PARAMS``, ``MARGIN_PARAMS``).
     """
-    key = (spark.sparkContext.applicationId, sf_dir, max_rounds, patience)
     with _LOCK:
-        if key in _CACHE:
-            return _CACHE[key]
-        result = _train(spark, sf_dir, max_rounds, patience)
-        _CACHE[key] = result
-        return result
+        key = "models-" + training_key(spark, sf_dir, rounds=max_rounds, patience=patience)
+        path = models.current(spark, key, root)
+        if path is None:
+            progress = os.path.join(root or models.store_root(spark), key, "progress")
+            path = models.publish(spark, key, lambda to: _train(spark, sf_dir, max_rounds, patience, to, progress), root)
+        at = (spark.sparkContext.applicationId, path)
+        if at not in _LOADED:
+            _LOADED[at] = load_trained(spark, path)
+        return _LOADED[at]
+
+
+def load_trained(spark: SparkSession, path: str) -> Trained:
+    """Models and contracts of a stored version; a version without a margin model has None there."""
+    history = models.read_document(spark, os.path.join(path, "history"))
+    margin = os.path.join(path, "margin")
+    has_margin = folder_exists(spark, margin)
+    contract_path = os.path.join(path, "contract")
+    return Trained(
+        contract=contract.load_contract(spark, contract_path),
+        margin_contract=contract.load_contract(spark, os.path.join(path, "margin_contract")) if has_margin else None,
+        winner=history["winner"], margin=history["margin"],
+        winner_prod=PipelineModel.load(os.path.join(path, "winner")),
+        margin_prod=PipelineModel.load(margin) if has_margin else None,
+        report=spark.createDataFrame([tuple(r) for r in history["report"]], REPORT_SCHEMA),
+        path=path, contract_path=contract_path,
+    )
 
 
-def _train(spark, sf_dir, max_rounds, patience) -> Trained:
+def _train(spark: SparkSession, sf_dir: str, max_rounds: int, patience: int, path: str, progress: str) -> None:
+    """Train both models and write a version (models, contracts, history) to ``path``."""
     matrix = shared_matrix(spark, sf_dir)
     data = labels.split_by_season(matrix, "season", TRAIN_MAX, CALIB, HOLDOUT, prod_max=PROD_MAX)
-    data = data.withColumn("home_win", F.col("home_win").cast("double")).persist(StorageLevel.MEMORY_AND_DISK)
+    data = data.withColumn("home_win", F.col("home_win").cast("double"))
     labels.require_splits(labels.split_counts(data))
     # The model sees features and target only; rows without a target go.
     data = data.where(F.col("home_win").isNotNull() & F.col("point_differential").isNotNull())
@@ -183,13 +222,21 @@ def _train(spark, sf_dir, max_rounds, patience) -> Trained:
     ctr = contract.fit_contract(train_df, FEATURES, CATEGORICALS, essentials=["talent_differential"])
     ctr.excluded_features = MARKET_COLS
 
-    # The two models are independent: their fits run as concurrent Spark jobs.
-    with ThreadPoolExecutor(max_workers=2) as pool:
-        fw = pool.submit(learn.fit_early_stopped, train_df, calib_df, FEATURES, CATEGORICALS, "home_win", "winner",
-                         None, max_rounds, patience)
-        fm = pool.submit(learn.fit_early_stopped, train_df, calib_df, FEATURES, CATEGORICALS, "point_differential",
-                         "margin", None, max_rounds, patience)
-        winner, margin = fw.result(), fm.result()
+    # Assembled once. The models are independent, and a production refit (M5, M6: more seasons, the rounds of the
+    # evaluated fit) follows the best round as it grows: the four fits run as concurrent Spark jobs. Each keeps its
+    # progress beside the versions, so a run that is lost is gone on with.
+    targets = ["home_win", "point_differential"]
+    ready = learn.prepared({"train": train_df, "calib": calib_df}, "train", FEATURES, CATEGORICALS, targets)
+    prod_ready = learn.prepared({"prod": prod_df}, "prod", FEATURES, CATEGORICALS, targets)
+    kinds = {"winner": "home_win", "margin": "point_differential"}
+    best = {kind: learn.BestRound() for kind in kinds}
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        fits = {k: pool.submit(learn.fit_prepared, ready, label, k, None, max_rounds, patience,
+                               progress=f"{progress}/fit-{k}", best_so_far=best[k]) for k, label in kinds.items()}
+        refits = {k: pool.submit(learn.refit_prepared, prod_ready, label, k, best[k], None, "prod", f"{progress}/refit-{k}")
+                  for k, label in kinds.items()}
+        winner, margin = fits["winner"].result(), fits["margin"].result()
+        winner_prod, margin_prod = refits["winner"].result(), refits["margin"].result()
 
     # Calibration: isotonic on the calibration season, judged on the holdout.
     calib_scored = learn.predict(winner.model, calib_df, "p_raw")
@@ -197,27 +244,31 @@ def _train(spark, sf_dir, max_rounds, patience) -> Trained:
     hold_scored = learn.predict(winner.model, hold_df, "p_raw")
     hold_scored = calibrate.interpolate(hold_scored, "p_raw", xs, ys, "p_iso")
     hold_scored = learn.predict(margin.model, hold_scored, "margin", kind="margin")
+    scored_path = scratch_path(spark, "holdout-scored")
+    hold_scored.select("home_win", "point_differential", "p_raw", "p_iso", "margin").write.parquet(scored_path)
+    hold_scored = spark.read.parquet(scored_path)
     variants = hold_scored.select("home_win", F.col("p_raw").alias("p"), F.lit("raw").alias("variant")).unionByName(
         hold_scored.select("home_win", F.col("p_iso").alias("p"), F.lit("isotonic").alias("variant"))
     )
     bm = metrics.binary_metrics(variants, "home_win", "p", by=["variant"])
     am = metrics.auc(variants, "home_win", "p", by=["variant"])
-    decision = metrics.calibration_decision(bm).first()
-    ship = bool(decision["ship_calibration"])
-    ctr.calibration = {"method": "isotonic" if ship else "none", "X_thresholds": xs, "y_thresholds": ys}
     rm = metrics.regression_metrics(hold_scored, "point_differential", "margin")
+    none = F.lit(None).cast("double")
     report = (
         bm.join(am.select("variant", "auc"), "variant")
         .select(F.lit("winner").alias("model"), "variant", "n", "accuracy", "auc", "brier", "logloss",
-                *[F.lit(None).cast("double").alias(c) for c in ("mae", "rmse", "sign_accuracy")])
+                *[none.alias(c) for c in ("mae", "rmse", "sign_accuracy")])
         .unionByName(
             rm.select(F.lit("margin").alias("model"), F.lit("raw").alias("variant"), "n",
-                      *[F.lit(None).cast("double").alias(c) for c in ("accuracy", "auc", "brier", "logloss")],
+                      *[none.alias(c) for c in ("accuracy", "auc", "brier", "logloss")],
                       "mae", "rmse", "sign_accuracy")
         )
-        .persist()
-    )
-    rows = {(r["model"], r["variant"]): r.asDict() for r in report.collect()}
+    ).collect()  # a row a model and variant
+    drop_folder(spark, scored_path)
+    rows = {(r["model"], r["variant"]): r.asDict() for r in report}
+    ship = bool(metrics.calibration_decision(spark.createDataFrame(
+        [(v, rows["winner", v]["brier"]) for v in ("raw", "isotonic")], "variant string, brier double")).first()["ship_calibration"])
+    ctr.calibration = {"method": "isotonic" if ship else "none", "X_thresholds": xs, "y_thresholds": ys}
     ctr.honest_holdout_metrics = {
         "uncalibrated": {k: rows[("winner", "raw")][k] for k in ("accuracy", "auc", "brier", "logloss", "n")},
         "calibrated": {k: rows[("winner", "isotonic")][k] for k in ("accuracy", "auc", "brier", "logloss", "n")},
@@ -226,22 +277,47 @@ def _train(spark, sf_dir, max_rounds, patience) -> Trained:
         "margin_best_iteration": margin.best_iteration,
     }
 
-    # Production refit on more seasons with the frozen round counts (M5, M6).
-    with ThreadPoolExecutor(max_workers=2) as pool:
-        fw = pool.submit(learn.refit, prod_df, FEATURES, CATEGORICALS, "home_win", "winner", winner.best_iteration)
-        fm = pool.submit(learn.refit, prod_df, FEATURES, CATEGORICALS, "point_differential", "margin",
-                         margin.best_iteration)
-        winner_prod, margin_prod = fw.result(), fm.result()
     prod_ctr = contract.fit_contract(prod_df, FEATURES, CATEGORICALS)
     contract.same_categoricals(ctr, prod_ctr)
     ctr.categorical_values = prod_ctr.categorical_values
     ctr.production_model_metrics = {"rows": prod_df.count(), "features": len(FEATURES)}
+    # The margin model has a contract of its own, with its own metrics and no calibration.
+    margin_ctr = contract.FeatureContract(
+        feature_columns=list(FEATURES), categorical_features=list(CATEGORICALS), categorical_values=prod_ctr.categorical_values,
+        excluded_features=list(MARKET_COLS), honest_holdout_metrics={"margin": ctr.honest_holdout_metrics["margin"]},
+        production_model_metrics=ctr.production_model_metrics,
+    )
 
-    path = scratch_path(spark, "model")
     contract.save_contract(spark, ctr, os.path.join(path, "contract"))
+    contract.save_contract(spark, margin_ctr, os.path.join(path, "margin_contract"))
     winner_prod.write().overwrite().save(os.path.join(path, "winner"))
     margin_prod.write().overwrite().save(os.path.join(path, "margin"))
-    return Trained(matrix, ctr, winner, margin, winner_prod, margin_prod, report, os.path.join(path, "contract"))
+    models.write_document(spark, {
+        "winner": {"losses": winner.losses, "best_iteration": winner.best_iteration},
+        "margin": {"losses": margin.losses, "best_iteration": margin.best_iteration},
+        "report": [list(r) for r in report],
+    }, os.path.join(path, "history"))
+
+
+def search(
+    spark: SparkSession, sf_dir: str, n_trials: int = learn.TRIALS, parallelism: int = 3, root: str | None = None
+) -> tuple[list[dict], float]:
+    """The trials of the sweep and the holdout log-loss of the best one, refit with its rounds.
+
+    Trials are recorded in the store as they finish; the same sweep started
+    again goes on from there.
+    """
+    data = labels.split_by_season(shared_matrix(spark, sf_dir), "season", TRAIN_MAX, CALIB, HOLDOUT)
+    data = data.withColumn("home_win", F.col("home_win").cast("double"))
+    splits = {name: data.where(F.col("split") == name) for name in ("train", "calib")}
+    ready = learn.prepared(splits, "train", FEATURES, CATEGORICALS, ["home_win"])
+    trials = learn.draw_params(n_trials, seed=learn.SEED)
+    ledger = os.path.join(root or models.store_root(spark), "search-" + training_key(spark, sf_dir))
+    results = learn.random_search(ready, "home_win", trials, parallelism=parallelism, ledger=ledger)
+    best = min(results, key=lambda r: (r["calib_logloss"], r["trial"]))
+    model = learn.refit_prepared(ready, "home_win", "winner", best["best_iteration"], trials[best["trial"]])
+    hold = learn.predict(model, data.where(F.col("split") == "holdout"), "p")
+    return results, float(metrics.binary_metrics(hold, "home_win", "p").first()["logloss"])
 
 
 def model_meta(ctr: contract.FeatureContract) -> dict:
@@ -289,15 +365,23 @@ def score(spark: SparkSession, sf_dir: str, trained: Trained, week: tuple[int, i
     feats = clean_features(
         feature_dataset(spark, sf_dir, upcoming, market=False).withColumn("kickoff_ts", F.col("start_ts"))
     )
-    ctr = trained.contract
-    aligned = contract.align(feats, ctr, keep=["order_key", "line", "season", "home", "away", "kickoff_ts"])
-    p = learn.predict(trained.winner_prod, aligned, "p_raw")
-    p = calibrate.apply_calibration(p, "p_raw", ctr.calibration, "p_home")
-    p = learn.predict(trained.margin_prod, p, "margin", kind="margin")
+    ids = ["order_key", "line", "season", "home", "away", "kickoff_ts"]
+    ctr, margin_ctr = trained.contract, trained.margin_contract
+    # The margin model is aligned to its own contract, from the features as they came.
+    own = [c for c in (margin_ctr.feature_columns if margin_ctr else []) if c in feats.columns and c not in ids]
+    feats = feats.withColumn("for_margin", F.struct(*own)) if own else feats.withColumn("for_margin", F.lit(None))
+    p = learn.predict(trained.winner_prod, contract.align(feats, ctr, keep=[*ids, "for_margin"]), "p_raw")
+    p = calibrate.apply_calibration(p, "p_raw", ctr.calibration, "p_home").select(*ids, "period", "p_home", "for_margin")
+    p = p.select(*(F.col(c) for c in [*ids, "p_home"]), F.col("period").alias("week"), *(F.col(f"for_margin.{c}").alias(c) for c in own if c != "season"))
+    if margin_ctr is not None and trained.margin_prod is not None:
+        p = contract.align(p, margin_ctr, keep=[*ids, "p_home", "week"])
+        p = learn.predict(trained.margin_prod, p, "margin", kind="margin")
+    else:
+        p = p.withColumn("margin", F.lit(None).cast("double"))
     winner, conf = scalar.pick_winner("p_home", F.concat(F.lit("N"), F.col("home").cast("string")),
                                       F.concat(F.lit("N"), F.col("away").cast("string")))
     slate = p.select(
-        "order_key", "line", "season", F.col("period").cast("int").alias("week"), "kickoff_ts",
+        "order_key", "line", "season", F.col("week").cast("int").alias("week"), "kickoff_ts",
         scalar.iso_timestamp("kickoff_ts").alias("kickoff"),
         F.concat(F.lit("N"), F.col("home").cast("string")).alias("home_team"),
         F.concat(F.lit("N"), F.col("away").cast("string")).alias("away_team"),

@@ -14,7 +14,7 @@ m AS (
          CAST(month(o.o_orderdate) AS INTEGER) AS period,
          c.c_nationkey AS home, s.s_nationkey AS away,
          l.l_linestatus = 'F' AS completed,
-         CASE WHEN l.l_linestatus = 'F' THEN CAST(round(l.l_quantity) AS INTEGER) END AS home_points,
+         CASE WHEN l.l_linestatus = 'F' THEN CAST(round(l.l_quantity) + 3 * month(o.o_orderdate) + 5 * (length(c.c_mktsegment) - 8) AS INTEGER) END AS home_points,
          CASE WHEN l.l_linestatus = 'F' THEN CAST(round(l.l_discount * 500) AS INTEGER) END AS away_points,
          o.o_orderdate AS start_ts, l.l_returnflag AS flag, c.c_mktsegment AS home_segment,
          o.o_orderpriority AS priority, l.l_quantity AS quantity, l.l_discount AS discount,
@@ -205,8 +205,8 @@ GROUP BY user_id, week
 
 SQL["cumulative_through_week"] = f"""
 WITH {EVENTS_WEEKLY},
-wk AS (SELECT user_id, season, week, sum(value) AS v, count(*) AS n FROM ew WHERE week <= 5 GROUP BY ALL),
-sp AS (SELECT user_id, season, unnest(generate_series(min(week), 5)) AS week FROM wk GROUP BY user_id, season)
+wk AS (SELECT user_id, season, week, sum(value) AS v, count(*) AS n FROM ew GROUP BY ALL),
+sp AS (SELECT user_id, season, unnest(generate_series(min(week), (SELECT max(week) FROM ew))) AS week FROM wk GROUP BY user_id, season)
 SELECT sp.user_id, sp.season, CAST(sp.week AS INTEGER) AS week,
        round(sum(wk.v) OVER w, 2) AS total_value,
        CAST(sum(wk.n) OVER w AS BIGINT) AS n_events
@@ -228,8 +228,8 @@ NATION_DIM = """
 nd AS (
   SELECT CAST(year(o.o_orderdate) AS INTEGER) AS season, c.c_nationkey AS entity, max(c.c_acctbal) AS talent
   FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+  WHERE (year(o.o_orderdate) * 31 + c.c_nationkey) % 8 <> 0
   GROUP BY ALL
-  HAVING count(*) FILTER (WHERE o.o_orderpriority = '1-URGENT') >= 8
 )"""
 
 SQL["dual_lookup"] = f"""
@@ -270,7 +270,7 @@ LEFT JOIN med ON med.season = m.season
 PAIRS = """
 pr AS (
   SELECT season, home, away, count(*) FILTER (WHERE discount >= 0.05) / count(*) AS p_home
-  FROM m GROUP BY season, home, away HAVING count(*) >= 3
+  FROM m WHERE (season * 31 + home * 7 + away) % 8 <> 0 GROUP BY season, home, away
 ),
 pl AS (
   SELECT m.order_key, m.line, m.season, pr.p_home, 1.0 - pr.p_home AS p_away,
@@ -677,7 +677,7 @@ SELECT season, week, CAST(row_number() OVER (ORDER BY season, week) AS INTEGER)
 # --------------------------------------------------------------------------
 FEATURE_DATASET = """
 med AS (SELECT season, median(talent) AS md FROM nd GROUP BY season),
-pr AS (SELECT season, home, away, count(*) FILTER (WHERE discount >= 0.05) / count(*) AS p_home FROM m GROUP BY season, home, away HAVING count(*) >= 3),
+pr AS (SELECT season, home, away, count(*) FILTER (WHERE discount >= 0.05) / count(*) AS p_home FROM m WHERE (season * 31 + home * 7 + away) % 8 <> 0 GROUP BY season, home, away),
 fd AS (
   SELECT m.order_key, m.line, m.season, m.period, m.home, m.away, m.completed, m.home_points, m.away_points,
          m.flag, m.home_segment,
@@ -736,7 +736,7 @@ WITH {MEETING},
 pr AS (
   SELECT season, home, away,
          [{{'provider': 'avg', 'spread': min(discount)}}, {{'provider': 'max', 'spread': max(tax)}}] AS lines
-  FROM m GROUP BY season, home, away HAVING count(*) >= 3
+  FROM m WHERE (season * 31 + home * 7 + away) % 8 <> 0 GROUP BY season, home, away
 )
 SELECT m.order_key, m.line, round(pr.lines[1].spread, 6) AS spread_line, CAST(len(pr.lines) AS INTEGER) AS n_lines
 FROM m LEFT JOIN pr ON pr.season = m.season AND pr.home = m.home AND pr.away = m.away

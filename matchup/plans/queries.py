@@ -288,9 +288,10 @@ def long_to_wide(spark, sf_dir):
 
 @query
 def cumulative_through_week(spark, sf_dir):
-    """Per user running totals through each week 1..5 (idle weeks included)."""
+    """Per user running totals through each week up to the last of all (idle weeks included)."""
     e = _events_weekly(spark, sf_dir).withColumn("n_events", F.lit(1))
-    cum = reshape.cumulate(e, "user_id", "season", "week", ["value", "n_events"], 5)
+    last = e.agg(F.max("week").alias("week")).first()["week"] or 1
+    cum = reshape.cumulate(e, "user_id", "season", "week", ["value", "n_events"], last)
     return cum.select("user_id", "season", "week", _r("value").alias("total_value"), F.col("n_events").cast("long").alias("n_events"))
 
 
@@ -357,13 +358,13 @@ def median_fill(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir):
-    """(season, home, away) -> probability-like mean, only for pairs met >= 3 times."""
+    """(season, home, away) -> probability-like mean, for the keys that have a pair row."""
     m = st.meetings(spark, sf_dir)
     return (
         m.groupBy("season", "home", "away")
         .agg(F.count_if(F.col("discount") >= 0.05).alias("k"), F.count(F.lit(1)).alias("n"))
         .withColumn("p_home", F.col("k") / F.col("n"))
-        .where(F.col("n") >= 3)
+        .where(st.kept_pair("season", "home", "away"))
         .select("season", "home", "away", "p_home")
     )
 
@@ -390,8 +391,8 @@ def pair_lookup_nested(spark, sf_dir):
     m = st.meetings(spark, sf_dir)
     lines = (
         m.groupBy(F.col("season").alias("ps"), F.col("home").alias("ph"), F.col("away").alias("pa"))
-        .agg(F.min("discount").alias("d_avg"), F.max("tax").alias("t_max"), F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") >= 3)
+        .agg(F.min("discount").alias("d_avg"), F.max("tax").alias("t_max"))
+        .where(st.kept_pair("ps", "ph", "pa"))
         .select("ps", "ph", "pa", F.array(
             F.struct(F.lit("avg").alias("provider"), F.col("d_avg").alias("spread")),
             F.struct(F.lit("max").alias("provider"), F.col("t_max").alias("spread")),
@@ -859,20 +860,21 @@ def _trained(spark, sf_dir):
     return jobs.train(spark, sf_dir)
 
 
+def _rounds(spark, run):
+    rows = [(i + 1, float(v), i + 1 == run["best_iteration"]) for i, v in enumerate(run["losses"])]
+    return spark.createDataFrame(rows, "round int, calib_loss double, is_best boolean")
+
+
 @query
 def gbt_winner(spark, sf_dir):
     """Winner classifier, per-round calibration loss, best round by patience."""
-    t = _trained(spark, sf_dir)
-    rows = [(i + 1, float(v), i + 1 == t.winner.best_iteration) for i, v in enumerate(t.winner.losses)]
-    return spark.createDataFrame(rows, "round int, calib_loss double, is_best boolean")
+    return _rounds(spark, _trained(spark, sf_dir).winner)
 
 
 @query
 def gbt_margin(spark, sf_dir):
     """M3: margin regressor (absolute loss), per-round calibration loss, best round."""
-    t = _trained(spark, sf_dir)
-    rows = [(i + 1, float(v), i + 1 == t.margin.best_iteration) for i, v in enumerate(t.margin.losses)]
-    return spark.createDataFrame(rows, "round int, calib_loss double, is_best boolean")
+    return _rounds(spark, _trained(spark, sf_dir).margin)
 
 
 @query
@@ -888,37 +890,21 @@ def holdout_report(spark, sf_dir):
     return _trained(spark, sf_dir).report
 
 
+#: Trials of the registered sweep (the library's default is ``learn.TRIALS``, see README).
+SWEEP_TRIALS = 6
+
+
 @query
 def search_leaderboard(spark, sf_dir):
     """Seeded random search; top 5 trials by calibration log-loss."""
-    matrix = jobs.shared_matrix(spark, sf_dir)
-    data = labels.split_by_season(matrix, "season", jobs.TRAIN_MAX, jobs.CALIB, jobs.HOLDOUT).withColumn(
-        "home_win", F.col("home_win").cast("double")
-    ).persist()
-    train_df = data.where(F.col("split") == "train")
-    calib_df = data.where(F.col("split") == "calib")
-
-    def calib_logloss(model, df):
-        scored = learn.predict(model, df, "p")
-        return metrics.binary_metrics(scored, "home_win", "p").first()["logloss"]
-
-    trials = learn.draw_params(learn.TRIALS, seed=42)
-    results = learn.random_search(train_df, calib_df, jobs.FEATURES, jobs.CATEGORICALS, "home_win", trials,
-                                  parallelism=3, logloss_fn=calib_logloss)
+    results, holdout = jobs.search(spark, sf_dir, SWEEP_TRIALS, parallelism=SWEEP_TRIALS)
     table_ = spark.createDataFrame(results)
     mean_s = F.avg("seconds").over(Window.partitionBy())
     ranked = table_.withColumn("seconds_per_trial", mean_s).withColumn(
         "rank", F.row_number().over(Window.orderBy("calib_logloss", "trial"))
     )
     out = ranked.where(F.col("rank") <= 5)
-    # The best trial, refit on the train split with its frozen rounds,
-    # scored once on the untouched holdout season.
-    best = min(results, key=lambda r: (r["calib_logloss"], r["trial"]))
-    params = dict(trials[best["trial"]])
-    model = learn.refit(train_df, jobs.FEATURES, jobs.CATEGORICALS, "home_win", "winner", best["best_iteration"], params)
-    hold = learn.predict(model, data.where(F.col("split") == "holdout"), "p")
-    hl = metrics.binary_metrics(hold, "home_win", "p").first()["logloss"]
-    out = out.withColumn("holdout_logloss", F.when(F.col("rank") == 1, F.lit(float(hl))))
+    out = out.withColumn("holdout_logloss", F.when(F.col("rank") == 1, F.lit(holdout)))
     out.coalesce(1).write.mode("overwrite").json(scratch_path(spark, "search-report"))  # S15
     return out.drop("seconds")
 

@@ -3,7 +3,9 @@
 * meeting: one lineitem; home side = the customer's nation, away side = the
   supplier's nation; season = year of the order date, period = its month.
   A meeting is "completed" when the line status is F; only then it has
-  points (home = quantity, away = discount x 500, both rounded).
+  points: home = quantity, rounded, + 3 a month of the season + 5 a letter that
+  the segment's name is longer than 8 (so that the features known before tell
+  something about the result); away = discount x 500, rounded.
 * history: per (nation, season, month) revenue of the nation's customers'
   orders in long form, one row per order-priority class.
 * dims: per (nation, season) measures from customers and suppliers.
@@ -14,7 +16,7 @@ restates each of them for DuckDB.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchup.functions.scalar import round_half_away
@@ -32,6 +34,16 @@ STAT_NAMES = list(PRIORITY_STATS.values())
 MAX_PERIOD = 12
 
 
+def home_edge() -> Column:
+    """Points that month and segment bring the home side."""
+    return 3 * F.month("o_orderdate") + 5 * (F.length("c_mktsegment") - 8)
+
+
+def kept_pair(season: str, home: str, away: str) -> Column:
+    """Seven of eight (season, home, away) keys have a pair row, at every size of the tables."""
+    return F.pmod(F.col(season) * 31 + F.col(home) * 7 + F.col(away), F.lit(8)) != 0
+
+
 def meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = table(spark, sf_dir, "lineitem")
     o = table(spark, sf_dir, "orders")
@@ -53,7 +65,7 @@ def meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("c_nationkey").alias("home"),
             F.col("s_nationkey").alias("away"),
             done.alias("completed"),
-            F.when(done, round_half_away(F.col("l_quantity"), 0).cast("int")).alias("home_points"),
+            F.when(done, round_half_away(F.col("l_quantity"), 0).cast("int") + home_edge()).alias("home_points"),
             F.when(done, round_half_away(F.col("l_discount") * 500, 0).cast("int")).alias("away_points"),
             F.col("o_orderdate").alias("start_ts"),
             F.col("l_returnflag").alias("flag"),
@@ -101,16 +113,12 @@ def history_long(spark: SparkSession, sf_dir: str, facts: DataFrame | None = Non
 
 def nation_season_dim(spark: SparkSession, sf_dir: str, facts: DataFrame | None = None) -> DataFrame:
     """Per (nation, season) measure with gaps: the top balance of customers
-    of that nation with an order in that season; only (nation, season) pairs
-    with at least 8 urgent orders are present, so some lack it. (Exact
-    measures keep the oracle comparison independent of summation order.)"""
+    of that nation with an order in that season; one of eight (nation, season)
+    keys is left out, at every size of the tables. (Exact measures keep the
+    oracle comparison independent of summation order.)"""
     f = facts if facts is not None else nation_period_facts(spark, sf_dir)
     return (
-        f.groupBy("season", "entity")
-        .agg(
-            F.max("top_balance").alias("talent"),
-            F.sum(F.when(F.col("stat_name") == "urgent", F.col("n_orders")).otherwise(0)).alias("n_urgent"),
-        )
-        .where(F.col("n_urgent") >= F.lit(8))
-        .select("season", "entity", "talent")
+        f.where(F.pmod(F.col("season") * 31 + F.col("entity"), F.lit(8)) != 0)
+        .groupBy("season", "entity")
+        .agg(F.max("top_balance").alias("talent"))
     )

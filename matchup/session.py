@@ -95,3 +95,23 @@ def drop_folder(spark: SparkSession, path: str) -> None:
 def folder_exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def write_small(spark: SparkSession, path: str, text: str) -> None:
+    """Write or replace a small text file; a reader sees the old or the new text, whole (a single rename)."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    to = hadoop.Path(path)
+    tmp = hadoop.Path(f"{path}.{uuid.uuid4().hex[:12]}")
+    fs = to.getFileSystem(conf)
+    out = fs.create(tmp, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    rename = getattr(hadoop, "Options$Rename")
+    overwrite = spark.sparkContext._gateway.new_array(rename, 1)
+    overwrite[0] = rename.OVERWRITE
+    hadoop.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(tmp), fs.makeQualified(to), overwrite)
+
+
+def read_small(spark: SparkSession, path: str) -> str:
+    """Text of a file that ``write_small`` wrote."""
+    return "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()).strip()
