@@ -13,9 +13,12 @@ same length (one replaced code point) keeps the bigram's place, one that is a
 code point longer or shorter keeps it or moves it by that one. ``levenshtein``
 verifies the pairs.
 
-The join keys hold bigram, place and length, so a hot key is split by Spark's
-skew handling: nothing behind the join needs its rows together before the
-verified pairs are grouped. Words are counted map-side first.
+One edit also leaves the first or the last half of a word as it is, so the
+join key is a hash of bigram, place, length and either half: without the
+halves, a frequent bigram pairs very many words that are far apart (hash
+collisions only bring pairs that the verification drops). A hot key is split
+by Spark's skew handling: nothing behind the join needs its rows together
+before the verified pairs are grouped. Words are counted map-side first.
 
 Bounds: bigrams are made of 90 letters (a-z and \\u00C0-\\u00FF), so their order
 has 8,100 entries at most and travels with the tasks. Everything else stays distributed. Forms at least double the count at
@@ -34,7 +37,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchup.llm.common import folded, read, staged
@@ -97,6 +100,18 @@ def indexed(words: DataFrame, order: dict[str, tuple[int, int]]) -> DataFrame:
     return words.select("word").mapInPandas(index, f"word string, pivots {grams}, prefix {grams}, last int")
 
 
+def half_keys(word: str, gram: Column, length: Column, place: Column) -> Column:
+    """Two join keys of a bigram at a place in a word of ``length`` code points: with its first half and with its last.
+
+    One edit leaves one of the halves of two near words as it is; ``word`` may be one code point longer or shorter.
+    """
+    head = ((length - 1) / 2).cast("int")
+    return F.array(
+        F.xxhash64(gram, length, place, F.lit(0), F.left(F.col(word), head)),
+        F.xxhash64(gram, length, place, F.lit(1), F.right(F.col(word), length - 1 - head)),
+    )
+
+
 def near_pairs(words: DataFrame) -> DataFrame:
     """(a, b), both ways, of the words at distance 1, staged. Words have five code points or more."""
     own = F.transform(F.sequence(F.lit(1), F.length("word") - GRAM + 1), lambda i: F.substring(F.col("word"), i, F.lit(GRAM)))
@@ -105,13 +120,14 @@ def near_pairs(words: DataFrame) -> DataFrame:
     index = staged(indexed(words, {g: (rank, n) for rank, (n, g) in enumerate(ranked)}), "pivotal-grams")
     length = F.length("word")
     pivots = index.select(F.col("word").alias("a"), F.col("last").alias("end"), length.alias("len"), F.explode("pivots").alias("g"))
-    pivots = pivots.select("a", "end", "len", "g.gram", "g.place")
+    pivots = pivots.select("a", "end", F.explode(half_keys("a", F.col("g.gram"), F.col("len"), F.col("g.place"))).alias("key"))
     # Lengths and places that a pivot's word may have, seen from the word whose prefix holds the bigram.
     moves = F.array(*(F.struct(F.lit(d).alias("d"), F.lit(s).alias("s")) for d, s in ((0, 0), (1, 0), (1, 1), (-1, 0), (-1, -1))))
     prefix = index.select(F.col("word").alias("b"), F.col("last").alias("other"), length.alias("n"), F.explode("prefix").alias("g"))
-    prefix = prefix.select("b", "other", "n", "g.gram", F.col("g.place").alias("p"), F.explode(moves).alias("m"))
-    prefix = prefix.select("b", "other", "gram", (F.col("n") + F.col("m.d")).alias("len"), (F.col("p") + F.col("m.s")).alias("place"))
-    pairs = pivots.join(prefix.where("place >= 0"), ["gram", "len", "place"]).where("end <= other AND a <> b")
+    prefix = prefix.select("b", "other", "n", "g.gram", "g.place", F.explode(moves).alias("m"))
+    prefix = prefix.select("b", "other", "gram", (F.col("n") + F.col("m.d")).alias("len"), (F.col("place") + F.col("m.s")).alias("place"))
+    prefix = prefix.where("place >= 0").select("b", "other", F.explode(half_keys("b", F.col("gram"), F.col("len"), F.col("place"))).alias("key"))
+    pairs = pivots.join(prefix, "key").where("end <= other AND a <> b")
     near = pairs.where(F.levenshtein("a", "b", EDITS) == EDITS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     sides = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("s")
     return staged(near.select(sides).select("s.a", "s.b"), "near-words")
