@@ -22,8 +22,9 @@ filter); blocks meet templates by equi-join on prefix tokens and an
 intersection confirms.
 
 Defined results: null text is empty; a block that several templates fit gets
-all their labels; repeated rows, and other rows that share a doc_id, share
-the labels found in any of them; no documents, no rows.
+all their labels; labels belong to a row's own text, whatever other rows hold
+its doc_id or none (rows are told apart by doc_id and a 64-bit hash of the
+text), so repeated rows get equal labels; no documents, no rows.
 """
 
 from __future__ import annotations
@@ -93,11 +94,12 @@ def pieces(vocabulary: list[str], reach: int, least: int) -> Column:
 
 
 def scanned(docs: DataFrame, vocabulary: list[str], text: str = "text", key: str = "doc_id", reach: int = 0, least: int = 1) -> DataFrame:
-    """Per row: key, n_words, n_base, first_word, last_word, base (labels), blocks.
+    """Per row: key, __row (of key and text), n_words, n_base, first_word, last_word, base (labels), blocks.
 
     Blocks are the lines' token sets within the vocabulary, or with ``reach`` the ``pieces``.
     """
-    a = docs.select(F.col(key), ascii_lower(F.coalesce(F.col(text), F.lit(""))).alias("__t"))
+    row = F.struct(F.col(key).alias("id"), F.xxhash64(text).alias("text"))
+    a = docs.select(F.col(key), row.alias("__row"), ascii_lower(F.coalesce(F.col(text), F.lit(""))).alias("__t"))
     a = a.withColumn("__w", F.array_remove(F.split("__t", NOT_WORD), ""))
     joined = F.concat(F.lit(" "), F.array_join("__w", " "), F.lit(" "))
 
@@ -126,6 +128,7 @@ def scanned(docs: DataFrame, vocabulary: list[str], text: str = "text", key: str
     starts = F.flatten("__p")
     return a.select(
         key,
+        "__row",
         F.size("__w").cast("long").alias("n_words"),
         F.size(starts).cast("long").alias("n_base"),
         F.array_min(starts).cast("long").alias("first_word"),
@@ -199,13 +202,13 @@ def licensed(
     rows = staged(scanned(docs, sorted({w for _, ws, _ in sets for w in ws}), text, key, reach, least), "licenses")
     out = rows.withColumn("base_labels", F.array_join("base", ","))
     if sets:
-        blocks = rows.select(F.col(key).alias("key"), F.explode("blocks").alias("tokens"))
+        blocks = rows.select(F.col("__row").alias("key"), F.explode("blocks").alias("tokens"))
         if reach:
             blocks = blocks.select("key", F.col("tokens").alias("spots"), F.array_distinct("tokens.w").alias("tokens"))
         found = matched(blocks, sets, threshold).groupBy(F.col("key").alias("__key")).agg(
             F.collect_set("label").alias("__labels"), F.max("score").alias("__score")  # a set of template labels at most
         )
-        out = out.join(found, F.col(key).eqNullSafe(F.col("__key")), "left")
+        out = out.join(found, F.col("__row") == F.col("__key"), "left")  # a struct is never null, nulls inside it are equal
     else:
         out = out.withColumns({"__labels": F.lit(None).cast("array<string>"), "__score": F.lit(None).cast("double"), "__key": F.lit(None)})
     none = F.array().cast("array<string>")

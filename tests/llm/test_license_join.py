@@ -51,3 +51,13 @@ def test_empty_repeated_and_no_templates(spark):
     assert m.licensed(docs.limit(0), m.TEMPLATES).count() == 0
     assert sorted(r.labels for r in m.licensed(docs, m.TEMPLATES).collect()) == ["cc-by", "mit", "mit"]
     assert sorted(r.labels for r in m.licensed(docs, []).collect()) == ["cc-by", "mit", "mit"]
+
+
+def test_texts_that_share_a_doc_id_or_have_none_keep_their_own_labels(spark):
+    t = ["plain words here", m.TEMPLATES[5][1], "nothing", "Licensed under CC BY-NC 4.0.", None, ""]
+    for windows in (False, True):
+        docs = spark.createDataFrame([(i, x) for x in t for i in (1, None, 1)], "doc_id long, text string")
+        rows = m.licensed(docs, m.TEMPLATES, windows=windows).collect()
+        got = sorted((r.doc_id is None, r.labels, round(r.score, 9)) for r in rows)
+        want = sorted((i is None, *brute(x)[5:]) for x in t for i in (1, None, 1))
+        assert got == want
