@@ -201,12 +201,14 @@ def packed_configurations(histogram: dict[int, int], capacity: int = CAPACITY) -
     The LP's counts are rounded down; configurations that leave room (bought
     when few lengths were uncovered) are left out first, and a smaller share
     of all is tried, since what remains for best fit is then easier to fit.
+    A share of nothing, where best fit packs everything, is the last candidate
+    and taken only if it needs fewer sequences than each of the others.
     """
     whole = [({s: 1}, n) for s, n in histogram.items() if s == capacity]
     rest = {s: n for s, n in histogram.items() if s < capacity}
     fractional = configuration_lp(rest, capacity)
     results = []
-    for share, room in ((1.0, capacity), (1.0, 0), (0.75, 0), (0.5, 0)):
+    for share, room in ((1.0, capacity), (1.0, 0), (0.75, 0), (0.5, 0), (0.25, 0), (0.0, 0)):
         left, out = dict(rest), []
         for config, amount in fractional.items():
             if capacity - sum(s * k for s, k in config) > room:

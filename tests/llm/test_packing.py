@@ -92,3 +92,16 @@ def test_solver_against_exhaustive_search():
             held.update({s: k * n for s, k in config.items()})
         assert held == Counter(items)
         assert sum(n for _, n in got) <= fewest(items, 20) + 1
+
+
+def test_never_more_sequences_than_best_fit():
+    rng = np.random.default_rng(4)
+    for lengths in (rng.integers(1, 257, 4000), rng.integers(75, 151, 4000), np.minimum(rng.lognormal(4, 1, 4000).astype(int) + 1, 256)):
+        histogram = dict(Counter(int(x) for x in lengths))
+        got = m.packed_configurations(histogram, 256)
+        held = Counter()
+        for config, n in got:
+            assert sum(s * k for s, k in config.items()) <= 256
+            held.update({s: k * n for s, k in config.items()})
+        assert held == histogram
+        assert sum(n for _, n in got) <= sum(n for _, n in m.best_fit(histogram, 256))
