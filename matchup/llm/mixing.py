@@ -2,17 +2,20 @@
 
 A labelled table names the domain of some documents. A naive Bayes classifier
 over hashed words, trained on them, gives every document a posterior over the
-domains. Of all document rates r >= 0 whose expected tokens match the targets,
+domains. Document rates r >= 0 are fitted so that expected tokens match the targets,
 
     sum_d tokens_d p_dk r_d = weight_k T for each domain k,      T = all tokens,
 
-those nearest to one are taken: they minimise sum_d tokens_d (r_d - 1)^2, so
-r_d = max(0, 1 + sum_k y_k p_dk) with one multiplier y_k a domain. Newton steps
-with halving find them: a step is one map over the documents and one
-aggregation to numbers in the square of the domains' count, until each share
-is within ``TOLERANCE`` of its target, relatively. An anchor, anchor / 2 times
-the squares of the multipliers, keeps them finite where no rates reach the
-targets; it falls until it no longer tells, and missed targets are warned of.
+by projected gradient on the least squares of the gaps, from rates of one. A
+step is one pass over the documents that sums each domain's tokens at the
+rates and at the extrapolated rates (numbers in the count of domains go to the
+driver), then a move of every rate along its own slope, cut at zero. Gaps are
+weighted by one over a domain's curvature, so rare domains converge like
+frequent ones; the step is one over the Lipschitz bound, the top eigenvalue of
+the weighted domains' products; momentum restarts when the value rises. The
+steps end when each share is within ``TOLERANCE`` of its target, relatively, or
+when the rates stand still; missed targets are warned of. An anchor holds rates
+near one, where asked for.
 A rate becomes whole copies by a fixed hash: floor(rate + u).
 
 Tokens are the words ``[^\\x20\\x09-\\x0D]+``. Defined results: null or empty
@@ -41,11 +44,12 @@ BUCKETS = 16_384
 SMOOTH = (0.5, 3.0)
 #: Labelled documents the classifier is trained on, about and at most 1.2 times (by a hash of doc_id).
 MAX_LABELLED = 20_000
-#: Weight of staying near one in ``fitted`` by default, and how it falls to the one ``mixed`` ends with.
-ANCHOR = 0.005
-FALLING, LAST = (0.005, 1e-5), 1e-8
-#: Newton steps at most (a few do), and the relative gap to a target that ends them.
-STEPS, TOLERANCE = 100, 1e-6
+#: Weight of staying near one in ``fitted`` by default, and that of ``mixed``.
+ANCHOR, LAST = 0.005, 1e-8
+#: Gradient steps at most, those between two written tables, and the relative gap to a target that ends them.
+STEPS, WRITTEN, TOLERANCE = 400, 8, 1e-5
+#: Mean square move of the rates in a step that counts as standing still.
+STILL = 1e-14
 #: Share of all tokens that each domain shall have.
 TARGETS = {"clean": 0.90, "low": 0.02, "toxic": 0.08}
 
@@ -107,46 +111,48 @@ def posteriors(counted_docs: DataFrame, domains: list[str], model: tuple[list[fl
 
 
 def fitted(table: DataFrame, targets: dict[str, float], steps: int = STEPS, anchor: float = ANCHOR) -> DataFrame:
-    """``table`` (tokens, p_<domain>..., staged) with rate; the share of a domain misses its target by anchor times its multiplier."""
+    """``table`` (tokens, p_<domain>..., staged) with rate, by accelerated projected gradient on the rates."""
     p = [F.col(f"p_{d}").cast("double") for d in targets]
-    weight = F.col("tokens").cast("double")
     k, goal = len(p), np.array(list(targets.values()), float)
     total = table.agg(F.sum("tokens")).first()[0]
     if not total:
         return table.withColumn("rate", F.lit(1.0))
-
-    def rate(at: np.ndarray) -> Column:
-        return F.greatest(F.lit(0.0), sum((x * float(a) for x, a in zip(p, at, strict=True)), F.lit(1.0)))
-
-    def measured(at: np.ndarray, a: float) -> tuple[float, np.ndarray, np.ndarray]:
-        """Value, slope and curvature of the dual at the multipliers: one pass."""
-        r = rate(at)
-        on = F.when(r > 0, weight).otherwise(0.0)
-        pairs = [F.sum(on * p[i] * p[j]) for i in range(k) for j in range(i, k)]
-        row = np.array(table.agg(F.sum(weight * r * r), *(F.sum(weight * r * x) for x in p), *pairs).first(), float) / total
-        curve = np.zeros((k, k))
-        curve[np.triu_indices(k)] = row[1 + k :]
-        return row[0] / 2 - goal @ at + a * (at @ at) / 2, row[1 : 1 + k] - goal + a * at, curve + np.triu(curve, 1).T + a * np.eye(k)
-
-    at, left = np.zeros(k), steps
-    for a in [*(x for x in FALLING if x > anchor), anchor]:
-        value, slope, curve = measured(at, a)
-        while left > 0 and (np.abs(slope) > TOLERANCE * np.maximum(goal, TOLERANCE)).any():
-            left -= 1
-            step, length = -np.linalg.solve(curve, slope), 1.0
-            tried = measured(at + step, a)
-            while tried[0] > value + 1e-4 * length * (slope @ step) + 1e-12 * abs(value) and length > 1e-3:
-                length /= 4
-                tried = measured(at + length * step, a)
-            still = value - tried[0] <= 1e-15 * abs(value)  # as far as doubles tell
-            at, (value, slope, curve) = at + length * step, tried
-            if still:
-                break
-    shares = slope + goal - anchor * at
+    weight = F.col("tokens").cast("double") / F.lit(float(total))
+    pairs = [F.sum(weight * p[i] * p[j]) for i in range(k) for j in range(i, k)]
+    products = np.zeros((k, k))
+    products[np.triu_indices(k)] = table.agg(*pairs).first()
+    products += np.triu(products, 1).T
+    curved = np.diag(products) > 0
+    scale = np.where(curved, 1 / np.where(curved, np.diag(products), 1), 0.0)
+    scale *= curved.sum() / scale.sum()
+    bound = np.linalg.eigvalsh(np.sqrt(np.outer(scale, scale)) * products)[-1] + anchor
+
+    state = table.withColumns({"rate": F.lit(1.0), "__was": F.lit(1.0)})
+    rate, was = F.col("rate"), F.col("__was")
+    shift, momentum, last = 1.0, 0.0, math.inf
+    for t in range(steps + 1):
+        ahead = rate + momentum * (rate - was)
+        sums = [F.sum(weight * x * r) for r in (rate, ahead) for x in p]
+        row = np.array(state.agg(*sums, F.sum(weight * (rate - was) ** 2), F.sum(weight * (rate - 1) ** 2)).first(), float)
+        shares, gap = row[:k], row[k : 2 * k] - goal
+        own = shares - goal
+        if t == steps or (np.abs(own) <= TOLERANCE * np.maximum(goal, 1e-3)).all() or (t and row[-2] < STILL):
+            break
+        value = (scale * own * own).sum() / 2 + anchor * row[-1] / 2
+        if value > last:
+            shift, ahead, gap = 1.0, rate, own
+        last = value
+        slope = sum((x * float(g) for x, g in zip(p, scale * gap, strict=True)), anchor * (ahead - 1))
+        state = state.withColumn("__new", F.greatest(F.lit(0.0), ahead - slope / float(bound)))
+        state = state.withColumns({"__was": rate, "rate": F.col("__new")}).drop("__new")
+        after = (1 + math.sqrt(1 + 4 * shift * shift)) / 2
+        shift, momentum = after, (shift - 1) / after
+        if t % WRITTEN == WRITTEN - 1:  # keeps the plan short
+            state = staged(state, "rates")
     missed = {d: float(x) for d, x, w in zip(targets, shares, goal, strict=True) if abs(x - w) > 1e-3 * w}
     if missed and anchor < ANCHOR:
         warnings.warn(f"mixing: no rates reach all targets {targets}; shares that miss theirs: {missed}", stacklevel=2)
-    return table.withColumn("rate", rate(at))
+    return state.drop("__was")
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float]) -> DataFrame:
