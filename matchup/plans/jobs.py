@@ -77,12 +77,13 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feature_dataset(
-    spark: SparkSession, sf_dir: str, meetings: DataFrame | None = None, market: bool = True
+    spark: SparkSession, sf_dir: str, meetings: DataFrame | None = None, market: bool = True, season: int | None = None
 ) -> DataFrame:
     """One lazy plan from meetings to the wide feature rows.
 
     ``market=False`` skips the pair (market) lookup: the models exclude those
-    columns, so scoring does not pay for them.
+    columns, so scoring does not pay for them. ``season``: the meetings are all
+    of that season, so the history and the dimension read its orders only.
     """
     m = meetings if meetings is not None else st.meetings(spark, sf_dir)
     m = m.select(
@@ -92,7 +93,7 @@ def feature_dataset(
     sides = {"home": "home", "away": "away"}
     # One bounded aggregate of orders x customers feeds both the history and the
     # season dimension (one pass over orders instead of two).
-    facts, _ = physical.small_side(st.nation_period_facts(spark, sf_dir))
+    facts, _ = physical.small_side(st.nation_period_facts(spark, sf_dir, season))
     j = enrich.join_point_in_time(
         m, history_cumulative(spark, sf_dir, facts), "season", "period", sides, "entity", st.STAT_NAMES
     )
@@ -348,23 +349,37 @@ def open_slate(meetings: DataFrame) -> DataFrame:
     )
 
 
+def week_slate(spark: SparkSession, sf_dir: str, season: int, period: int) -> DataFrame:
+    """The open meetings of one period of one season whose sides are both of the top class.
+
+    The period is a range on the raw order date, so it reaches the orders scan
+    (row groups are skipped) instead of filtering after the join.
+    """
+    first = F.make_timestamp_ntz(F.lit(season), F.lit(period), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+    m = st.meetings(spark, sf_dir)
+    m = m.where((F.col("start_ts") >= first) & (F.col("start_ts") < F.add_months(first, 1).cast("timestamp_ntz")))
+    m = clean.slate(st.with_classes(spark, sf_dir, m), "period", period, "completed", ["home_class", "away_class"], st.TOP_CLASS)
+    return clean.exclude_classes(m, POLICY.class_columns, POLICY.class_patterns)
+
+
+def week_features(spark: SparkSession, sf_dir: str, season: int, period: int) -> DataFrame:
+    """Cleaned features of ``week_slate`` from that season's orders, with the start as ``kickoff_ts``."""
+    fd = feature_dataset(spark, sf_dir, week_slate(spark, sf_dir, season, period), market=False, season=season)
+    return clean_features(fd.withColumn("kickoff_ts", F.col("start_ts")))
+
+
 def score(spark: SparkSession, sf_dir: str, trained: Trained, week: tuple[int, int] | None = None) -> DataFrame:
     """The open slate, keyed by id, scored and rounded.
 
-    ``week=(season, period)`` scores one slate (the weekly run); otherwise
-    every meeting of ``open_slate`` is scored. Open meetings of an excluded class
+    ``week=(season, period)`` scores one ``week_slate`` (the weekly run);
+    otherwise every meeting of ``open_slate`` is scored. Open meetings of an excluded class
     (flag N) are not part of it: the models are trained without that class.
     """
-    m = st.meetings(spark, sf_dir)
     if week is not None:
-        # The slate's month as a range on the raw order date: it reaches the
-        # orders scan (row-group skipping) instead of filtering after the join.
-        first = F.make_timestamp_ntz(F.lit(week[0]), F.lit(week[1]), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
-        m = m.where((F.col("start_ts") >= first) & (F.col("start_ts") < F.add_months(first, 1).cast("timestamp_ntz")))
-    upcoming = open_slate(m)
-    feats = clean_features(
-        feature_dataset(spark, sf_dir, upcoming, market=False).withColumn("kickoff_ts", F.col("start_ts"))
-    )
+        feats = week_features(spark, sf_dir, *week)
+    else:
+        fd = feature_dataset(spark, sf_dir, open_slate(st.meetings(spark, sf_dir)), market=False)
+        feats = clean_features(fd.withColumn("kickoff_ts", F.col("start_ts")))
     ids = ["order_key", "line", "season", "home", "away", "kickoff_ts"]
     ctr, margin_ctr = trained.contract, trained.margin_contract
     # The margin model is aligned to its own contract, from the features as they came.

@@ -729,6 +729,18 @@ WHERE home_points IS NOT NULL AND away_points IS NOT NULL AND NOT (coalesce(flag
   AND season IS NOT NULL AND period IS NOT NULL AND home IS NOT NULL AND away IS NOT NULL
 """
 
+SQL["week_features"] = f"""
+WITH {MEETING}, {HIST_WIDE}, {HIST_CUM}, {NATION_DIM}, {FEATURE_DATASET}
+SELECT order_key, line, season, period, home, away, home_segment,
+       {', '.join(f'round(coalesce({c}, 0), 2) AS {c}' for c in _R2)},
+       CAST(home_has_stats AS INTEGER) AS home_has_stats, CAST(away_has_stats AS INTEGER) AS away_has_stats,
+       round(coalesce(home_talent, 0), 6) AS home_talent, round(coalesce(away_talent, 0), 6) AS away_talent,
+       round(coalesce(talent_differential, 0), 6) AS talent_differential
+FROM fd JOIN nation hn ON hn.n_nationkey = fd.home JOIN nation an ON an.n_nationkey = fd.away
+WHERE season = 2000 AND period = 6 AND completed IS DISTINCT FROM TRUE AND hn.n_regionkey <> 0 AND an.n_regionkey <> 0
+  AND NOT (coalesce(flag, '') ILIKE '%n%')
+"""
+
 SQL["stream_refresh"] = SQL["season_refresh"]
 
 SQL["pair_lookup_nested"] = f"""

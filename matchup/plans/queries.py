@@ -856,6 +856,13 @@ def training_matrix(spark, sf_dir):
     return _rounded(tm, tm.columns)
 
 
+@query
+def week_features(spark, sf_dir):
+    """Features of one week's slate (season 2000, week 6), both sides of the top class, from its season alone."""
+    wf = jobs.week_features(spark, sf_dir, 2000, 6)
+    return _rounded(wf, ["order_key", "line", "season", "home", "away", *jobs.FEATURES])
+
+
 def _trained(spark, sf_dir):
     return jobs.train(spark, sf_dir)
 

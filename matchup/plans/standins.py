@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchup.functions.scalar import round_half_away
+from matchup.plans.physical import bounded_broadcast
+from matchup.sources.catalog import date_range_predicate
 from matchup.sources.tables import table
 
 # Order-priority classes and the stat name each becomes.
@@ -79,13 +81,29 @@ def meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def nation_period_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Class of a side that a week's slate asks of both sides, and the region outside it.
+TOP_CLASS, OTHER_REGION = "top", 0
+
+
+def with_classes(spark: SparkSession, sf_dir: str, m: DataFrame) -> DataFrame:
+    """Adds home_class and away_class: ``TOP_CLASS`` for nations of every region but one."""
+    n = table(spark, sf_dir, "nation")
+    top = F.when(F.col("n_regionkey") != OTHER_REGION, TOP_CLASS).otherwise("other")
+    side = bounded_broadcast(n.select(F.col("n_nationkey").alias("__nation"), top.alias("__class")))
+    for role in ("home", "away"):
+        m = m.join(side, F.col(role) == F.col("__nation"), "left").withColumnRenamed("__class", f"{role}_class").drop("__nation")
+    return m
+
+
+def nation_period_facts(spark: SparkSession, sf_dir: str, season: int | None = None) -> DataFrame:
     """One pass over orders x customers at the finest grain both the history and
     the season dimension need: (entity, season, period, stat_name) with the
     revenue, first order key, order count and top customer balance. Its size is
     bounded by nations x seasons x 12 x 5, so one probed, cached copy can feed
-    both derived tables."""
+    both derived tables. ``season`` reads that season's orders only."""
     o = table(spark, sf_dir, "orders")
+    if season is not None:
+        o = o.where(date_range_predicate(o, "o_orderdate", season, season))
     c = table(spark, sf_dir, "customer")
     mapping = F.create_map(*[x for k, v in PRIORITY_STATS.items() for x in (F.lit(k), F.lit(v))])
     return (
