@@ -305,6 +305,19 @@ SELECT event_id, value AS o_value, CAST(json_extract_string(props, '$.k') AS INT
 FROM events
 """
 
+SQL["nested_flatten_mixed"] = """
+WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
+SELECT event_id,
+       CASE WHEN event_type = 'error' THEN k END AS o_err_code,
+       CASE WHEN event_type = 'error' THEN coalesce(value > 100, false) END AS o_err_fatal,
+       CASE WHEN event_type NOT IN ('error', 'view', 'click', 'signup') THEN k END AS o_k,
+       CASE WHEN event_type = 'view' THEN value END AS o_v,
+       CASE WHEN event_type = 'click' THEN user_id END AS o_who,
+       CASE WHEN event_type = 'view' THEN k END AS o_who_in_k,
+       CASE WHEN event_type = 'view' THEN user_id END AS o_who_uid
+FROM e
+"""
+
 SQL["nested_extract"] = """
 SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE), CAST(0 AS DOUBLE)) AS props_k,
        CAST(0 AS DOUBLE) AS props_missing, CAST(0 AS DOUBLE) AS props_a_b
@@ -660,6 +673,30 @@ WITH {GAMES}
 SELECT * FROM gm
 """
 
+SQL["week_documents"] = f"""
+WITH {GAMES},
+ranked AS (
+  SELECT *, (row_number() OVER (PARTITION BY season, week ORDER BY kickoff NULLS FIRST, confidence DESC, id) - 1) // 1000 AS page FROM gm
+),
+docs AS (
+  SELECT season, week, page, count(*) AS n_games,
+         string_agg(CAST(id AS VARCHAR), ',' ORDER BY kickoff NULLS FIRST, confidence DESC, id) AS ids,
+         string_agg(predicted_winner, ',' ORDER BY kickoff NULLS FIRST, confidence DESC, id) AS winners
+  FROM ranked GROUP BY ALL
+),
+weeks AS (SELECT season, CAST(unnest(generate_series(1, 12)) AS INTEGER) AS week FROM (SELECT DISTINCT season FROM gm))
+SELECT season, week, coalesce(page, 0) AS page, coalesce(n_games, 0) AS n_games, '2026-12-01T00:00:00+00:00' AS generated_at,
+       coalesce(ids, '') AS ids, coalesce(winners, '') AS winners
+FROM weeks LEFT JOIN docs USING (season, week)
+"""
+
+SQL["publish_widened"] = f"""
+WITH {GAMES}
+SELECT id, season, week, home_team, CASE WHEN season <= 1997 THEN confidence END AS confidence,
+       CASE WHEN season > 1997 THEN 'late' END AS note
+FROM gm
+"""
+
 SQL["publish_guard"] = f"""
 WITH {GAMES}
 SELECT season, week, CASE WHEN season <= 1997 THEN 'r1' ELSE 'r2' END AS run_id, count(*) AS n_games

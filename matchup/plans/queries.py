@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchup.operators import enrich, labels, reshape
+from matchup.operators import enrich, labels, records, reshape
 from matchup.plans import jobs
 from matchup.plans import standins as st
 
@@ -446,6 +446,27 @@ def nested_flatten(spark, sf_dir):
     return reshape.flatten_struct(_event_record(spark, sf_dir), "o", "o")
 
 
+def _mixed_records(spark, sf_dir):
+    """JSON text whose shape depends on the event: a key is a number here, an object or a string there."""
+    e = table(spark, sf_dir, "events")
+    k, value, user = F.get_json_object("props", "$.k"), F.col("value").cast("string"), F.col("user_id").cast("string")
+    fatal = F.when(F.col("value") > 100, "true").otherwise("false")
+    text = (
+        F.when(F.col("event_type") == "error", F.format_string('{"err": {"code": %s, "fatal": %s}, "v": "7"}', k, fatal))
+        .when(F.col("event_type") == "view", F.format_string('{"v": %s, "who": {"uid": %s, "in": {"k": %s}}}', value, user, k))
+        .when(F.col("event_type") == "click", F.format_string('{"who": %s, "tags": [1, 2], "v": null}', user))
+        .when(F.col("event_type") == "signup", "[1]")
+        .otherwise(F.col("props"))
+    )
+    return e.select("event_id", text.alias("o"))
+
+
+@query
+def nested_flatten_mixed(spark, sf_dir):
+    """Records of unknown shape: paths discovered in a first pass, read as columns in a second."""
+    return records.flatten_variant(_mixed_records(spark, sf_dir), "o", "o")
+
+
 @query
 def nested_extract(spark, sf_dir):
     """F16: fixed JSON paths with default 0 when the path is missing."""
@@ -820,6 +841,36 @@ def publish_guard(spark, sf_dir):
                        "run_id", F.col("n_games").cast("long").alias("n_games"))
 
 
+@query
+def week_documents(spark, sf_dir):
+    """Nested week documents of at most 1000 games a page, empty weeks included, written and read back."""
+    root = scratch_path(spark, "documents")
+    games = _games(spark, sf_dir)
+    weeks = games.select("season").distinct().select("season", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("week"))
+    order = [F.col("kickoff").asc_nulls_first(), F.col("confidence").desc(), F.col("id")]
+    docs = publish.paged_documents(games, GAME_COLS, order, weeks=weeks, page=1000)
+    publish.publish_documents(docs, root, {"generated_at": "2026-12-01T00:00:00+00:00"})
+    back = publish.read_documents(spark, root)
+    return back.select(
+        F.col("season").cast("int").alias("season"), F.col("week").cast("int").alias("week"), F.col("page").cast("long").alias("page"),
+        F.col("n_games").cast("long").alias("n_games"), "generated_at",
+        F.array_join(F.col("games.id").cast("array<string>"), ",").alias("ids"),
+        F.array_join(F.col("games.predicted_winner"), ",").alias("winners"),
+    )
+
+
+@query
+def publish_widened(spark, sf_dir):
+    """Runs with different columns share one merged schema; a narrower run keeps the columns of older weeks."""
+    root = scratch_path(spark, "widened")
+    games = _games(spark, sf_dir).select("id", "season", "week", "home_team", "confidence")
+    publish.publish(games.where(F.col("season") <= 1997), root, {"run_id": "r1"})
+    publish.publish(games.drop("confidence").withColumn("note", F.lit("late")), root, {"run_id": "r2"})
+    back = publish.read_games(spark, root)
+    keys = [F.col(c).cast(t).alias(c) for c, t in (("id", "long"), ("season", "int"), ("week", "int"))]
+    return back.select(*keys, "home_team", "confidence", "note")
+
+
 @query
 def list_weeks(spark, sf_dir):
     """Published weeks from the folder layout, ordered, with their position."""

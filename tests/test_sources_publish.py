@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from matchup.session import scratch_path
@@ -118,3 +119,32 @@ def test_list_weeks_ignores_non_numeric_folders(spark):
         f.write('{"n_games": 1, "run_id": "x"}\n')
     weeks = sorted((r["season"], r["week"]) for r in publish.list_weeks(spark, root).collect())
     assert weeks == [(2024, 1), (2024, 2), (2025, 1), (2026, 1)]
+
+
+def test_a_narrower_publish_keeps_the_old_columns(spark):
+    root = scratch_path(spark, "t-narrower")
+    old = spark.createDataFrame([(1, 2025, 1, 1.5, "x")], "id int, season int, week int, v double, old string")
+    assert publish.publish(old, root, {"run_id": "r1"}) == 1
+    new = spark.createDataFrame([(2**40, 2025, 2, 7)], "id long, season int, week int, v int")
+    assert publish.publish(new, root, {"run_id": "r2"}) == 1
+    assert sorted((r["id"], r["v"], r["old"]) for r in publish.read_games(spark, root).collect()) == [(1, 1.5, "x"), (2**40, 7.0, None)]
+    assert set(publish.load_week(spark, root, 1990, 1).columns) == {"id", "season", "week", "v", "old"}
+    clash = spark.createDataFrame([(3, 2025, 3, True)], "id int, season int, week int, v boolean")
+    with pytest.raises(ValueError, match="published column v"):
+        publish.publish(clash, root, {"run_id": "r3"})
+    assert publish.read_games(spark, root).count() == 2
+
+
+def test_documents_page_a_hot_week_and_hold_empty_weeks(spark):
+    root = scratch_path(spark, "t-documents")
+    games = spark.range(25).select(F.lit(2025).alias("season"), F.when(F.col("id") < 23, 1).otherwise(3).alias("week"), (25 - F.col("id")).alias("id"))
+    weeks = spark.createDataFrame([(2025, w) for w in (1, 2, 3)], "season int, week int")
+    publish.publish_documents(publish.paged_documents(games, ["id"], [F.col("id")], weeks, page=10), root, {"run_id": "r1"})
+    got = {(r["week"], r["page"]): (r["n_games"], [g["id"] for g in r["games"]], r["run_id"]) for r in publish.read_documents(spark, root).collect()}
+    ids = list(range(3, 26))
+    assert got == {(1, 0): (10, ids[:10], "r1"), (1, 1): (10, ids[10:20], "r1"), (1, 2): (3, ids[20:], "r1"), (2, 0): (0, [], "r1"), (3, 0): (2, [1, 2], "r1")}
+    fresh = publish.paged_documents(games.where("week = 3 AND id = 2"), ["id"], [F.col("id")], page=10)
+    publish.publish_documents(fresh, root, {"run_id": "r2"})
+    assert [(r["run_id"], r["n_games"]) for r in publish.read_documents(spark, root, 2025, 3).collect()] == [("r2", 1)]
+    assert publish.read_documents(spark, root, 2025, 1).count() == 3
+    assert publish.read_documents(spark, scratch_path(spark, "t-none")).count() == 0
