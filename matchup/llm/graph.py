@@ -6,18 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 from matchup.llm.common import staged
 
 #: Rounds in which each group compares its members with so many of them only.
 HUBS = (1, 16)
-#: Rows of (long, long) that may be broadcast: 16 MB, checked by a count first.
-BROADCAST_ROWS = 1_000_000
+#: Bytes that may be broadcast, as ``measured`` counts them first.
+BROADCAST_BYTES = 32_000_000
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` (already staged) marked for broadcast if it has at most ``rows`` rows; else joins shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
+def measured(df: DataFrame) -> Column:
+    """Bytes of a row of ``df``: 16, and 8 a fixed-width field, the length of a text, the elements of an array."""
+
+    def width(c: Column, kind: DataType) -> Column:
+        if isinstance(kind, ArrayType):
+            inner = kind.elementType
+            return 16 + F.coalesce(F.size(c), F.lit(0)) * (8 * len(inner.fields) + 8 if isinstance(inner, StructType) else 8)
+        if isinstance(kind, StructType):
+            return sum((width(c[f.name], f.dataType) for f in kind.fields), F.lit(16))
+        return 16 + F.coalesce(F.octet_length(c), F.lit(0)) if isinstance(kind, (StringType, BinaryType)) else F.lit(8)
+
+    return sum((width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16)).cast("long")
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` (already staged) marked for broadcast if its rows take at most ``limit`` bytes; else joins shuffle."""
+    return F.broadcast(df) if (df.agg(F.sum(measured(df)).alias("size")).first()["size"] or 0) <= limit else df
 
 
 def scattered(edges: DataFrame) -> bool:
@@ -46,14 +61,17 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)
 
 
-def shared(members: DataFrame) -> DataFrame:
+def shared(members: DataFrame, probe: bool = True) -> DataFrame:
     """The distinct rows of ``members`` (group, node, ...) whose group has other nodes too, staged.
 
-    ``members`` may repeat rows; it is read twice.
+    ``members`` may repeat rows; it is read twice. Without ``probe`` the groups
+    in question are never broadcast: for members so many that no size of
+    theirs stays below the bound for long.
     """
     ends = members.groupBy("group").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-    many = staged(ends.where("lo <> hi").select("group"), "many")
-    return staged(members.join(small(many), "group", "left_semi").dropDuplicates(["group", "node"]), "groups")
+    many = ends.where("lo <> hi").select("group")
+    many = small(staged(many, "many")) if probe else many
+    return staged(members.join(many, "group", "left_semi").dropDuplicates(["group", "node"]), "groups")
 
 
 def live(groups: DataFrame, feasible: Callable[[str, str], Column]) -> DataFrame:

@@ -12,8 +12,12 @@ and places must leave room for the overlap (length and positional filters),
 and the parities of the shingles that fall into each of 512 cells must not
 differ in more cells than shingles may (``shingles.parities``).
 None of these filters loses a link.
-Overlaps: the global order is cut into ``FRAGMENTS`` pieces, the overlap of a
-candidate pair is counted in each piece on its own and summed per pair.
+Overlaps: the global order is cut into ``FRAGMENTS`` pieces, the first
+``RARE`` of them by hash where all rare shingles lie, the others at equal
+numbers of frequent ones. Each piece counts the partial overlaps of the
+candidate pairs on its own, and they are summed per pair: first over the rare
+pieces, and only a pair that can still reach the similarity with all that its
+other pieces may add is counted there too.
 Components come from ``graph.linked``, which spares pairs that are already in
 one component, so a large group of copies costs as many pairs as members.
 
@@ -41,7 +45,7 @@ from matchup.llm.common import read, staged
 from matchup.llm.graph import involved, linked, live, shared, small
 from matchup.llm.shingles import CELL_COLUMNS, mixed, parities, shingle_sets, similar_enough
 
-WORDS, PERCENT, FRAGMENTS = 4, 85, 8
+WORDS, PERCENT, FRAGMENTS, RARE = 4, 85, 8, 4
 #: A shingle in this share of the documents of a task's input is counted as frequent.
 SHARE = 1 / 4000
 #: Bound on the table of frequent shingles (16 bytes each) that tasks hold; rarer ones
@@ -133,36 +137,61 @@ def sketched(keyed: DataFrame, words: int, percent: int, heavy: tuple[np.ndarray
     return keyed.mapInArrow(scan, "key long, doc_id long, node long, n int, prefix array<long>" + "".join(f", {c} long" for c in CELL_COLUMNS))
 
 
-def fragments(texts: DataFrame, words: int) -> DataFrame:
-    """(node, n, fragment, grams) of the sets of ``texts`` (node, text): cuts of the hash order."""
+def pieces(grams: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The fragment of each of ``grams`` (sorted) in the global order, from 0, rare ones first."""
+    rare = np.minimum(grams // np.uint64((1 << 64) // RARE), np.uint64(RARE - 1)).astype(np.int64)
+    if not len(keys) or not len(grams):
+        return rare
+    rank = np.empty(len(keys), np.int64)
+    rank[np.lexsort((keys, counts))] = np.arange(len(keys))
+    at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
+    return np.where(keys[at] == grams, RARE + rank[at] * (FRAGMENTS - RARE) // len(keys), rare)
+
+
+def fragments(texts: DataFrame, words: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(node, n, fragment, later, grams) of the sets of ``texts`` (node, text); later: its shingles in the frequent fragments."""
+    keys, counts = heavy
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = (np.arange(1, FRAGMENTS, dtype=np.uint64)) * np.uint64((1 << 64) // FRAGMENTS)
         for batch in batches:
-            nodes, numbers, sizes, parts = [], [], [], []
+            nodes, numbers, sizes, later, parts = [], [], [], [], []
             for node, grams in zip(batch.column("node").to_pylist(), shingle_sets(batch.column("text"), words), strict=True):
-                for f, part in enumerate(np.split(grams, np.searchsorted(grams, edges))):
+                piece = pieces(grams, keys, counts)
+                order = np.argsort(piece, kind="stable")
+                cuts = np.searchsorted(piece[order], np.arange(1, FRAGMENTS))
+                for f, part in enumerate(np.split(grams[order], cuts)):
                     nodes.append(node)
                     numbers.append(f)
                     sizes.append(len(grams))
+                    later.append(len(grams) - int(cuts[RARE - 1]))
                     parts.append(part)
             ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
             flat = np.concatenate(parts) if parts else np.empty(0, np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(numbers, pa.int32()), pa.ListArray.from_arrays(ends, flat.view(np.int64))],
-                ["node", "n", "fragment", "grams"],
+                [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(numbers, pa.int32()), pa.array(later, pa.int32()), pa.ListArray.from_arrays(ends, flat.view(np.int64))],
+                ["node", "n", "fragment", "later", "grams"],
             )
 
-    return texts.mapInArrow(scan, "node long, n int, fragment int, grams array<long>")
+    return texts.mapInArrow(scan, "node long, n int, fragment int, later int, grams array<long>")
+
+
+def partial(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """(a, b, na, nb, la, lb, o) of the pairs (a, b) in each fragment of ``parts``: o shingles in common."""
+    a = parts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("later").alias("la"), "fragment", F.col("grams").alias("ga"))
+    b = parts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("later").alias("lb"), "fragment", F.col("grams").alias("gb"))
+    return pairs.join(a, "a").join(b, ["b", "fragment"]).select("a", "b", "na", "nb", "la", "lb", F.size(F.array_intersect("ga", "gb")).alias("o"))
 
 
 def overlapping(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose partial overlaps, summed over the fragments, reach the similarity."""
-    a = parts.select(F.col("node").alias("a"), F.col("n").alias("na"), "fragment", F.col("grams").alias("ga"))
-    b = parts.select(F.col("node").alias("b"), F.col("n").alias("nb"), "fragment", F.col("grams").alias("gb"))
-    partial = pairs.join(a, "a").join(b, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("o"))
-    total = partial.groupBy("a", "b").agg(F.sum("o").alias("o"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    return total.where(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o")))
+    sizes = [F.first(c).alias(c) for c in ("na", "nb", "la", "lb")]
+    rare = partial(pairs, parts.where(F.col("fragment") < RARE)).groupBy("a", "b").agg(*sizes, F.sum("o").alias("o"))
+    reach = F.col("o") + F.least("la", "lb")
+    open_pairs = staged(rare.where((100 + percent) * reach >= percent * (F.col("na") + F.col("nb"))), "open")
+    more = partial(open_pairs.where("la > 0 AND lb > 0").select("a", "b"), parts.where((F.col("fragment") >= RARE) & (F.size("grams") > 0)))
+    total = open_pairs.select("a", "b", "na", "nb", "o").unionAll(more.select("a", "b", "na", "nb", "o"))
+    total = total.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("o").alias("o"))
+    return total.where((100 + percent) * F.col("o") >= percent * (F.col("na") + F.col("nb")))
 
 
 def feasible(percent: int):
@@ -178,28 +207,31 @@ def feasible(percent: int):
 def components(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(key, doc_id, n, c) per row of ``docs`` (doc_id, text): its number of shingles and component; key = xxhash64(doc_id, text)."""
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = staged(sketched(keyed, words, percent, frequent(docs, words)), "sketches")
+    heavy = frequent(docs, words)
+    rows = staged(sketched(keyed, words, percent, heavy), "sketches")
     nodes = rows.where("n > 0").groupBy("node").agg(F.min("key").alias("key"), *(F.first(c).alias(c) for c in ("n", "prefix", *CELL_COLUMNS)))
-    groups = shared(nodes.select("node", "n", *CELL_COLUMNS, F.posexplode("prefix").alias("place", "group")))
-    groups = live(groups, feasible(percent))
+    nodes = staged(nodes, "nodes")
+    groups = shared(nodes.select("node", F.posexplode("prefix").alias("place", "group")), probe=False)
+    met = staged(nodes.join(small(staged(groups.select("node").distinct(), "met")), "node", "left_semi").select("node", "n", *CELL_COLUMNS), "met")
+    groups = live(groups.join(small(met), "node"), feasible(percent))
     wanted = staged(groups.select("node").distinct().join(nodes.select("node", "key"), "node"), "wanted")
     texts = keyed.select("key", "text").join(small(wanted), "key")
     if not rows.select("key").join(small(wanted), "key").groupBy("key").count().where("count > 1").isEmpty():
         texts = texts.dropDuplicates(["node"])  # repeated rows
-    parts = staged(fragments(texts.select("node", "text"), words), "fragments")
+    parts = staged(fragments(texts.select("node", "text"), words, heavy), "fragments")
     comp = linked(groups, lambda pairs: overlapping(pairs, involved(parts, pairs), percent), feasible(percent), central="place")
     out = rows.select("key", "doc_id", "node", "n")
-    out = out.withColumn("c", F.col("node")) if comp is None else out.join(comp, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    out = out.withColumn("c", F.col("node")) if comp is None else out.join(small(comp), "node", "left").withColumn("c", F.coalesce("component", "node"))
     return out.select("key", "doc_id", "n", "c")
 
 
 def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(key, doc_id, n_shingles, component_id) per row of ``docs`` (doc_id, text); key = xxhash64(doc_id, text)."""
-    out = components(docs, words, percent)
-    ids = out.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"))
-    return out.join(ids, "c", "left").select(
-        "key", "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")
-    )
+    out = staged(components(docs, words, percent), "classes")
+    ids = out.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
+    ids = small(staged(ids.where("rows > 1").select("c", "least"), "class-ids"))  # a class of one row needs no join
+    least = F.when((F.col("n") > 0) & F.col("least").isNotNull(), F.col("least")).otherwise(F.col("doc_id"))
+    return out.join(ids, "c", "left").select("key", "doc_id", F.col("n").cast("long").alias("n_shingles"), least.alias("component_id"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
