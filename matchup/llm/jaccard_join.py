@@ -11,7 +11,8 @@ n - ceil(t n) + 1 of each (prefix filter); at the first one they share, sizes
 and places must leave room for the overlap (length and positional filters),
 and the parities of the shingles that fall into each of 512 cells must not
 differ in more cells than shingles may (``shingles.parities``).
-None of these filters loses a link.
+Of shingles with the same sets only the first in the order makes pairs. None
+of these filters loses a link.
 Overlaps: the global order is cut into ``FRAGMENTS`` pieces, the first
 ``RARE`` of them by hash where all rare shingles lie, the others at equal
 numbers of frequent ones. Each piece counts the partial overlaps of the
@@ -42,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchup.llm.common import read, staged
-from matchup.llm.graph import involved, linked, live, shared, small
+from matchup.llm.graph import involved, linked, live, small
 from matchup.llm.shingles import CELL_COLUMNS, mixed, parities, shingle_sets, similar_enough
 
 WORDS, PERCENT, FRAGMENTS, RARE = 4, 85, 8, 4
@@ -137,26 +138,26 @@ def sketched(keyed: DataFrame, words: int, percent: int, heavy: tuple[np.ndarray
     return keyed.mapInArrow(scan, "key long, doc_id long, node long, n int, prefix array<long>" + "".join(f", {c} long" for c in CELL_COLUMNS))
 
 
-def pieces(grams: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The fragment of each of ``grams`` (sorted) in the global order, from 0, rare ones first."""
+def pieces(grams: np.ndarray, keys: np.ndarray, piece: np.ndarray) -> np.ndarray:
+    """The fragment of each of ``grams`` (sorted) in the global order, from 0; ``piece``: that of the frequent ``keys``."""
     rare = np.minimum(grams // np.uint64((1 << 64) // RARE), np.uint64(RARE - 1)).astype(np.int64)
     if not len(keys) or not len(grams):
         return rare
-    rank = np.empty(len(keys), np.int64)
-    rank[np.lexsort((keys, counts))] = np.arange(len(keys))
     at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
-    return np.where(keys[at] == grams, RARE + rank[at] * (FRAGMENTS - RARE) // len(keys), rare)
+    return np.where(keys[at] == grams, piece[at], rare)
 
 
 def fragments(texts: DataFrame, words: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(node, n, fragment, later, grams) of the sets of ``texts`` (node, text); later: its shingles in the frequent fragments."""
     keys, counts = heavy
+    cut = np.empty(len(keys), np.int64)
+    cut[np.lexsort((keys, counts))] = RARE + np.arange(len(keys)) * (FRAGMENTS - RARE) // max(1, len(keys))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, numbers, sizes, later, parts = [], [], [], [], []
             for node, grams in zip(batch.column("node").to_pylist(), shingle_sets(batch.column("text"), words), strict=True):
-                piece = pieces(grams, keys, counts)
+                piece = pieces(grams, keys, cut)
                 order = np.argsort(piece, kind="stable")
                 cuts = np.searchsorted(piece[order], np.arange(1, FRAGMENTS))
                 for f, part in enumerate(np.split(grams[order], cuts)):
@@ -204,6 +205,21 @@ def feasible(percent: int):
     return test
 
 
+def first_shared(members: DataFrame) -> DataFrame:
+    """The rows of ``members`` (group, node, place), distinct, of groups with several nodes, staged; of groups with the same nodes the first.
+
+    All sets stand in one order, so the first of those groups has the least
+    place in each of them: what two sets share first is in it. Equal groups
+    are known by number, ends and sum of the node hashes.
+    """
+    same = [F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("nodes")]
+    mixed_node = F.xxhash64("node")  # in halves: no sum overflows
+    sums = [F.sum(F.shiftright(mixed_node, 32)).alias("high"), F.sum(mixed_node.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low")]
+    ends = members.groupBy("group").agg(*same, *sums, F.sum("place").alias("places")).where("lo <> hi")
+    first = ends.groupBy("lo", "hi", "nodes", "high", "low").agg(F.min_by("group", F.col("places")).alias("group"))
+    return staged(members.join(staged(first.select("group"), "first"), "group", "left_semi"), "groups")
+
+
 def components(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(key, doc_id, n, c) per row of ``docs`` (doc_id, text): its number of shingles and component; key = xxhash64(doc_id, text)."""
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -211,7 +227,7 @@ def components(docs: DataFrame, words: int, percent: int) -> DataFrame:
     rows = staged(sketched(keyed, words, percent, heavy), "sketches")
     nodes = rows.where("n > 0").groupBy("node").agg(F.min("key").alias("key"), *(F.first(c).alias(c) for c in ("n", "prefix", *CELL_COLUMNS)))
     nodes = staged(nodes, "nodes")
-    groups = shared(nodes.select("node", F.posexplode("prefix").alias("place", "group")), probe=False)
+    groups = first_shared(nodes.select("node", F.posexplode("prefix").alias("place", "group")))
     met = staged(nodes.join(small(staged(groups.select("node").distinct(), "met")), "node", "left_semi").select("node", "n", *CELL_COLUMNS), "met")
     groups = live(groups.join(small(met), "node"), feasible(percent))
     wanted = staged(groups.select("node").distinct().join(nodes.select("node", "key"), "node"), "wanted")
