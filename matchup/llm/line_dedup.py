@@ -108,40 +108,90 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(scan, "key long, doc_id long, line int, node long, bands array<long>")
 
 
+def runs(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """(from, to) of consecutive items of at most ``CHUNK`` in sum, a larger one on its own."""
+    at = 0
+    while at < len(sizes):
+        end, size = at, 0
+        while end < len(sizes) and (end == at or size + sizes[end] <= CHUNK):
+            size += sizes[end]
+            end += 1
+        yield at, end
+        at = end
+
+
+def code_points(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points + 1 of ``lines``, short ones filled with 0 to ``SHINGLE``, joined; and the offsets of the lines."""
+    sizes = np.array([max(SHINGLE, len(x)) for x in lines], np.int64)
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    raw = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4")
+    own = np.array([len(x) for x in lines], np.int64)
+    codes = np.zeros(at[-1], np.uint64)
+    codes[np.arange(len(raw)) + np.repeat(at[:-1] - np.concatenate([[0], np.cumsum(own)[:-1]]), own)] = raw + np.uint64(1)
+    return codes, at
+
+
 def line_sketches(texts: DataFrame) -> DataFrame:
     """(node, n, parities) of the lines of ``texts`` (node, text), from distinct 64-bit hashes of their shingles."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = []
-            for x in batch.column("text").to_pylist():
-                codes = np.frombuffer((x + "\0" * (SHINGLE - len(x))).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-                h = mixed(codes + np.uint64(1))
+            lines = batch.column("text").to_pylist()
+            sizes, cells = [], []
+            for start, end in runs([len(x) for x in lines]):
+                h, at = code_points(lines[start:end])
+                h = mixed(h)
                 for k in (1, 2, 4):  # SHINGLE = 8: each step doubles the length hashed
                     h = mixed(h[:-k] * np.uint64(0x9E3779B97F4A7C15 + 2 * k) + h[k:])
-                sets.append(np.unique(h))
-            sizes = pa.array([len(g) for g in sets], pa.int32())
-            cells = np.array([parities(g) for g in sets], np.int64).reshape(-1, len(CELL_COLUMNS))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), sizes, *map(pa.array, cells.T)], ["node", "n", *CELL_COLUMNS]
-            )
+                for a, b in zip(at[:-1], at[1:], strict=True):
+                    grams = distinct(h[a : b - SHINGLE + 1])
+                    sizes.append(len(grams))
+                    cells.append(parities(grams))
+            flat = np.array(cells, np.int64).reshape(-1, len(CELL_COLUMNS))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sizes, pa.int32()), *map(pa.array, flat.T)], ["node", "n", *CELL_COLUMNS])
 
     return texts.mapInArrow(scan, "node long, n int" + "".join(f", {c} long" for c in CELL_COLUMNS))
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    v = np.sort(values)
+    return v[np.concatenate([[True], v[1:] != v[:-1]])]
+
+
+def exact_shingles(lines: list[str]) -> list[np.ndarray]:
+    """Per line its distinct shingles as numbers; equal numbers are equal shingles within one call, no hash is taken."""
+    codes, at = code_points(lines)
+    alphabet, v = np.unique(codes, return_inverse=True)
+    v = v.astype(np.uint64)
+    if len(alphabet) <= 256:
+        for k in (1, 2, 4):
+            v = (v[:-k] << np.uint64(8 * k)) | v[k:]
+    else:
+        for k in (1, 2, 4):
+            v = np.unique((v[:-k] << np.uint64(32)) | v[k:], return_inverse=True)[1].astype(np.uint64)
+    return [distinct(v[a : b - SHINGLE + 1]) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def similar_lines(a: list[str], b: list[str]) -> np.ndarray:
+    """Whether the shingle sets of a[i] and b[i] have the Jaccard similarity."""
+    out = np.zeros(len(a), bool)
+    for start, end in runs([len(x) + len(y) for x, y in zip(a, b, strict=True)]):
+        lines = list(dict.fromkeys(a[start:end] + b[start:end]))  # a hub's line once
+        sets = dict(zip(lines, exact_shingles(lines), strict=True))
+        for i in range(start, end):
+            s, t = sets[a[i]], sets[b[i]]
+            v = np.sort(np.concatenate([s, t]))
+            both = int(np.count_nonzero(v[1:] == v[:-1]))
+            out[i] = 100 * both >= PERCENT * (len(v) - both)
+    return out
+
+
 def similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """The pairs (a, b) whose lines' shingle sets have the Jaccard similarity; ``lines``: (node, text)."""
 
     @F.pandas_udf("boolean")
     def near(a: pd.Series, b: pd.Series) -> pd.Series:
-        def shingles(x: str) -> set:
-            return {x[i : i + SHINGLE] for i in range(max(1, len(x) - SHINGLE + 1))}
-
-        def one(s: set, t: set) -> bool:
-            both = len(s & t)
-            return 100 * both >= PERCENT * (len(s) + len(t) - both)
-
-        return pd.Series([one(shingles(x), shingles(y)) for x, y in zip(a, b, strict=True)], dtype=bool)
+        return pd.Series(similar_lines(a.tolist(), b.tolist()), dtype=bool)
 
     a = lines.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     b = lines.select(F.col("node").alias("b"), F.col("text").alias("tb"))
@@ -172,9 +222,10 @@ def dropped(keyed: DataFrame) -> DataFrame:
     if comp is None:
         affected = affected.where("n > 1").select("node", F.col("first").alias("keep"))
     else:
-        affected = affected.join(comp, "node", "left").where("n > 1 OR component IS NOT NULL").withColumn("c", F.coalesce("component", "node"))
-        keep = affected.groupBy("c").agg(F.min("first").alias("keep"))
-        affected = affected.join(keep, "c").select("node", "keep")
+        affected = affected.join(small(comp), "node", "left").where("n > 1 OR component IS NOT NULL").withColumn("c", F.coalesce("component", "node"))
+        affected = staged(affected, "affected")
+        keep = staged(affected.groupBy("c").agg(F.min("first").alias("keep")), "keep")
+        affected = affected.join(small(keep), "c").select("node", "keep")
     gone = occ.select("node", "key", "doc_id", "line").join(affected, "node").where(~place.eqNullSafe(F.col("keep")))
     return staged(gone.groupBy("key").agg(F.collect_set("line").alias("drop")), "drops")  # a document's own lines
 

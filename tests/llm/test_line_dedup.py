@@ -88,3 +88,18 @@ def test_components_and_hub_rounds(spark):
     comp = graph.linked(groups, lambda p: p.where("b - a = 1 AND a % 10 <> 9"))
     assert {r.node: r.component for r in comp.collect()} == {i: i // 10 * 10 for i in range(42)}
     assert graph.linked(groups, lambda p: p.where("false")) is None
+
+
+def test_exact_comparison_of_lines():
+    rng = random.Random(5)
+    wide = [chr(c) for c in range(0x4E00, 0x4E00 + 400)]
+
+    def shingles(x):
+        return {x[i : i + m.SHINGLE] for i in range(max(1, len(x) - m.SHINGLE + 1))}
+
+    for alphabet in ("ab\0", "abcdefgh é😀", wide):
+        a = ["".join(rng.choices(alphabet, k=rng.choice([0, 1, 3, 7, 8, 9, 40, 150]))) for _ in range(200)]
+        b = [x if k % 3 == 0 else x[: len(x) // 2] + "b" + x[len(x) // 2 + 1 :] if k % 3 == 1 else x + "\0" for k, x in enumerate(a)]
+        want = [100 * len(shingles(x) & shingles(y)) >= m.PERCENT * len(shingles(x) | shingles(y)) for x, y in zip(a, b)]
+        assert m.similar_lines(a, b).tolist() == want and any(want) and not all(want)
+    assert m.similar_lines([], []).tolist() == []
