@@ -11,8 +11,10 @@ n - ceil(t n) + 1 of each (prefix filter); at the first one they share, sizes
 and places must leave room for the overlap (length and positional filters),
 and the parities of the shingles that fall into each of 512 cells must not
 differ in more cells than shingles may (``shingles.parities``).
-Of shingles with the same sets only the first in the order makes pairs. None
-of these filters loses a link.
+Of shingles with the same sets only the first in the order makes pairs. Pairs
+are then held against parities of as many cells as the sets have members, so
+the sets themselves are compared of little more than the true links. None of
+these filters loses a link.
 Overlaps: the global order is cut into ``FRAGMENTS`` pieces, the first
 ``RARE`` of them by hash where all rare shingles lie, the others at equal
 numbers of frequent ones. Each piece counts the partial overlaps of the
@@ -44,7 +46,7 @@ from pyspark.sql import functions as F
 
 from matchup.llm.common import read, staged
 from matchup.llm.graph import involved, linked, live, small
-from matchup.llm.shingles import CELL_COLUMNS, mixed, parities, shingle_sets, similar_enough
+from matchup.llm.shingles import CELL_COLUMNS, apart, mixed, parities, shingle_sets, similar_enough, wide_parities
 
 WORDS, PERCENT, FRAGMENTS, RARE = 4, 85, 8, 4
 #: A shingle in this share of the documents of a task's input is counted as frequent.
@@ -148,14 +150,17 @@ def pieces(grams: np.ndarray, keys: np.ndarray, piece: np.ndarray) -> np.ndarray
 
 
 def fragments(texts: DataFrame, words: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(node, n, fragment, later, grams) of the sets of ``texts`` (node, text); later: its shingles in the frequent fragments."""
+    """(node, n, fragment, later, grams, bits) of the sets of ``texts`` (node, text); later: its shingles in the frequent fragments.
+
+    ``bits``: the set's wide parities in fragment 0, else null.
+    """
     keys, counts = heavy
     cut = np.empty(len(keys), np.int64)
     cut[np.lexsort((keys, counts))] = RARE + np.arange(len(keys)) * (FRAGMENTS - RARE) // max(1, len(keys))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, numbers, sizes, later, parts = [], [], [], [], []
+            nodes, numbers, sizes, later, parts, bits = [], [], [], [], [], []
             for node, grams in zip(batch.column("node").to_pylist(), shingle_sets(batch.column("text"), words), strict=True):
                 piece = pieces(grams, keys, cut)
                 order = np.argsort(piece, kind="stable")
@@ -166,25 +171,36 @@ def fragments(texts: DataFrame, words: int, heavy: tuple[np.ndarray, np.ndarray]
                     sizes.append(len(grams))
                     later.append(len(grams) - int(cuts[RARE - 1]))
                     parts.append(part)
+                    bits.append(None if f else wide_parities(grams))
             ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
             flat = np.concatenate(parts) if parts else np.empty(0, np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(numbers, pa.int32()), pa.array(later, pa.int32()), pa.ListArray.from_arrays(ends, flat.view(np.int64))],
-                ["node", "n", "fragment", "later", "grams"],
+                [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(numbers, pa.int32()), pa.array(later, pa.int32()), pa.ListArray.from_arrays(ends, flat.view(np.int64)), pa.array(bits, pa.list_(pa.int64()))],
+                ["node", "n", "fragment", "later", "grams", "bits"],
             )
 
-    return texts.mapInArrow(scan, "node long, n int, fragment int, later int, grams array<long>")
+    return texts.mapInArrow(scan, "node long, n int, fragment int, later int, grams array<long>, bits array<long>")
+
+
+def near(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs`` (a, b) whose wide parities leave the similarity possible, staged."""
+    own = involved(parts.where("fragment = 0").select("node", "n", "bits"), pairs)
+    a, b = (own.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+    enough = (100 + percent) * apart("bits_a", "bits_b") <= (100 - percent) * (F.col("na") + F.col("nb"))
+    return staged(pairs.join(a, "a").join(b, "b").where(enough).select("a", "b"), "near-pairs")
 
 
 def partial(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """(a, b, na, nb, la, lb, o) of the pairs (a, b) in each fragment of ``parts``: o shingles in common."""
+    """(a, b, na, nb, la, lb, o) of the pairs (a, b), staged, in each fragment of ``parts``: o shingles in common."""
     a = parts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("later").alias("la"), "fragment", F.col("grams").alias("ga"))
     b = parts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("later").alias("lb"), "fragment", F.col("grams").alias("gb"))
-    return pairs.join(a, "a").join(b, ["b", "fragment"]).select("a", "b", "na", "nb", "la", "lb", F.size(F.array_intersect("ga", "gb")).alias("o"))
+    return small(pairs).join(a, "a").join(b, ["b", "fragment"]).select("a", "b", "na", "nb", "la", "lb", F.size(F.array_intersect("ga", "gb")).alias("o"))
 
 
 def overlapping(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose partial overlaps, summed over the fragments, reach the similarity."""
+    """The pairs (a, b), staged, whose partial overlaps, summed over the fragments, reach the similarity."""
+    pairs = near(pairs, parts, percent)
+    parts = involved(parts.drop("bits"), pairs)
     sizes = [F.first(c).alias(c) for c in ("na", "nb", "la", "lb")]
     rare = partial(pairs, parts.where(F.col("fragment") < RARE)).groupBy("a", "b").agg(*sizes, F.sum("o").alias("o"))
     reach = F.col("o") + F.least("la", "lb")
@@ -210,14 +226,17 @@ def first_shared(members: DataFrame) -> DataFrame:
 
     All sets stand in one order, so the first of those groups has the least
     place in each of them: what two sets share first is in it. Equal groups
-    are known by number, ends and sum of the node hashes.
+    are known by number, ends and sum of the node hashes. Most shingles are of
+    one node: they go by their counts alone, before more of a row is shuffled.
     """
+    many = staged(members.groupBy("group").count().where("count > 1").select("group"), "many")
+    members = staged(members.join(small(many), "group", "left_semi"), "several")
     same = [F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("nodes")]
     mixed_node = F.xxhash64("node")  # in halves: no sum overflows
     sums = [F.sum(F.shiftright(mixed_node, 32)).alias("high"), F.sum(mixed_node.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low")]
     ends = members.groupBy("group").agg(*same, *sums, F.sum("place").alias("places")).where("lo <> hi")
     first = ends.groupBy("lo", "hi", "nodes", "high", "low").agg(F.min_by("group", F.col("places")).alias("group"))
-    return staged(members.join(staged(first.select("group"), "first"), "group", "left_semi"), "groups")
+    return staged(members.join(small(staged(first.select("group"), "first")), "group", "left_semi"), "groups")
 
 
 def components(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -225,8 +244,11 @@ def components(docs: DataFrame, words: int, percent: int) -> DataFrame:
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     heavy = frequent(docs, words)
     rows = staged(sketched(keyed, words, percent, heavy), "sketches")
-    nodes = rows.where("n > 0").groupBy("node").agg(F.min("key").alias("key"), *(F.first(c).alias(c) for c in ("n", "prefix", *CELL_COLUMNS)))
-    nodes = staged(nodes, "nodes")
+    filled, columns = rows.where("n > 0"), ("n", "prefix", *CELL_COLUMNS)
+    again = small(staged(filled.groupBy("node").count().where("count > 1").select("node"), "again"))
+    once = filled.join(again, "node", "left_anti").select("node", "key", *columns)
+    nodes = filled.join(again, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"), *(F.first(c).alias(c) for c in columns))
+    nodes = staged(nodes.unionAll(once), "nodes")
     groups = first_shared(nodes.select("node", F.posexplode("prefix").alias("place", "group")))
     met = staged(nodes.join(small(staged(groups.select("node").distinct(), "met")), "node", "left_semi").select("node", "n", *CELL_COLUMNS), "met")
     groups = live(groups.join(small(met), "node"), feasible(percent))
@@ -235,7 +257,7 @@ def components(docs: DataFrame, words: int, percent: int) -> DataFrame:
     if not rows.select("key").join(small(wanted), "key").groupBy("key").count().where("count > 1").isEmpty():
         texts = texts.dropDuplicates(["node"])  # repeated rows
     parts = staged(fragments(texts.select("node", "text"), words, heavy), "fragments")
-    comp = linked(groups, lambda pairs: overlapping(pairs, involved(parts, pairs), percent), feasible(percent), central="place")
+    comp = linked(groups, lambda pairs: overlapping(pairs, parts, percent), feasible(percent), central="place")
     out = rows.select("key", "doc_id", "node", "n")
     out = out.withColumn("c", F.col("node")) if comp is None else out.join(small(comp), "node", "left").withColumn("c", F.coalesce("component", "node"))
     return out.select("key", "doc_id", "n", "c")

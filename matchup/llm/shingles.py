@@ -119,3 +119,20 @@ def similar_enough(x: str, y: str, percent: int) -> Column:
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
     apart = sum((F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in CELL_COLUMNS), F.lit(0))
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * apart <= (100 - percent) * (n + m))
+
+
+def wide_parities(grams: np.ndarray) -> np.ndarray:
+    """int64 [cells / 64]: as ``parities``, by the last bits, of as many cells as members at least (a power of two).
+
+    Long texts, whose sketches of ``CELLS`` cells are all alike, stay apart; half the cells are the others xor-ed in halves.
+    """
+    cells = 1 << (max(CELLS, len(grams)) - 1).bit_length()
+    odd = np.bincount((grams & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def apart(x: str, y: str) -> Column:
+    """Cells in which two columns of ``wide_parities`` differ, the longer one folded to the cells of the other."""
+    fewer = f"least(size({x}), size({y}))"
+    halved = "CASE WHEN size({0}) > {1} THEN aggregate(sequence(1, cast(size({0}) div {1} - 1 AS int)), slice({0}, 1, {1}), (f, i) -> zip_with(f, slice({0}, i * {1} + 1, {1}), (p, q) -> p ^ q)) ELSE {0} END"
+    return F.expr(f"aggregate(zip_with({halved.format(x, fewer)}, {halved.format(y, fewer)}, (p, q) -> bit_count(p ^ q)), 0, (t, n) -> t + n)")

@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 
 from matchup.llm import jaccard_join as m
-from matchup.llm.shingles import shingle_sets
+from matchup.llm.shingles import apart, shingle_sets, wide_parities
 
 W = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -87,3 +87,30 @@ def test_hashes_follow_the_words():
     assert [len(s) for s in sets] == [2, 0, 0, 3, 2, 1, 1]
     assert sets[0].tolist() == sets[4].tolist()
     assert set(sets[3]) & set(sets[0]) == set(sets[0]) & set(next(shingle_sets(pa.array(["B"]), 1)))
+
+
+def test_wide_parities_bound_what_two_sets_do_not_share(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for n, m in [(1, 1), (500, 520), (1000, 1050), (2040, 2060), (4000, 4200), (3, 9000)]:
+        grams = np.unique(rng.integers(1 << 63, size=n + m, dtype=np.uint64))
+        for a, b in ((grams[:n], grams[n:]), (grams[:-3], grams[2:]), (grams, grams[: len(grams) // 5])):
+            rows.append(([int(x) for x in wide_parities(a)], [int(x) for x in wide_parities(b)], len(np.setxor1d(a, b))))
+    frame = spark.createDataFrame(rows, "x array<long>, y array<long>, differ int")
+    got = frame.select("differ", apart("x", "y").alias("xy"), apart("y", "x").alias("yx")).collect()
+    assert all(r.xy == r.yx <= r.differ and (r.differ - r.xy) % 2 == 0 for r in got)
+    assert all(r.xy == r.differ or r.differ > 4 for r in got)
+
+
+def test_long_texts_are_compared_of_little_more_than_links(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(6000)]
+    docs = [" ".join(base)]
+    docs += [" ".join(base[:k] + ["x"] + base[k + 1 :]) for k in (1000, 4000)]  # links
+    docs += [" ".join(base[:4500] + [f"{i}v{rng.randrange(10**6)}" for _ in range(1500)]) for i in range(6)]  # 60 %
+    compared, whole = [], m.partial
+    monkeypatch.setattr(m, "partial", lambda pairs, parts: compared.append(pairs.count()) or whole(pairs, parts))
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id) for r in m.joined(frame).collect())
+    assert got == [(i, 0 if i < 3 else i) for i in range(9)]
+    assert 0 < sum(compared) <= 6
