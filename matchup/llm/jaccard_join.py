@@ -54,6 +54,8 @@ SHARE = 1 / 4000
 #: Bound on the table of frequent shingles (16 bytes each) that tasks hold; rarer ones
 #: than fit stay in the order of their hashes. The order decides costs, not results.
 FREQUENT = 500_000
+#: Bytes of shared prefix shingles that may be broadcast: as a hash table they take four times as much.
+MANY_BYTES = 4_000_000
 
 
 def frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -230,7 +232,7 @@ def first_shared(members: DataFrame) -> DataFrame:
     one node: they go by their counts alone, before more of a row is shuffled.
     """
     many = staged(members.groupBy("group").count().where("count > 1").select("group"), "many")
-    members = staged(members.join(small(many), "group", "left_semi"), "several")
+    members = staged(members.join(small(many, MANY_BYTES), "group", "left_semi"), "several")
     same = [F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("nodes")]
     mixed_node = F.xxhash64("node")  # in halves: no sum overflows
     sums = [F.sum(F.shiftright(mixed_node, 32)).alias("high"), F.sum(mixed_node.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low")]
